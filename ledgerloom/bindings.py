@@ -88,3 +88,143 @@ def _import_stock_changes(t):
 @query("upsert_inventory")
 def _upsert_inventory(t):
     return inventory.upsert_inventory(t["inventory"], _import_stock_changes(t), run_ts=as_of_date(t))
+
+
+# ---------------------------------------------------------------- receiving
+from .plans import receiving, shipping  # noqa: E402
+
+
+@query("receiving_order_list")
+def _receiving_order_list(t):
+    return receiving.receiving_order_list(t)
+
+
+@query("receiving_stats")
+def _receiving_stats(t):
+    return receiving.receiving_stats(t)
+
+
+@query("receiving_daily")
+def _receiving_daily(t):
+    return receiving.receiving_daily(t, as_of=as_of_date(t))
+
+
+@query("exception_list")
+def _exception_list(t):
+    return receiving.exception_list(t)
+
+
+@query("supplier_evaluation_list")
+def _supplier_evaluation_list(t):
+    return receiving.supplier_evaluation_list(t)
+
+
+@query("inspection_report_detail")
+def _inspection_report_detail(t):
+    return receiving.inspection_report_detail(t, as_json=True)
+
+
+@query("receiving_order_detail")
+def _receiving_order_detail(t):
+    return receiving.receiving_order_detail(t, as_json=True)
+
+
+@query("apply_receiving_status")
+def _apply_receiving_status(t):
+    return receiving.apply_receiving_status(t["receiving_orders"], t["status_changes"])
+
+
+@query("apply_exception_status")
+def _apply_exception_status(t):
+    # the change feed's dates act as the supplied resolution dates
+    ch = t["status_changes"].withColumn("resolved_date", F.col("actual_delivery"))
+    return receiving.apply_exception_status(t["exception_records"], ch)
+
+
+@query("apply_receiving_items")
+def _apply_receiving_items(t):
+    # receipt lines keyed by (receipt, product); every change row re-states the line's results
+    items = t["receiving_items"].withColumnRenamed("product_id", "id")
+    ch = t["receiving_items"].select(
+        F.col("product_id").alias("id"), "receiving_order_id",
+        (F.col("ordered_quantity") - F.col("rejected_quantity")).alias("received_quantity"),
+        F.col("rejected_quantity"),
+        F.col("expiry_date").cast("timestamp").alias("change_ts"),
+        F.col("ordered_quantity").cast("bigint").alias("seq"))
+    return receiving.apply_receiving_items(items, ch)
+
+
+@query("apply_inspection_reports")
+def _apply_inspection_reports(t):
+    checks = receiving._checks_per_report(t).withColumnRenamed("inspection_report_id", "id")
+    reports = t["inspection_reports"].join(checks, on="id", how="left").withColumn(
+        "quality_checks", F.coalesce("quality_checks", F.array().cast(checks.schema["quality_checks"].dataType)))
+    new_orders, _ = receiving.apply_inspection_reports(reports, t["receiving_orders"])
+    return new_orders
+
+
+@query("supplier_rating")
+def _supplier_rating(t):
+    return receiving.supplier_rating(t["supplier_evaluations"].drop("overall_rating"))
+
+
+@query("split_receiving_orders")
+def _split_receiving_orders(t):
+    ro, ri = t["receiving_orders"], t["receiving_items"]
+    item_fields = ["product_id", "ordered_quantity", "received_quantity", "rejected_quantity", "expiry_date"]
+    nested = ri.groupBy("receiving_order_id").agg(
+        F.array_sort(F.collect_list(F.struct(*item_fields))).alias("items"))
+    requests = (ro.select(F.col("id").alias("receiving_order_id"), "receiving_no", "supplier_id", "supplier_name",
+                          "planned_date", "total_amount")
+                .join(nested, on="receiving_order_id", how="inner").drop("receiving_order_id"))
+    headers, items = receiving.split_receiving_orders(requests, run_ts=as_of_date(t))
+    return (items.join(headers.select(F.col("id").alias("receiving_order_id"), "receiving_no", "status"),
+                       on="receiving_order_id").drop("receiving_order_id"))
+
+
+# ---------------------------------------------------------------- shipping
+@query("shipping_order_list")
+def _shipping_order_list(t):
+    return shipping.shipping_order_list(t)
+
+
+@query("shipping_stats")
+def _shipping_stats(t):
+    return shipping.shipping_stats(t)
+
+
+@query("shipping_daily")
+def _shipping_daily(t):
+    return shipping.shipping_daily(t, as_of=as_of_date(t))
+
+
+@query("carrier_list")
+def _carrier_list(t):
+    return shipping.carrier_list(t)
+
+
+@query("packing_task_list")
+def _packing_task_list(t):
+    return shipping.packing_task_list(t)
+
+
+@query("shipping_order_detail")
+def _shipping_order_detail(t):
+    return shipping.shipping_order_detail(t, as_json=True)
+
+
+@query("apply_shipping_status")
+def _apply_shipping_status(t):
+    return shipping.apply_shipping_status(t["shipping_orders"], t["status_changes"])
+
+
+@query("apply_packing_status")
+def _apply_packing_status(t):
+    # the change feed's optional numeric value stands for the reported packing minutes
+    ch = t["status_changes"].withColumn("actual_time", F.floor("quality_score").cast("int"))
+    return shipping.apply_packing_status(t["packing_tasks"], ch)
+
+
+@query("latest_tracking_status")
+def _latest_tracking_status(t):
+    return shipping.latest_tracking_status(t["tracking_records"])

@@ -171,3 +171,39 @@ SELECT p_partkey + 1 AS line_no, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_nam
   CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END AS category, 'Supplier ' || CAST(p_partkey % 10 AS STRING) AS supplier FROM part
 """,
 }
+
+# Output columns of each view, in order.
+VIEW_COLUMNS: dict[str, list[str]] = {
+    "as_of": ['d', 'd30'],
+    "inventory": ['id', 'product_name', 'category', 'current_stock', 'min_stock', 'max_stock', 'unit_cost', 'supplier'],
+    "sales": ['date', 'product_name', 'category', 'quantity', 'unit_price', 'total_amount', 'customer_name', 'created_at'],
+    "alerts": ['id', 'type', 'message', 'severity', 'is_read', 'created_at'],
+    "categories": ['id', 'name', 'parent_id'],
+    "suppliers": ['id', 'name', 'credit_rating'],
+    "customers": ['id', 'customer_code', 'name', 'customer_type', 'member_level', 'current_balance', 'is_active'],
+    "products": ['id', 'product_code', 'name', 'category_id', 'brand', 'cost_price', 'selling_price', 'current_stock', 'min_stock', 'max_stock', 'reserved_stock', 'supplier_id', 'is_active'],
+    "sales_orders": ['id', 'order_no', 'customer_id', 'order_date', 'payment_method', 'order_status', 'total_amount', 'paid_amount'],
+    "sales_order_items": ['order_id', 'product_id', 'quantity', 'unit_price', 'line_total', 'cost_price'],
+    "purchase_orders": ['id', 'order_no', 'supplier_id', 'order_date', 'expected_date', 'total_amount'],
+    "purchase_order_items": ['order_id', 'product_id', 'quantity', 'received_quantity'],
+    "shipping_orders": ['id', 'shipping_no', 'customer_name', 'shipping_address', 'carrier_code', 'shipping_date', 'expected_delivery', 'actual_delivery', 'status', 'shipping_cost', 'weight', 'created_at'],
+    "shipping_items": ['shipping_order_id', 'product_id', 'line_no', 'quantity'],
+    "carriers": ['code', 'name', 'rating', 'price_per_kg', 'min_charge', 'is_active'],
+    "tracking_records": ['id', 'shipping_order_id', 'timestamp', 'status'],
+    "packing_tasks": ['id', 'shipping_order_id', 'customer_name', 'priority', 'status', 'assigned_to', 'estimated_time', 'actual_time', 'created_at'],
+    "packing_items": ['packing_task_id', 'product_id', 'quantity'],
+    "receiving_orders": ['id', 'receiving_no', 'supplier_id', 'supplier_name', 'planned_date', 'receiving_date', 'status', 'total_amount', 'received_amount', 'quality_score', 'created_at'],
+    "receiving_items": ['receiving_order_id', 'product_id', 'ordered_quantity', 'received_quantity', 'rejected_quantity', 'expiry_date'],
+    "inspection_reports": ['id', 'receiving_order_id', 'inspector', 'inspection_date', 'overall_rating'],
+    "quality_checks": ['id', 'inspection_report_id', 'check_item', 'result'],
+    "exception_records": ['id', 'receiving_order_id', 'supplier_name', 'exception_type', 'responsible_party', 'status', 'financial_impact', 'created_at'],
+    "supplier_evaluations": ['supplier_id', 'supplier_name', 'evaluation_period', 'delivery_rating', 'quality_rating', 'service_rating'],
+    "financial_transactions": ['id', 'transaction_type', 'category', 'amount', 'account_from', 'account_to', 'transaction_date', 'created_at'],
+    "inventory_transactions": ['id', 'product_id', 'quantity_change', 'stock_after', 'transaction_date'],
+    "promotions": ['id', 'discount_type', 'discount_value', 'start_date', 'end_date', 'min_amount', 'applicable_products'],
+    "operation_logs": ['id', 'table_name', 'record_id', 'old_data', 'new_data'],
+    "error_log": ['id', 'type', 'severity', 'ts'],
+    "metric_log": ['id', 'type', 'duration', 'status', 'ts'],
+    "status_changes": ['seq', 'id', 'change_ts', 'status', 'actual_delivery', 'received_amount', 'quality_score'],
+    "import_rows": ['line_no', 'name', 'stock', 'category', 'supplier'],
+}

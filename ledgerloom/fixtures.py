@@ -13,7 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixture_sql import VIEWS
+from .fixture_sql import VIEW_COLUMNS, VIEWS
+from .schemas import SCHEMAS
 from .tables import Tables
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -65,18 +66,32 @@ def now_ts(t: Tables, table: str = "error_log", col: str = "ts") -> Column:
 
 # ---------------------------------------------------------------------------
 # oracle side
-_FX_RE = re.compile(r"\bfx_(\w+)\b")
+_FX_RE = re.compile(r"\bfx(c?)_(\w+)\b")
+_DUCK_TYPES = {"bigint": "BIGINT", "integer": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+               "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+               "decimal(18,2)": "DECIMAL(18,2)"}
+
+
+def conformed_view_sql(view: str) -> str:
+    """``fx_<view>`` plus the declared-but-absent columns as typed nulls (mirrors ``Tables.conform``)."""
+    have = set(VIEW_COLUMNS[view])
+    extra = [f"CAST(NULL AS {_DUCK_TYPES[f.dataType.simpleString()]}) AS {f.name}"
+             for f in SCHEMAS.get(view, ()) if f.name not in have] if view in SCHEMAS else []
+    return "SELECT *" + "".join(", " + e for e in extra) + f" FROM fx_{view}"
 
 
 def with_views(body: str) -> str:
-    """Prefix ``body`` with a CTE for every ``fx_<view>`` it mentions."""
-    names = []
-    for n in _FX_RE.findall(body):
+    """Prefix ``body`` with a CTE for every ``fx_<view>`` / ``fxc_<view>`` (conformed) it mentions."""
+    names, conformed = [], []
+    for c, n in _FX_RE.findall(body):
         if n in VIEWS and n not in names:
             names.append(n)
+        if c and n in VIEWS and n not in conformed:
+            conformed.append(n)
     if not names:
         return body
-    ctes = ",\n".join(f"fx_{n} AS (\n{VIEWS[n].strip()}\n)" for n in names)
+    ctes = ",\n".join([f"fx_{n} AS (\n{VIEWS[n].strip()}\n)" for n in names]
+                      + [f"fxc_{n} AS ({conformed_view_sql(n)})" for n in conformed])
     stripped = body.lstrip()
     for head in ("WITH RECURSIVE ", "WITH "):
         if stripped.upper().startswith(head):

@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep, for each ``keys`` value, the row with the greatest ``order`` tuple."""
+    """Keep, for each ``keys`` value, the row with the greatest ``order`` tuple.
+
+    Ties on ``order`` are broken by the remaining columns (greatest wins), so
+    the answer never depends on row arrival.
+    """
     rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in rest])
-    by = F.struct(*[F.col(c) for c in order])
-    agg = df.groupBy(*keys).agg(F.max_by(packed, by).alias("_row"))
-    return agg.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+    tail = [c for c in rest if c not in order]
+    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in tail])
+    agg = df.groupBy(*keys).agg(F.max(packed).alias("_row"))
+    return agg.select(*keys, *[(F.col("_row")[f"_o{order.index(c)}"] if c in order else F.col("_row")[c]).alias(c)
+                               for c in rest])
 
 
 def keep_last(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -102,5 +102,228 @@ FROM ch c LEFT JOIN fx_inventory i ON i.product_name = c.product_name
 """
 
 
+# ---------------------------------------------------------------- receiving
+BODIES["receiving_order_list"] = """
+SELECT ro.*, COALESCE(c.item_count, 0) AS item_count, c.total_ordered, c.total_received
+FROM fxc_receiving_orders ro LEFT JOIN (
+  SELECT receiving_order_id, COUNT(*) AS item_count, CAST(SUM(ordered_quantity) AS BIGINT) AS total_ordered,
+    CAST(SUM(received_quantity) AS BIGINT) AS total_received
+  FROM fx_receiving_items GROUP BY receiving_order_id) c ON ro.id = c.receiving_order_id
+ORDER BY ro.created_at DESC
+"""
+
+BODIES["receiving_stats"] = f"""
+SELECT COUNT(*) AS total_orders,
+  COUNT(*) FILTER (WHERE status = 'completed') AS completed_orders,
+  COUNT(*) FILTER (WHERE status IN ('pending', 'inspecting')) AS pending_orders,
+  {msum('total_amount')} AS total_amount, {msum('received_amount')} AS received_amount,
+  SUM(quality_score) / COUNT(quality_score) AS avg_quality_score,
+  (SELECT COUNT(*) FROM fx_exception_records WHERE status IN ('reported', 'investigating')) AS open_exceptions
+FROM fx_receiving_orders
+"""
+
+BODIES["receiving_daily"] = f"""
+SELECT CAST(receiving_date AS DATE) AS date, COUNT(*) AS orders, {msum('total_amount')} AS total_amount,
+  {msum('received_amount')} AS received_amount, SUM(quality_score) / COUNT(quality_score) AS avg_quality
+FROM fx_receiving_orders WHERE CAST(receiving_date AS DATE) >= {ASOF} - 30
+GROUP BY CAST(receiving_date AS DATE) ORDER BY date
+"""
+
+BODIES["exception_list"] = """
+SELECT er.*, ro.supplier_name AS supplier_name_from_order
+FROM fxc_exception_records er LEFT JOIN fx_receiving_orders ro ON er.receiving_order_id = ro.id
+WHERE er.receiving_order_id IS NOT NULL ORDER BY er.created_at DESC
+"""
+
+BODIES["supplier_evaluation_list"] = """
+SELECT supplier_id, supplier_name, evaluation_period, delivery_rating, quality_rating, service_rating,
+  COALESCE(overall_rating, (delivery_rating + quality_rating + service_rating) / CAST(3 AS DOUBLE)) AS overall_rating
+FROM fxc_supplier_evaluations ORDER BY evaluation_period DESC, overall_rating DESC
+"""
+
+QC_LIST = """list({'id': id, 'check_item': check_item, 'standard': standard, 'result': result,
+    'actual_value': actual_value, 'notes': notes} ORDER BY id)"""
+QC_TYPE = ("STRUCT(id BIGINT, check_item VARCHAR, standard VARCHAR, result VARCHAR, actual_value VARCHAR, "
+           "notes VARCHAR)[]")
+
+BODIES["inspection_report_detail"] = f"""
+SELECT ir.*, COALESCE(to_json(c.qc), '[]') AS quality_checks
+FROM fx_inspection_reports ir LEFT JOIN (
+  SELECT inspection_report_id, {QC_LIST} AS qc
+  FROM fxc_quality_checks WHERE inspection_report_id IS NOT NULL GROUP BY inspection_report_id) c
+  ON ir.id = c.inspection_report_id
+"""
+
+BODIES["receiving_order_detail"] = f"""
+WITH items AS (
+  SELECT receiving_order_id, list({{'product_id': product_id, 'ordered_quantity': ordered_quantity,
+      'received_quantity': received_quantity, 'rejected_quantity': rejected_quantity, 'expiry_date': expiry_date}}
+    ORDER BY product_id, ordered_quantity, received_quantity, rejected_quantity, expiry_date) AS items
+  FROM fx_receiving_items GROUP BY receiving_order_id),
+checks AS (
+  SELECT inspection_report_id, {QC_LIST} AS qc
+  FROM fxc_quality_checks WHERE inspection_report_id IS NOT NULL GROUP BY inspection_report_id),
+rep AS (
+  SELECT ir.receiving_order_id,
+    arg_min({{'id': ir.id, 'inspector': ir.inspector, 'inspection_date': ir.inspection_date,
+      'overall_rating': ir.overall_rating, 'quality_checks': COALESCE(c.qc, CAST([] AS {QC_TYPE}))}}, ir.id) AS r
+  FROM fx_inspection_reports ir LEFT JOIN checks c ON ir.id = c.inspection_report_id
+  GROUP BY ir.receiving_order_id)
+SELECT ro.*, COALESCE(to_json(i.items), '[]') AS items, to_json(rep.r) AS inspection_report
+FROM fxc_receiving_orders ro LEFT JOIN items i ON ro.id = i.receiving_order_id
+LEFT JOIN rep ON ro.id = rep.receiving_order_id
+"""
+
+FOLD = "arg_max({v}, (change_ts, seq)) FILTER (WHERE {v} IS NOT NULL{g})"
+
+
+def fold(v: str, guard: str = "") -> str:
+    return FOLD.format(v=v, g=f" AND {guard}" if guard else "")
+
+
+BODIES["apply_receiving_status"] = f"""
+WITH f AS (
+  SELECT id, {fold('status')} AS n_status, {fold('received_amount')} AS n_ra, {fold('quality_score')} AS n_qs
+  FROM fx_status_changes GROUP BY id)
+SELECT r.id, r.receiving_no, r.supplier_id, r.supplier_name, r.planned_date, r.receiving_date,
+  COALESCE(f.n_status, r.status) AS status, r.total_amount, COALESCE(f.n_ra, r.received_amount) AS received_amount,
+  COALESCE(f.n_qs, r.quality_score) AS quality_score, r.created_at, r.purchase_order_id
+FROM fxc_receiving_orders r LEFT JOIN f ON r.id = f.id
+"""
+
+BODIES["apply_exception_status"] = f"""
+WITH f AS (
+  SELECT id, {fold('status')} AS n_status, {fold('actual_delivery', "status = 'resolved'")} AS n_rd
+  FROM fx_status_changes GROUP BY id)
+SELECT e.id, e.receiving_order_id, e.supplier_name, e.exception_type, e.responsible_party,
+  COALESCE(f.n_status, e.status) AS status, e.financial_impact, COALESCE(f.n_rd, e.resolved_date) AS resolved_date,
+  e.created_at
+FROM fxc_exception_records e LEFT JOIN f ON e.id = f.id
+"""
+
+BODIES["apply_receiving_items"] = """
+WITH ch AS (
+  SELECT product_id AS id, receiving_order_id, ordered_quantity - rejected_quantity AS received_quantity,
+    rejected_quantity, CAST(expiry_date AS TIMESTAMP) AS change_ts, CAST(ordered_quantity AS BIGINT) AS seq
+  FROM fx_receiving_items),
+l AS (
+  SELECT id, receiving_order_id,
+    arg_max({'rq': received_quantity, 'rj': rejected_quantity},
+            (change_ts, seq, received_quantity, rejected_quantity)) AS v
+  FROM ch GROUP BY id, receiving_order_id)
+SELECT i.receiving_order_id, i.product_id AS id, i.ordered_quantity,
+  CASE WHEN l.id IS NOT NULL THEN l.v.rq ELSE i.received_quantity END AS received_quantity,
+  CASE WHEN l.id IS NOT NULL THEN l.v.rj ELSE i.rejected_quantity END AS rejected_quantity,
+  i.expiry_date
+FROM fx_receiving_items i LEFT JOIN l ON i.product_id = l.id AND i.receiving_order_id = l.receiving_order_id
+"""
+
+BODIES["apply_inspection_reports"] = """
+SELECT r.id, r.receiving_no, r.supplier_id, r.supplier_name, r.planned_date, r.receiving_date, r.status,
+  r.total_amount, r.received_amount, COALESCE(l.rating, r.quality_score) AS quality_score, r.created_at,
+  r.purchase_order_id
+FROM fxc_receiving_orders r LEFT JOIN (
+  SELECT receiving_order_id, arg_max(overall_rating, id) AS rating FROM fx_inspection_reports
+  GROUP BY receiving_order_id) l ON r.id = l.receiving_order_id
+"""
+
+BODIES["supplier_rating"] = """
+SELECT supplier_id, supplier_name, evaluation_period, delivery_rating, quality_rating, service_rating,
+  (delivery_rating + quality_rating + service_rating) / CAST(3 AS DOUBLE) AS overall_rating
+FROM fx_supplier_evaluations
+"""
+
+BODIES["split_receiving_orders"] = """
+SELECT CAST(row_number() OVER (PARTITION BY ri.receiving_order_id
+    ORDER BY ri.product_id, ri.ordered_quantity, ri.received_quantity, ri.rejected_quantity, ri.expiry_date) - 1
+    AS INTEGER) AS line_no,
+  ri.product_id, ri.ordered_quantity, ri.received_quantity, ri.rejected_quantity, ri.expiry_date,
+  ro.receiving_no, 'pending' AS status
+FROM fx_receiving_items ri JOIN fx_receiving_orders ro ON ro.id = ri.receiving_order_id
+"""
+
+# ---------------------------------------------------------------- shipping
+BODIES["shipping_order_list"] = """
+SELECT so.*, COALESCE(c.item_count, 0) AS item_count, c.total_quantity
+FROM fxc_shipping_orders so LEFT JOIN (
+  SELECT shipping_order_id, COUNT(*) AS item_count, CAST(SUM(quantity) AS BIGINT) AS total_quantity
+  FROM fx_shipping_items GROUP BY shipping_order_id) c ON so.id = c.shipping_order_id
+ORDER BY so.created_at DESC
+"""
+
+BODIES["shipping_stats"] = f"""
+SELECT COUNT(*) AS total_orders,
+  COUNT(*) FILTER (WHERE status IN ('shipped', 'in_transit', 'delivered')) AS shipped_orders,
+  COUNT(*) FILTER (WHERE status = 'delivered') AS delivered_orders,
+  {msum('shipping_cost')} AS total_shipping_cost,
+  (SELECT COUNT(*) FROM fx_packing_tasks WHERE status <> 'completed') AS pending_tasks
+FROM fx_shipping_orders
+"""
+
+BODIES["shipping_daily"] = f"""
+SELECT CAST(shipping_date AS DATE) AS date, COUNT(*) AS orders, {msum('shipping_cost')} AS cost
+FROM fx_shipping_orders WHERE CAST(shipping_date AS DATE) >= {ASOF} - 30
+GROUP BY CAST(shipping_date AS DATE) ORDER BY date
+"""
+
+BODIES["carrier_list"] = """
+SELECT * FROM fx_carriers WHERE is_active = 1 ORDER BY rating DESC, name ASC
+"""
+
+BODIES["packing_task_list"] = """
+SELECT pt.id, pt.shipping_order_id, pt.priority, pt.status, pt.assigned_to, pt.estimated_time, pt.actual_time,
+  pt.created_at, pt.completed_at, so.customer_name, so.shipping_address, COALESCE(c.item_count, 0) AS item_count
+FROM fxc_packing_tasks pt
+LEFT JOIN fx_shipping_orders so ON pt.shipping_order_id = so.id
+LEFT JOIN (SELECT packing_task_id, COUNT(*) AS item_count FROM fx_packing_items GROUP BY packing_task_id) c
+  ON pt.id = c.packing_task_id
+ORDER BY CASE pt.priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 END ASC NULLS FIRST,
+  pt.created_at ASC
+"""
+
+BODIES["shipping_order_detail"] = """
+WITH items AS (
+  SELECT shipping_order_id, list({'product_id': product_id, 'line_no': line_no, 'quantity': quantity}
+    ORDER BY product_id, line_no, quantity) AS items
+  FROM fx_shipping_items GROUP BY shipping_order_id),
+tr AS (
+  SELECT shipping_order_id, list({'id': id, 'timestamp': CAST(timestamp AS VARCHAR), 'status': status,
+      'tracking_no': tracking_no, 'location': location, 'description': description}
+    ORDER BY CAST(timestamp AS VARCHAR) DESC, id DESC) AS tracking
+  FROM fxc_tracking_records GROUP BY shipping_order_id)
+SELECT so.*, COALESCE(to_json(i.items), '[]') AS items, COALESCE(to_json(tr.tracking), '[]') AS tracking_info
+FROM fxc_shipping_orders so LEFT JOIN items i ON so.id = i.shipping_order_id
+LEFT JOIN tr ON so.id = tr.shipping_order_id
+"""
+
+BODIES["apply_shipping_status"] = f"""
+WITH f AS (
+  SELECT id, {fold('status')} AS n_status, {fold('actual_delivery', "status = 'delivered'")} AS n_ad
+  FROM fx_status_changes GROUP BY id)
+SELECT s.id, s.shipping_no, s.customer_name, s.shipping_address, s.carrier_code, s.shipping_date,
+  s.expected_delivery, COALESCE(f.n_ad, s.actual_delivery) AS actual_delivery, COALESCE(f.n_status, s.status) AS status,
+  s.shipping_cost, s.weight, s.created_at, s.sales_order_id
+FROM fxc_shipping_orders s LEFT JOIN f ON s.id = f.id
+"""
+
+BODIES["apply_packing_status"] = f"""
+WITH ch AS (SELECT *, CAST(floor(quality_score) AS INTEGER) AS actual_time FROM fx_status_changes),
+f AS (
+  SELECT id, {fold('status')} AS n_status,
+    {fold('actual_time', "status = 'completed'")} AS n_at,
+    {fold('change_ts', "status = 'completed' AND actual_time IS NOT NULL")} AS n_ca
+  FROM ch GROUP BY id)
+SELECT p.id, p.shipping_order_id, p.customer_name, p.priority, COALESCE(f.n_status, p.status) AS status,
+  p.assigned_to, p.estimated_time, COALESCE(f.n_at, p.actual_time) AS actual_time, p.created_at,
+  COALESCE(f.n_ca, p.completed_at) AS completed_at
+FROM fxc_packing_tasks p LEFT JOIN f ON p.id = f.id
+"""
+
+BODIES["latest_tracking_status"] = """
+SELECT shipping_order_id, max(timestamp) AS last_timestamp, arg_max(status, (timestamp, id)) AS last_status
+FROM fx_tracking_records GROUP BY shipping_order_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v) for k, v in BODIES.items()}
