@@ -228,3 +228,75 @@ def _apply_packing_status(t):
 @query("latest_tracking_status")
 def _latest_tracking_status(t):
     return shipping.latest_tracking_status(t["tracking_records"])
+
+
+# ---------------------------------------------------------------- telemetry
+from .plans import exports, telemetry  # noqa: E402
+
+
+@query("error_stats")
+def _error_stats(t):
+    return telemetry.error_stats(t, now=now_ts(t))
+
+
+@query("error_hourly_trend")
+def _error_hourly_trend(t):
+    return telemetry.error_hourly_trend(t, now=now_ts(t))
+
+
+@query("performance_stats")
+def _performance_stats(t):
+    return telemetry.performance_stats(t, now=now_ts(t, "metric_log"))
+
+
+@query("performance_hourly_trend")
+def _performance_hourly_trend(t):
+    return telemetry.performance_hourly_trend(t, now=now_ts(t, "metric_log"))
+
+
+@query("critical_errors")
+def _critical_errors(t):
+    return telemetry.critical_errors(t["error_log"])
+
+
+@query("telemetry_keep_last")
+def _telemetry_keep_last(t):
+    return telemetry.telemetry_keep_last(t["error_log"], n=telemetry.KEEP_ERRORS)
+
+
+# ---------------------------------------------------------------- exports
+@query("export_products")
+def _export_products(t):
+    return exports.export_products(t)
+
+
+@query("export_customers")
+def _export_customers(t):
+    return exports.export_customers(t)
+
+
+@query("export_sales")
+def _export_sales(t):
+    return exports.export_sales(t)
+
+
+@query("export_sales_range")
+def _export_sales_range(t):
+    day = as_of_date(t)
+    return exports.export_sales(t, {"startDate": F.date_sub(day, 90), "endDate": day})
+
+
+@query("export_inventory")
+def _export_inventory(t):
+    return exports.export_inventory(t)
+
+
+@query("export_financial")
+def _export_financial(t):
+    return exports.export_financial(t)
+
+
+@query("export_financial_range")
+def _export_financial_range(t):
+    day = as_of_date(t)
+    return exports.export_financial(t, {"startDate": F.date_sub(day, 90), "endDate": day})

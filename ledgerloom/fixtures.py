@@ -67,7 +67,7 @@ def now_ts(t: Tables, table: str = "error_log", col: str = "ts") -> Column:
 # ---------------------------------------------------------------------------
 # oracle side
 _FX_RE = re.compile(r"\bfx(c?)_(\w+)\b")
-_DUCK_TYPES = {"bigint": "BIGINT", "integer": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+_DUCK_TYPES = {"bigint": "BIGINT", "integer": "INTEGER", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
                "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
                "decimal(18,2)": "DECIMAL(18,2)"}
 

@@ -325,5 +325,102 @@ FROM fx_tracking_records GROUP BY shipping_order_id
 """
 
 
+# ---------------------------------------------------------------- telemetry
+NOW_E = "(SELECT max(ts) FROM fx_error_log)"
+NOW_M = "(SELECT max(ts) FROM fx_metric_log)"
+
+
+def recent(table: str, now: str) -> str:
+    return f"(SELECT *, CAST(floor((epoch_us({now}) - epoch_us(ts)) / 3600000000) AS INTEGER) AS h " \
+           f"FROM {table} WHERE ts > {now} - INTERVAL 24 HOURS)"
+
+
+BODIES["error_stats"] = f"""
+SELECT CASE GROUPING(type, severity) WHEN 1 THEN 'type' WHEN 2 THEN 'severity' ELSE 'total' END AS dimension,
+  CASE GROUPING(type, severity) WHEN 1 THEN type WHEN 2 THEN severity END AS key,
+  COUNT(*) AS errors
+FROM {recent('fx_error_log', NOW_E)} r GROUP BY GROUPING SETS ((type), (severity), ())
+"""
+
+BODIES["error_hourly_trend"] = f"""
+SELECT CAST(i.hour_index AS INTEGER) AS hour_index, COALESCE(c.n, 0) AS errors
+FROM range(24) i(hour_index) LEFT JOIN (
+  SELECT 23 - h AS hi, COUNT(*) AS n FROM {recent('fx_error_log', NOW_E)} r WHERE h >= 0 AND h < 24 GROUP BY 1) c
+  ON i.hour_index = c.hi
+ORDER BY hour_index
+"""
+
+BODIES["performance_stats"] = f"""
+SELECT
+  COALESCE({msum("CASE WHEN type = 'page_load' THEN duration END")}
+    / COUNT(CASE WHEN type = 'page_load' THEN duration END), 0.0) AS page_load_avg,
+  COUNT(*) FILTER (WHERE type = 'page_load') AS page_load_count,
+  COALESCE({msum("CASE WHEN type = 'api_call' THEN duration END")}
+    / COUNT(CASE WHEN type = 'api_call' THEN duration END), 0.0) AS api_avg,
+  COUNT(*) FILTER (WHERE type = 'api_call') AS api_total,
+  COUNT(*) FILTER (WHERE type = 'api_call' AND duration > 2000) AS api_slow,
+  COUNT(*) FILTER (WHERE type = 'api_call' AND status >= 400) AS api_failed
+FROM {recent('fx_metric_log', NOW_M)} r
+"""
+
+BODIES["performance_hourly_trend"] = f"""
+SELECT CAST(i.hour_index AS INTEGER) AS hour_index, COALESCE(c.p, 0.0) AS page_load_ms, COALESCE(c.a, 0.0) AS api_ms
+FROM range(24) i(hour_index) LEFT JOIN (
+  SELECT 23 - h AS hi, {msum("CASE WHEN type = 'page_load' THEN duration END")} AS p,
+    {msum("CASE WHEN type = 'api_call' THEN duration END")} AS a
+  FROM {recent('fx_metric_log', NOW_M)} r WHERE h >= 0 AND h < 24 GROUP BY 1) c
+  ON i.hour_index = c.hi
+ORDER BY hour_index
+"""
+
+BODIES["critical_errors"] = """
+SELECT COUNT(*) AS processed, COUNT(*) FILTER (WHERE severity = 'critical') AS critical FROM fx_error_log
+"""
+
+BODIES["telemetry_keep_last"] = """
+SELECT * FROM fx_error_log ORDER BY id DESC LIMIT 1000
+"""
+
+# ---------------------------------------------------------------- exports
+BODIES["export_products"] = """
+SELECT p.product_code, p.barcode, p.name, c.name AS category, p.brand, p.unit, p.cost_price, p.selling_price,
+  p.wholesale_price, p.current_stock, p.min_stock, p.max_stock, s.name AS supplier,
+  CASE WHEN p.is_active = 1 THEN '启用' ELSE '停用' END AS status, p.created_at
+FROM fxc_products p LEFT JOIN fx_categories c ON p.category_id = c.id LEFT JOIN fx_suppliers s ON p.supplier_id = s.id
+ORDER BY p.id
+"""
+
+BODIES["export_customers"] = """
+SELECT customer_code, name, phone, email, address, customer_type, member_level, total_purchases, current_balance,
+  points, CASE WHEN is_active = 1 THEN '启用' ELSE '停用' END AS status, created_at
+FROM fxc_customers ORDER BY id
+"""
+
+EXPORT_SALES = """
+SELECT so.order_no, so.order_date, c.name AS customer_name, p.name AS product_name, i.quantity, i.unit_price,
+  i.line_total, so.payment_method, so.order_status
+FROM fx_sales_orders so LEFT JOIN fx_customers c ON so.customer_id = c.id
+LEFT JOIN fx_sales_order_items i ON so.id = i.order_id LEFT JOIN fx_products p ON i.product_id = p.id
+"""
+BODIES["export_sales"] = EXPORT_SALES + "ORDER BY so.order_date DESC"
+BODIES["export_sales_range"] = EXPORT_SALES + f"WHERE so.order_date BETWEEN {ASOF} - 90 AND {ASOF} ORDER BY so.order_date DESC"
+
+BODIES["export_inventory"] = """
+SELECT p.name, c.name AS category, p.current_stock, p.min_stock, p.cost_price,
+  CAST(p.current_stock * p.cost_price AS DECIMAL(18,2)) AS stock_value,
+  CASE WHEN p.current_stock <= p.min_stock THEN '库存不足' WHEN p.current_stock >= p.max_stock THEN '库存过多'
+    ELSE '正常' END AS stock_status, p.updated_at
+FROM fxc_products p LEFT JOIN fx_categories c ON p.category_id = c.id
+WHERE p.is_active = 1 ORDER BY p.current_stock ASC
+"""
+
+EXPORT_FIN = """
+SELECT transaction_date, transaction_type, category, amount, payment_method, description, created_at
+FROM fxc_financial_transactions
+"""
+BODIES["export_financial"] = EXPORT_FIN + "ORDER BY transaction_date DESC"
+BODIES["export_financial_range"] = EXPORT_FIN + f"WHERE transaction_date BETWEEN {ASOF} - 90 AND {ASOF} ORDER BY transaction_date DESC"
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v) for k, v in BODIES.items()}
