@@ -300,3 +300,84 @@ def _export_financial(t):
 def _export_financial_range(t):
     day = as_of_date(t)
     return exports.export_financial(t, {"startDate": F.date_sub(day, 90), "endDate": day})
+
+
+# ---------------------------------------------------------------- imports, normalisation, seeds
+from .operators.dims import get_or_create  # noqa: E402
+from .plans import imports, normalise  # noqa: E402
+
+
+def _product_import_rows(t):
+    r = t["import_rows"]
+    return r.select("line_no", "name", F.col("stock").alias("current_stock"), "category", "supplier")
+
+
+@query("import_products")
+def _import_products(t):
+    res = imports.import_products(t["products"], t["categories"], t["suppliers"], _product_import_rows(t))
+    return res.accepted.select("line_no", "name", "category", "supplier", "barcode", "brand", "unit",
+                               "current_stock", "min_stock", "max_stock", "cost_price", "selling_price",
+                               "wholesale_price", F.col("category_id").isNotNull().alias("category_known"),
+                               F.col("supplier_id").isNotNull().alias("supplier_known"))
+
+
+@query("import_customers")
+def _import_customers(t):
+    rows = t["customers"].select(F.col("id").alias("line_no"), "name", "customer_type", "member_level")
+    res = imports.import_customers(t["customers"], rows)
+    return res.accepted.select("line_no", "name", "phone", "email", "address", "customer_type", "member_level")
+
+
+def _stock_import(t):
+    # product names without the '#key' suffix repeat (64 names over the parts): D4 applies
+    products = t["products"].withColumn("name", F.regexp_replace("name", " #[0-9]+$", ""))
+    rows = t["import_rows"].select("line_no", "name", "stock")
+    return imports.import_inventory(products, rows, run_ts=as_of_date(t))
+
+
+@query("import_inventory")
+def _import_inventory(t):
+    return _stock_import(t).table.select("id", "name", "current_stock")
+
+
+@query("import_summary")
+def _import_summary(t):
+    return _stock_import(t).summary()
+
+
+@query("import_errors")
+def _import_errors(t):
+    return _stock_import(t).rejects
+
+
+@query("dim_get_or_create")
+def _dim_get_or_create(t):
+    cats = t["categories"]
+    new_dim, _ = get_or_create(cats, t["import_rows"].select(F.col("category").alias("name")))
+    old = cats.select("name").distinct().withColumn("_old", F.lit(True))
+    return new_dim.join(old, on="name", how="left").select("name", F.col("_old").isNull().alias("is_new"))
+
+
+@query("normalise_sales")
+def _normalise_sales(t):
+    n = normalise.normalise_sales(t["sales"], t["customers"], t["products"])
+    pnames = n.products.groupBy("id").agg(F.min("name").alias("product_name"))
+    cnames = n.customers.groupBy("id").agg(F.min("name").alias("customer_name"))
+    orders = n.orders.select(F.col("id").alias("order_id"), "order_date", "customer_id")
+    return (n.lines.join(orders, on="order_id", how="left")
+            .join(cnames.withColumnRenamed("id", "customer_id"), on="customer_id", how="left")
+            .join(pnames.withColumnRenamed("id", "product_id"), on="product_id", how="left")
+            .select("order_date", "customer_name", "product_name", "quantity", "unit_price", "line_total"))
+
+
+@query("normalise_inventory")
+def _normalise_inventory(t):
+    cats = normalise.seed_if_absent(t["categories"], normalise.seed_frame(t.spark, "categories"), "name")
+    out = normalise.normalise_inventory(t["inventory"], cats, run_ts=as_of_date(t))
+    return out.drop("id")
+
+
+@query("seed_if_absent")
+def _seed_if_absent(t):
+    cats = normalise.seed_if_absent(t["categories"], normalise.seed_frame(t.spark, "categories"), "name")
+    return cats.select("name", "parent_id")

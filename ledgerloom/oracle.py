@@ -422,5 +422,93 @@ BODIES["export_financial"] = EXPORT_FIN + "ORDER BY transaction_date DESC"
 BODIES["export_financial_range"] = EXPORT_FIN + f"WHERE transaction_date BETWEEN {ASOF} - 90 AND {ASOF} ORDER BY transaction_date DESC"
 
 
+# ---------------------------------------------------------------- imports, normalisation, seeds
+INT_PREFIX = "TRY_CAST(regexp_extract(trim({}), '^[+-]?[0-9]+', 0) AS INTEGER)"
+
+BODIES["import_products"] = f"""
+WITH p AS (
+  SELECT line_no, name, category, supplier,
+    {INT_PREFIX.format("CASE WHEN stock IS NULL OR stock = '' THEN '0' ELSE stock END")} AS current_stock
+  FROM fx_import_rows),
+acc AS (
+  SELECT * FROM p WHERE name IS NOT NULL AND name <> '' AND current_stock IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY line_no DESC) = 1)
+SELECT line_no, name, category, supplier, '' AS barcode, '' AS brand, '件' AS unit, current_stock,
+  10 AS min_stock, 1000 AS max_stock, CAST(0 AS DOUBLE) AS cost_price, CAST(0 AS DOUBLE) AS selling_price,
+  CAST(0 AS DOUBLE) AS wholesale_price,
+  (category IS NOT NULL AND trim(category) <> '') AS category_known,
+  (supplier IS NOT NULL AND trim(supplier) <> '') AS supplier_known
+FROM acc
+"""
+
+BODIES["import_customers"] = """
+SELECT id AS line_no, name, '' AS phone, '' AS email, '' AS address,
+  CASE WHEN customer_type IS NULL OR customer_type = '' THEN 'retail' ELSE customer_type END AS customer_type,
+  CASE WHEN member_level IS NULL OR member_level = '' THEN 'bronze' ELSE member_level END AS member_level
+FROM fx_customers WHERE name IS NOT NULL AND name <> ''
+QUALIFY row_number() OVER (PARTITION BY name ORDER BY id DESC) = 1
+"""
+
+STOCK_IMPORT = f"""
+WITH prod AS (SELECT id, regexp_replace(name, ' #[0-9]+$', '') AS name, current_stock FROM fx_products),
+r AS (
+  SELECT line_no, name, stock, {INT_PREFIX.format('stock')} AS q,
+    CASE WHEN name IS NULL OR name = '' THEN '缺少必填字段: 商品名称'
+         WHEN stock IS NULL OR stock = '' THEN '缺少必填字段: 库存数量'
+         WHEN {INT_PREFIX.format('stock')} IS NULL THEN 'invalid number: 库存数量'
+         WHEN name NOT IN (SELECT name FROM prod) THEN '商品不存在' END AS error
+  FROM fx_import_rows),
+acc AS (SELECT name, q FROM r WHERE error IS NULL
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY line_no DESC) = 1)
+"""
+
+BODIES["import_inventory"] = STOCK_IMPORT + """
+SELECT p.id, p.name, COALESCE(a.q, p.current_stock) AS current_stock FROM prod p LEFT JOIN acc a ON p.name = a.name
+"""
+
+BODIES["import_summary"] = STOCK_IMPORT + """
+SELECT COUNT(*) FILTER (WHERE error IS NULL) AS success, COUNT(*) FILTER (WHERE error IS NOT NULL) AS failed FROM r
+"""
+
+BODIES["import_errors"] = STOCK_IMPORT + """
+SELECT line_no, error, '第' || CAST(line_no AS VARCHAR) || '行: ' || error AS message FROM r WHERE error IS NOT NULL
+"""
+
+BODIES["dim_get_or_create"] = """
+SELECT name, false AS is_new FROM fx_categories
+UNION ALL
+SELECT DISTINCT trim(category), true FROM fx_import_rows
+WHERE category IS NOT NULL AND trim(category) <> '' AND trim(category) NOT IN (SELECT name FROM fx_categories)
+"""
+
+BODIES["normalise_sales"] = """
+SELECT date AS order_date, customer_name, product_name, quantity, unit_price,
+  CAST(total_amount AS DECIMAL(18,2)) AS line_total
+FROM fx_sales
+"""
+
+SEED_CATS = "(VALUES ('电子产品'), ('服装'), ('食品'), ('日用品'), ('其他')) s(name)"
+
+BODIES["normalise_inventory"] = f"""
+WITH cats AS (
+  SELECT id, name FROM fx_categories
+  UNION ALL SELECT 0, name FROM {SEED_CATS} WHERE name NOT IN (SELECT name FROM fx_categories)),
+cat_ids AS (SELECT name, min(id) AS id FROM cats GROUP BY name)
+SELECT i.product_name AS name, c.id AS category_id, i.current_stock,
+  COALESCE(CASE WHEN i.min_stock <> 0 THEN i.min_stock END, 10) AS min_stock,
+  COALESCE(CASE WHEN i.max_stock <> 0 THEN i.max_stock END, 1000) AS max_stock,
+  CAST(COALESCE(CASE WHEN i.unit_cost <> 0 THEN i.unit_cost END, 0) AS DECIMAL(18,2)) AS cost_price,
+  CASE WHEN COALESCE(i.unit_cost, 0) > 0 THEN CAST(i.unit_cost * CAST(1.3 AS DECIMAL(2,1)) AS DECIMAL(18,2))
+       ELSE CAST(0 AS DECIMAL(18,2)) END AS selling_price,
+  CAST({ASOF} AS TIMESTAMP) AS updated_at
+FROM fx_inventory i LEFT JOIN cat_ids c ON c.name = COALESCE(CASE WHEN i.category <> '' THEN i.category END, '其他')
+"""
+
+BODIES["seed_if_absent"] = f"""
+SELECT name, parent_id FROM fx_categories
+UNION ALL SELECT name, CAST(NULL AS BIGINT) FROM {SEED_CATS} WHERE name NOT IN (SELECT name FROM fx_categories)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v) for k, v in BODIES.items()}
