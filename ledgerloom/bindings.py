@@ -381,3 +381,43 @@ def _normalise_inventory(t):
 def _seed_if_absent(t):
     cats = normalise.seed_if_absent(t["categories"], normalise.seed_frame(t.spark, "categories"), "name")
     return cats.select("name", "parent_id")
+
+
+# ---------------------------------------------------------------- analytics
+from .plans import insights  # noqa: E402
+
+for _key, _fn, _needs_day in [
+    ("stock_ledger", insights.stock_ledger, False),
+    ("category_tree", insights.category_tree, False),
+    ("order_total_check", insights.order_total_check, False),
+    ("gross_margin", insights.gross_margin, False),
+    ("customer_rollup", insights.customer_rollup, False),
+    ("receivables_aging", insights.receivables_aging, True),
+    ("purchase_progress", insights.purchase_progress, False),
+    ("finance_summary", insights.finance_summary, False),
+    ("account_balance", insights.account_balance, False),
+    ("promotion_match", insights.promotion_match, False),
+    ("freight_quote", insights.freight_quote, False),
+    ("delivery_performance", insights.delivery_performance, False),
+    ("supplier_scorecard", insights.supplier_scorecard, False),
+    ("receipt_quality", insights.receipt_quality, False),
+    ("packing_performance", insights.packing_performance, False),
+    ("exception_cost", insights.exception_cost, False),
+    ("expiry_watch", insights.expiry_watch, True),
+    ("audit_diff", insights.audit_diff, False),
+    ("sales_forecast", insights.sales_forecast, True),
+    ("churn_risk", insights.churn_risk, True),
+    ("replenishment", insights.replenishment, True),
+    ("sales_anomaly", insights.sales_anomaly, False),
+    ("promotion_candidates", insights.promotion_candidates, True),
+    ("abc_analysis", insights.abc_analysis, False),
+    ("stock_turnover", insights.stock_turnover, True),
+    ("action_list", insights.action_list, True),
+    ("sales_cube", insights.sales_cube, False),
+    ("member_loyalty", insights.member_loyalty, False),
+]:
+    def _bind(fn=_fn, needs_day=_needs_day):
+        def run(t):
+            return fn(t, as_of=as_of_date(t)) if needs_day else fn(t)
+        return run
+    query(_key)(_bind())

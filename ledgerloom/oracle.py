@@ -510,5 +510,314 @@ UNION ALL SELECT name, CAST(NULL AS BIGINT) FROM {SEED_CATS} WHERE name NOT IN (
 """
 
 
+# ---------------------------------------------------------------- analytics
+LINES = "fx_sales_order_items i JOIN fx_sales_orders o ON i.order_id = o.id"
+
+BODIES["stock_ledger"] = """
+SELECT id, product_id, transaction_date, quantity_change, stock_after,
+  CAST(SUM(quantity_change) OVER w AS BIGINT) AS running_balance,
+  LAG(stock_after) OVER w AS prev_stock_after,
+  COALESCE(stock_after <> LAG(stock_after) OVER w + quantity_change, false) AS is_break
+FROM fx_inventory_transactions
+WINDOW w AS (PARTITION BY product_id ORDER BY transaction_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
+BODIES["category_tree"] = """
+WITH RECURSIVE tree(id, name, parent_id, depth, path) AS (
+  SELECT id, name, parent_id, 0, name FROM fx_categories WHERE parent_id IS NULL
+  UNION ALL
+  SELECT c.id, c.name, c.parent_id, tree.depth + 1, tree.path || ' > ' || c.name
+  FROM fx_categories c JOIN tree ON c.parent_id = tree.id)
+SELECT id, name, parent_id, depth, path FROM tree
+"""
+
+BODIES["order_total_check"] = """
+WITH l AS (SELECT order_id, SUM(CAST(line_total AS DECIMAL(18,2))) AS s FROM fx_sales_order_items GROUP BY order_id)
+SELECT o.id, o.order_no, CAST(o.total_amount AS DOUBLE) AS total_amount, CAST(COALESCE(l.s, 0) AS DOUBLE) AS lines_total,
+  CAST(CAST(o.total_amount AS DECIMAL(18,2)) - COALESCE(l.s, 0) AS DOUBLE) AS difference
+FROM fx_sales_orders o LEFT JOIN l ON o.id = l.order_id
+WHERE abs(CAST(CAST(o.total_amount AS DECIMAL(18,2)) - COALESCE(l.s, 0) AS DOUBLE)) > 0.01
+"""
+
+REV = "SUM(CAST(i.line_total AS DECIMAL(18,2)))"
+COST = "SUM(CAST(i.quantity * i.cost_price AS DECIMAL(18,2)))"
+BODIES["gross_margin"] = f"""
+SELECT p.category_id, i.product_id, GROUPING(p.category_id, i.product_id) AS level,
+  CAST({REV} AS DOUBLE) AS revenue, CAST({COST} AS DOUBLE) AS cost, CAST({REV} - {COST} AS DOUBLE) AS margin,
+  CAST({REV} - {COST} AS DOUBLE) / NULLIF(CAST({REV} AS DOUBLE), 0) AS margin_rate
+FROM fx_sales_order_items i LEFT JOIN fx_products p ON i.product_id = p.id
+GROUP BY ROLLUP (p.category_id, i.product_id)
+"""
+
+BODIES["customer_rollup"] = """
+WITH a AS (
+  SELECT customer_id AS id, COUNT(*) AS orders, SUM(CAST(total_amount AS DECIMAL(18,2))) AS total,
+    max(order_date) AS last_purchase_date,
+    SUM(greatest(CAST(total_amount AS DECIMAL(18,2)) - CAST(COALESCE(paid_amount, 0) AS DECIMAL(18,2)),
+                 CAST(0 AS DECIMAL(18,2)))) AS due
+  FROM fx_sales_orders WHERE order_status IN ('confirmed', 'completed') GROUP BY customer_id)
+SELECT c.id, c.name, COALESCE(a.orders, 0) AS orders, CAST(COALESCE(a.total, 0) AS DOUBLE) AS total_purchases,
+  a.last_purchase_date, CAST(COALESCE(a.due, 0) AS DOUBLE) AS balance_due,
+  CASE WHEN COALESCE(a.total, 0) >= 1000000 THEN 'vip' WHEN COALESCE(a.total, 0) >= 500000 THEN 'gold'
+       WHEN COALESCE(a.total, 0) >= 100000 THEN 'silver' ELSE 'bronze' END AS level
+FROM fx_customers c LEFT JOIN a ON c.id = a.id
+"""
+
+BODIES["receivables_aging"] = f"""
+WITH x AS (SELECT *, COALESCE(paid_amount, 0) AS paid, CAST({ASOF} - order_date AS INTEGER) AS age FROM fx_sales_orders),
+y AS (SELECT *, CASE WHEN paid >= total_amount THEN 'paid' WHEN paid = 0 THEN 'pending' ELSE 'partial' END AS st FROM x)
+SELECT id, order_no, order_date, CAST(total_amount AS DOUBLE) AS total_amount, CAST(paid AS DOUBLE) AS paid_amount,
+  CAST(greatest(total_amount - paid, 0) AS DOUBLE) AS outstanding, st AS payment_status, age AS age_days,
+  CASE WHEN age <= 30 THEN '0-30' WHEN age <= 60 THEN '31-60' WHEN age <= 90 THEN '61-90' ELSE '90+' END AS age_bucket,
+  (st <> 'paid' AND age > 30) AS overdue
+FROM y
+"""
+
+BODIES["purchase_progress"] = """
+WITH l AS (SELECT order_id, CAST(SUM(quantity) AS BIGINT) AS ordered, CAST(SUM(received_quantity) AS BIGINT) AS received
+  FROM fx_purchase_order_items GROUP BY order_id)
+SELECT p.id, p.order_no, p.supplier_id, l.ordered, l.received,
+  CAST(l.received AS DOUBLE) / NULLIF(CAST(l.ordered AS DOUBLE), 0) AS progress,
+  CASE WHEN l.ordered IS NULL THEN 'no_lines' WHEN l.received >= l.ordered THEN 'received'
+       WHEN l.received > 0 THEN 'partial' ELSE 'pending' END AS receipt_status
+FROM fx_purchase_orders p LEFT JOIN l ON p.id = l.order_id
+"""
+
+BODIES["finance_summary"] = f"""
+SELECT month, transaction_type, category, {msum('amount')} AS amount, COUNT(*) AS transactions,
+  GROUPING(month, transaction_type, category) AS level
+FROM (SELECT strftime(transaction_date, '%Y-%m') AS month, * FROM fx_financial_transactions) f
+GROUP BY ROLLUP (month, transaction_type, category)
+"""
+
+BODIES["account_balance"] = """
+WITH legs AS (
+  SELECT account_to AS account, CAST(amount AS DECIMAL(18,2)) AS i, CAST(0 AS DECIMAL(18,2)) AS o
+  FROM fx_financial_transactions WHERE account_to IS NOT NULL
+  UNION ALL
+  SELECT account_from, CAST(0 AS DECIMAL(18,2)), CAST(amount AS DECIMAL(18,2))
+  FROM fx_financial_transactions WHERE account_from IS NOT NULL)
+SELECT account, CAST(SUM(i) AS DOUBLE) AS inflow, CAST(SUM(o) AS DOUBLE) AS outflow,
+  CAST(SUM(i) - SUM(o) AS DOUBLE) AS balance
+FROM legs GROUP BY account
+"""
+
+BODIES["promotion_match"] = f"""
+WITH promo AS (
+  SELECT id AS promotion_id, discount_type, discount_value, min_amount, start_date, end_date,
+    CAST(applicable_products AS BIGINT[]) AS prods
+  FROM fxc_promotions WHERE COALESCE(is_active, 1) = 1),
+lines AS (SELECT i.order_id, i.product_id, i.quantity, i.line_total, o.order_date, o.total_amount AS order_total
+  FROM {LINES}),
+k AS (SELECT DISTINCT order_date, product_id, order_total, line_total FROM lines),
+cand AS (
+  SELECT k.*, p.promotion_id,
+    CASE WHEN p.discount_type = 'percentage'
+      THEN CAST(CAST(k.line_total AS DECIMAL(18,2)) * CAST(p.discount_value / 100 AS DECIMAL(9,4)) AS DECIMAL(28,6))
+      ELSE CAST(CAST(p.discount_value AS DECIMAL(18,2)) AS DECIMAL(28,6)) END AS discount
+  FROM k JOIN promo p ON k.order_date BETWEEN p.start_date AND p.end_date AND k.order_total >= p.min_amount
+    AND (len(p.prods) = 0 OR list_contains(p.prods, k.product_id))),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (
+  PARTITION BY order_date, product_id, order_total, line_total ORDER BY discount DESC, promotion_id ASC) = 1)
+SELECT l.order_id, l.product_id, l.order_date, l.quantity, l.line_total, b.promotion_id,
+  CAST(b.discount AS DOUBLE) AS discount
+FROM lines l JOIN best b ON l.order_date = b.order_date AND l.product_id = b.product_id
+  AND l.order_total = b.order_total AND l.line_total = b.line_total
+"""
+
+BODIES["freight_quote"] = """
+WITH c AS (SELECT code, CAST(price_per_kg AS DECIMAL(18,2)) AS p, CAST(min_charge AS DECIMAL(18,2)) AS m
+  FROM fx_carriers WHERE is_active = 1),
+q AS (SELECT s.id, s.shipping_no, s.weight, c.code,
+    greatest(CAST(CAST(s.weight AS DECIMAL(12,3)) * c.p AS DECIMAL(18,3)), CAST(c.m AS DECIMAL(18,3))) AS cost
+  FROM fx_shipping_orders s CROSS JOIN c)
+SELECT id, shipping_no, weight, code AS carrier_code, CAST(cost AS DOUBLE) AS quote FROM q
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, code) = 1
+"""
+
+BODIES["delivery_performance"] = """
+SELECT s.carrier_code, c.name AS carrier_name, COUNT(*) AS delivered,
+  CAST(SUM(s.actual_delivery - s.shipping_date) AS DOUBLE) / COUNT(*) AS avg_days,
+  COUNT(*) FILTER (WHERE s.actual_delivery <= s.expected_delivery) AS on_time,
+  COUNT(*) FILTER (WHERE s.actual_delivery <= s.expected_delivery) / COUNT(*) AS on_time_rate
+FROM fx_shipping_orders s LEFT JOIN fx_carriers c ON s.carrier_code = c.code
+WHERE s.actual_delivery IS NOT NULL GROUP BY s.carrier_code, c.name
+"""
+
+BODIES["supplier_scorecard"] = """
+WITH ex AS (SELECT receiving_order_id AS id, COUNT(*) AS n FROM fx_exception_records
+  WHERE receiving_order_id IS NOT NULL GROUP BY receiving_order_id)
+SELECT r.supplier_id, COUNT(*) AS receipts,
+  COUNT(*) FILTER (WHERE r.receiving_date <= r.planned_date) AS on_time,
+  COUNT(*) FILTER (WHERE r.quality_score >= 80) AS quality_pass,
+  CAST(COALESCE(SUM(ex.n), 0) AS BIGINT) AS issues,
+  COUNT(*) FILTER (WHERE r.receiving_date <= r.planned_date) / COUNT(*) AS on_time_rate,
+  COUNT(*) FILTER (WHERE r.quality_score >= 80) / COUNT(*) AS quality_pass_rate
+FROM fx_receiving_orders r LEFT JOIN ex ON r.id = ex.id GROUP BY r.supplier_id
+"""
+
+BODIES["receipt_quality"] = """
+WITH g AS (SELECT receiving_order_id, CAST(SUM(ordered_quantity) AS BIGINT) AS ordered,
+    CAST(SUM(received_quantity) AS BIGINT) AS received, CAST(SUM(rejected_quantity) AS BIGINT) AS rejected
+  FROM fx_receiving_items GROUP BY receiving_order_id)
+SELECT *, CAST(greatest(ordered - received, 0) AS BIGINT) AS shortage,
+  CAST(greatest(ordered - received, 0) AS DOUBLE) / NULLIF(CAST(ordered AS DOUBLE), 0) AS shortage_rate,
+  CAST(rejected AS DOUBLE) / NULLIF(CAST(received AS DOUBLE), 0) AS reject_rate
+FROM g
+"""
+
+BODIES["packing_performance"] = """
+SELECT assigned_to, COUNT(*) AS tasks, COUNT(actual_time) AS completed,
+  SUM(actual_time) / COUNT(actual_time) AS avg_actual, SUM(estimated_time) / COUNT(estimated_time) AS avg_estimated,
+  SUM(actual_time - estimated_time) / COUNT(actual_time - estimated_time) AS avg_overrun,
+  quantile_cont(actual_time, 0.5) AS p50_actual, quantile_cont(actual_time, 0.9) AS p90_actual
+FROM fxc_packing_tasks GROUP BY assigned_to
+"""
+
+BODIES["exception_cost"] = f"""
+SELECT exception_type, responsible_party, COUNT(*) AS exceptions, {msum('financial_impact')} AS cost,
+  GROUPING(exception_type, responsible_party) AS level
+FROM fx_exception_records GROUP BY CUBE (exception_type, responsible_party)
+"""
+
+BODIES["expiry_watch"] = f"""
+SELECT receiving_order_id, product_id, expiry_date, received_quantity - COALESCE(rejected_quantity, 0) AS quantity,
+  CAST(expiry_date - {ASOF} AS INTEGER) AS days_left, expiry_date < {ASOF} AS expired
+FROM fx_receiving_items
+WHERE expiry_date <= {ASOF} + 30 AND expiry_date >= {ASOF} - 30 AND received_quantity - COALESCE(rejected_quantity, 0) > 0
+"""
+
+BODIES["audit_diff"] = """
+WITH k AS (
+  SELECT id, table_name, record_id, old_data, new_data,
+    unnest(list_distinct(list_concat(json_keys(old_data), json_keys(new_data)))) AS key
+  FROM fx_operation_logs),
+v AS (SELECT id, table_name, record_id, key, json_extract_string(old_data, '$.' || key) AS old_value,
+    json_extract_string(new_data, '$.' || key) AS new_value FROM k)
+SELECT * FROM v WHERE old_value IS DISTINCT FROM new_value
+"""
+
+DAILY_90 = f"""
+cal AS (SELECT {ASOF} - CAST(i AS INTEGER) AS date FROM range(0, 90) t(i)),
+daily AS (SELECT o.order_date AS date, SUM(CAST(i.line_total AS DECIMAL(18,2))) AS revenue FROM {LINES}
+  WHERE o.order_date > {ASOF} - 90 AND o.order_date <= {ASOF} GROUP BY o.order_date)"""
+BODIES["sales_forecast"] = f"""
+WITH {DAILY_90},
+s AS (SELECT CAST(c.date - {ASOF} AS BIGINT) AS x, COALESCE(d.revenue, 0) AS y FROM cal c LEFT JOIN daily d ON c.date = d.date),
+fit AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(x) AS DOUBLE) AS sx, CAST(SUM(x * x) AS DOUBLE) AS sxx,
+  CAST(SUM(y) AS DOUBLE) AS sy, CAST(SUM(x * y) AS DOUBLE) AS sxy FROM s),
+f2 AS (SELECT n, sx, sy, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM fit),
+f3 AS (SELECT slope, (sy - slope * sx) / n AS intercept FROM f2)
+SELECT {ASOF} + CAST(k AS INTEGER) AS date, round(greatest(intercept + slope * k, 0.0), 4) AS forecast
+FROM range(1, 8) r(k), f3
+"""
+
+BODIES["churn_risk"] = f"""
+WITH g AS (
+  SELECT customer_id AS id, COUNT(*) AS orders, min(order_date) AS first_order, max(order_date) AS last_order,
+    SUM(CAST(total_amount AS DECIMAL(18,2))) AS spend
+  FROM fx_sales_orders GROUP BY customer_id HAVING COUNT(*) >= 2),
+p AS (SELECT quantile_cont(CAST(spend AS DOUBLE), 0.75) AS p75 FROM g)
+SELECT id, orders, first_order, last_order, CAST(last_order - first_order AS DOUBLE) / (orders - 1) AS mean_gap_days,
+  CAST({ASOF} - last_order AS INTEGER) AS recency_days, CAST(spend AS DOUBLE) AS spend,
+  ({ASOF} - last_order) > 2.0 * (CAST(last_order - first_order AS DOUBLE) / (orders - 1)) AS churn_risk,
+  CAST(spend AS DOUBLE) >= p.p75 AS high_value
+FROM g, p
+"""
+
+SOLD_30 = f"""sold AS (SELECT i.product_id AS id, CAST(SUM(i.quantity) AS BIGINT) AS s FROM {LINES}
+  WHERE o.order_date > {ASOF} - 30 AND o.order_date <= {ASOF} GROUP BY i.product_id)"""
+BODIES["replenishment"] = f"""
+WITH {SOLD_30},
+x AS (SELECT p.id, p.name, p.current_stock, p.min_stock, p.max_stock,
+    CAST(p.current_stock - COALESCE(p.reserved_stock, 0) AS BIGINT) AS available,
+    CAST(COALESCE(s.s, 0) AS DOUBLE) / CAST(30 AS DOUBLE) AS mean_daily_sales
+  FROM fx_products p LEFT JOIN sold s ON p.id = s.id),
+y AS (SELECT *, CASE WHEN mean_daily_sales > 0 THEN available / mean_daily_sales END AS cover_days FROM x)
+SELECT id, name, current_stock, min_stock, max_stock, available, mean_daily_sales, cover_days,
+  CAST(greatest(max_stock - available, 0) AS BIGINT) AS suggested_qty
+FROM y WHERE COALESCE(cover_days < 7.0, false) OR COALESCE(current_stock <= min_stock, false)
+"""
+
+BODIES["sales_anomaly"] = f"""
+WITH daily AS (SELECT o.order_date AS date, CAST(SUM(CAST(i.line_total AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS revenue
+  FROM {LINES} GROUP BY o.order_date),
+s AS (SELECT date, revenue, COUNT(revenue) OVER w AS n, SUM(revenue) OVER w AS s1, SUM(revenue * revenue) OVER w AS s2
+  FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT date, CAST(revenue AS DOUBLE) AS revenue, CAST(s1 AS DOUBLE) / n AS mean,
+    (CAST(s2 AS DOUBLE) - CAST(s1 AS DOUBLE) * CAST(s1 AS DOUBLE) / n) / (n - 1) AS var
+  FROM s WHERE n >= 7)
+SELECT date, revenue, round(mean, 4) AS mean_prior,
+  round(CASE WHEN var > 0 THEN (revenue - mean) / sqrt(var) END, 4) AS z_score,
+  COALESCE(abs(CASE WHEN var > 0 THEN (revenue - mean) / sqrt(var) END) > 3.0, false) AS is_anomaly
+FROM z
+"""
+
+BODIES["promotion_candidates"] = f"""
+WITH {SOLD_30}
+SELECT p.id, p.name, p.current_stock, p.max_stock, CAST(COALESCE(s.s, 0) AS BIGINT) AS sold
+FROM fx_products p LEFT JOIN sold s ON p.id = s.id
+WHERE p.current_stock >= p.max_stock AND COALESCE(s.s, 0) < CAST(0.10 AS DECIMAL(9,4)) * p.current_stock
+"""
+
+BODIES["abc_analysis"] = """
+WITH rev AS (SELECT product_id, SUM(CAST(line_total AS DECIMAL(18,2))) AS r FROM fx_sales_order_items GROUP BY product_id),
+c AS (SELECT product_id, r, SUM(r) OVER (ORDER BY r DESC, product_id ASC ROWS UNBOUNDED PRECEDING) AS cum,
+    SUM(r) OVER () AS tot FROM rev),
+d AS (SELECT product_id, CAST(r AS DOUBLE) AS revenue, CAST(cum AS DOUBLE) AS cumulative_revenue,
+    CAST(cum AS DOUBLE) / CAST(tot AS DOUBLE) AS cumulative_share FROM c)
+SELECT *, CASE WHEN cumulative_share <= CAST(0.8 AS DOUBLE) THEN 'A'
+  WHEN cumulative_share <= CAST(0.95 AS DOUBLE) THEN 'B' ELSE 'C' END AS abc_class FROM d
+"""
+
+BODIES["stock_turnover"] = f"""
+WITH cogs AS (SELECT i.product_id AS id, SUM(CAST(i.quantity * i.cost_price AS DECIMAL(18,2))) AS c FROM {LINES}
+  WHERE o.order_date > {ASOF} - 365 AND o.order_date <= {ASOF} GROUP BY i.product_id)
+SELECT p.id, p.name, CAST(COALESCE(c.c, 0) AS DOUBLE) AS cogs,
+  CAST(CAST(p.current_stock * p.cost_price AS DECIMAL(18,2)) AS DOUBLE) AS stock_value,
+  CAST(COALESCE(c.c, 0) AS DOUBLE) / NULLIF(CAST(CAST(p.current_stock * p.cost_price AS DECIMAL(18,2)) AS DOUBLE), 0)
+    AS turnover
+FROM fx_products p LEFT JOIN cogs c ON p.id = c.id
+"""
+
+BODIES["sales_cube"] = f"""
+SELECT month, category_id, segment, {msum('line_total')} AS revenue, COUNT(*) AS lines,
+  GROUPING(month, category_id, segment) AS level
+FROM (SELECT strftime(o.order_date, '%Y-%m') AS month, p.category_id, c.customer_type AS segment, i.line_total
+  FROM {LINES} LEFT JOIN fx_products p ON i.product_id = p.id LEFT JOIN fx_customers c ON o.customer_id = c.id) x
+GROUP BY CUBE (month, category_id, segment)
+"""
+
+BODIES["member_loyalty"] = """
+WITH per AS (SELECT customer_id AS id, COUNT(*) AS n, SUM(CAST(total_amount AS DECIMAL(18,2))) AS s
+  FROM fx_sales_orders GROUP BY customer_id),
+g AS (SELECT c.member_level, COUNT(*) AS customers, COUNT(per.n) AS buyers, COALESCE(SUM(per.s), 0) AS spend,
+    COUNT(*) FILTER (WHERE per.n >= 2) AS repeat_buyers
+  FROM fx_customers c LEFT JOIN per ON c.id = per.id GROUP BY c.member_level)
+SELECT member_level, customers, buyers, CAST(spend AS DOUBLE) AS spend,
+  CAST(spend AS DOUBLE) / NULLIF(CAST(SUM(spend) OVER () AS DOUBLE), 0) AS spend_share,
+  CAST(repeat_buyers AS DOUBLE) / NULLIF(CAST(buyers AS DOUBLE), 0) AS repeat_rate
+FROM g
+"""
+
+
+def _sub(key: str) -> str:
+    return "(" + with_views(BODIES[key]).strip() + ")"
+
+
+BODIES["action_list"] = f"""
+WITH f AS (
+  SELECT 'stock_out' AS kind, CAST(id AS VARCHAR) AS subject, CAST(suggested_qty AS DOUBLE) AS amount, 1 AS severity
+  FROM {_sub('replenishment')} r
+  UNION ALL SELECT 'churn', CAST(id AS VARCHAR), spend, 2 FROM {_sub('churn_risk')} c WHERE churn_risk
+  UNION ALL SELECT 'anomaly', CAST(date AS VARCHAR), revenue, 3 FROM {_sub('sales_anomaly')} a WHERE is_anomaly
+  UNION ALL SELECT 'overstock', CAST(id AS VARCHAR), CAST(current_stock AS DOUBLE), 4
+  FROM {_sub('promotion_candidates')} p)
+SELECT kind, subject, amount, severity,
+  row_number() OVER (ORDER BY severity ASC, amount DESC, subject ASC) AS rank
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v) for k, v in BODIES.items()}
