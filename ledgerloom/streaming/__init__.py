@@ -1,0 +1,3 @@
+"""Streaming feeds."""
+
+from .feeds import hourly_errors, hourly_performance, latest_tracking, read_latest_tracking, start_latest_tracking  # noqa: F401
