@@ -135,12 +135,15 @@ def normalise_sales(sales: DataFrame, customers: DataFrame, products: DataFrame)
     prod_ids = new_products.groupBy(F.col("name").alias("product_name")).agg(F.min("id").alias("product_id"))
     order_id = F.coalesce(F.col("id"), F.xxhash64(*[F.col(c) for c in sales.columns if c != "id"]))
     keyed = sales.withColumn("order_id", order_id)
+    # identical flat rows hash to one key: they become one order with one line each
     orders = (keyed.join(cust_ids, on="customer_name", how="left")
+              .groupBy("order_id")
+              .agg(F.min("customer_id").alias("customer_id"), F.min("date").alias("order_date"),
+                   F.sum(F.col("total_amount").cast(MONEY)).cast(MONEY).alias("total"),
+                   F.min("created_at").alias("created_at"))
               .select(F.col("order_id").alias("id"), F.concat(F.lit("SO"), F.col("order_id").cast("string")).alias("order_no"),
-                      "customer_id", F.col("date").alias("order_date"),
-                      F.col("total_amount").cast(MONEY).alias("subtotal"),
-                      F.col("total_amount").cast(MONEY).alias("total_amount"),
-                      F.col("total_amount").cast(MONEY).alias("paid_amount"), "created_at"))
+                      "customer_id", "order_date", F.col("total").alias("subtotal"), F.col("total").alias("total_amount"),
+                      F.col("total").alias("paid_amount"), "created_at"))
     lines = (keyed.join(prod_ids, on="product_name", how="left")
              .select("order_id", "product_id", "quantity", "unit_price",
                      F.col("total_amount").cast(MONEY).alias("line_total")))
