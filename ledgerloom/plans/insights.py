@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, as_date_col, check_days, exact_sum, int_sum
+from ..operators.cumulative import global_running
 from ..tables import Tables
 
 # The survey's thresholds and labels for these reports.
@@ -473,16 +474,16 @@ def promotion_candidates(t: Tables, *, as_of, days: int = 30, share: float = 0.1
 def abc_analysis(t: Tables) -> DataFrame:
     """K6: products ranked by revenue (ties by id): A while the cumulative share <= 0.80, B <= 0.95, else C.
 
-    Revenue is aggregated per product first; the ordered cumulative sum then
-    runs over that per-product result.
+    Revenue is aggregated per product first; the cumulative sum over the
+    global order is computed range-partitioned (``operators.global_running``),
+    not in one task.
     """
     rev = t["sales_order_items"].groupBy("product_id").agg(F.sum(F.col("line_total").cast(MONEY)).alias("_rev"))
     total = rev.agg(F.sum("_rev").alias("t")).scalar()
-    w = Window.orderBy(F.col("_rev").desc(), F.col("product_id").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.sum("_rev").over(w)
-    share = cum.cast("double") / total.cast("double")
-    out = rev.select("product_id", F.col("_rev").cast("double").alias("revenue"),
-                     cum.cast("double").alias("cumulative_revenue"), share.alias("cumulative_share"))
+    ranked = global_running(rev, [F.col("_rev").desc(), F.col("product_id").asc()], "_rev", sum_col="_cum")
+    share = F.col("_cum").cast("double") / total.cast("double")
+    out = ranked.select("product_id", F.col("_rev").cast("double").alias("revenue"),
+                        F.col("_cum").cast("double").alias("cumulative_revenue"), share.alias("cumulative_share"))
     return out.withColumn("abc_class", F.when(F.col("cumulative_share") <= ABC_A, "A")
                           .when(F.col("cumulative_share") <= ABC_B, "B").otherwise("C"))
 
@@ -523,8 +524,9 @@ def action_list(t: Tables, *, as_of) -> DataFrame:
     sev = F.when(F.col("kind") == "stock_out", 1).when(F.col("kind") == "churn", 2).when(
         F.col("kind") == "anomaly", 3).otherwise(4)
     allf = allf.withColumn("severity", sev)
-    w = Window.orderBy(F.col("severity").asc(), F.col("amount").desc(), F.col("subject").asc())
-    return allf.withColumn("rank", F.row_number().over(w))
+    order = [F.col("severity").asc(), F.col("amount").desc(), F.col("subject").asc()]
+    ranked = global_running(allf, order, count_col="rank")  # range-partitioned, not one task
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 # ------------------------------------------------------------------ K9

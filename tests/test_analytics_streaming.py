@@ -152,3 +152,15 @@ def test_cube_and_rollup_reports_run_on_empty_tables(spark, fn):
     t = Tables.from_frames(spark, {n: spark.createDataFrame([], SCHEMAS[n]) for n in names})
     rows = fn(t).collect()
     assert len(rows) <= 1
+
+
+def test_global_running_matches_single_window_with_heavy_ties(spark):
+    from ledgerloom.operators import global_running
+    rnd = random.Random(3)
+    rows = [(i, 0 if i % 3 else rnd.randint(1, 50)) for i in range(1, 5001)]  # two thirds tie at 0
+    df = spark.createDataFrame(rows, "id bigint, v bigint")
+    got = global_running(df, [F.col("v").desc(), F.col("id").asc()], "v", partitions=7).toPandas()
+    pdf = pd.DataFrame(rows, columns=["id", "v"]).sort_values(["v", "id"], ascending=[False, True])
+    pdf["rs"], pdf["rc"] = pdf["v"].cumsum(), range(1, len(pdf) + 1)
+    m = got.merge(pdf, on="id")
+    assert len(m) == 5000 and (m["running_sum"] == m["rs"]).all() and (m["running_count"] == m["rc"]).all()
