@@ -28,15 +28,31 @@ def child_rollup(parent: DataFrame, parent_key: str, child: DataFrame, child_key
     return out
 
 
-def nest_children(child: DataFrame, key: str, fields: list[str], name: str,
-                  sort_fields: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """One row per ``key`` with its children as ``array<struct<fields>>``.
+DEFAULT_PAGE_SIZE = 10_000
+
 
-    The array is sorted by ``sort_fields`` (placed first in the struct so the
-    natural struct order is the sort order); ``descending`` reverses it.
+def nest_children(child: DataFrame, key: str, fields: list[str], name: str,
+                  sort_fields: list[str] | None = None, descending: bool = False,
+                  page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """Rows ``(key, page, name)``: the children of each key as ``array<struct<fields>>``.
+
+    A key with at most ``page_size`` children has one page (0). A larger key
+    is split into ``ceil(n / page_size)`` pages by a hash of the child row,
+    so no single array, row or task has to hold an unbounded group; the hot
+    key's pages are built in parallel. Each array is sorted by
+    ``sort_fields`` (then the other fields); ``descending`` reverses it.
+    ``page_size=None`` keeps every key in one page.
     """
     sort_fields = sort_fields or []
     ordered = sort_fields + [f for f in fields if f not in sort_fields]
+    if page_size:
+        sizes = child.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        n_pages = F.ceil(F.col("_n") / F.lit(page_size))
+        page = F.when(F.col("_n") > page_size,
+                      F.pmod(F.xxhash64(*[F.col(f) for f in fields]), n_pages)).otherwise(F.lit(0))
+        child = child.join(sizes, on=key, how="inner").withColumn("page", page.cast("int"))
+    else:
+        child = child.withColumn("page", F.lit(0))
     packed = F.struct(*[F.col(f) for f in ordered])
     arr = F.array_sort(F.collect_list(packed))
     if descending:
@@ -44,4 +60,4 @@ def nest_children(child: DataFrame, key: str, fields: list[str], name: str,
     if sort_fields and ordered != fields:
         # restore the requested field order inside each element
         arr = F.transform(arr, lambda e: F.struct(*[e[f].alias(f) for f in fields]))
-    return child.groupBy(key).agg(arr.alias(name))
+    return child.groupBy(key, "page").agg(arr.alias(name))

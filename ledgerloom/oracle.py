@@ -147,7 +147,7 @@ QC_TYPE = ("STRUCT(id BIGINT, check_item VARCHAR, standard VARCHAR, result VARCH
            "notes VARCHAR)[]")
 
 BODIES["inspection_report_detail"] = f"""
-SELECT ir.*, CAST(COALESCE(to_json(c.qc), '[]') AS VARCHAR) AS quality_checks
+SELECT ir.*, 0 AS page, CAST(COALESCE(to_json(c.qc), '[]') AS VARCHAR) AS quality_checks
 FROM fx_inspection_reports ir LEFT JOIN (
   SELECT inspection_report_id, {QC_LIST} AS qc
   FROM fxc_quality_checks WHERE inspection_report_id IS NOT NULL GROUP BY inspection_report_id) c
@@ -169,7 +169,7 @@ rep AS (
       'overall_rating': ir.overall_rating, 'quality_checks': COALESCE(c.qc, CAST([] AS {QC_TYPE}))}}, ir.id) AS r
   FROM fx_inspection_reports ir LEFT JOIN checks c ON ir.id = c.inspection_report_id
   GROUP BY ir.receiving_order_id)
-SELECT ro.*, CAST(COALESCE(to_json(i.items), '[]') AS VARCHAR) AS items,
+SELECT ro.*, 0 AS page, CAST(COALESCE(to_json(i.items), '[]') AS VARCHAR) AS items,
   CAST(to_json(rep.r) AS VARCHAR) AS inspection_report
 FROM fxc_receiving_orders ro LEFT JOIN items i ON ro.id = i.receiving_order_id
 LEFT JOIN rep ON ro.id = rep.receiving_order_id
@@ -292,7 +292,7 @@ tr AS (
       'tracking_no': tracking_no, 'location': location, 'description': description}
     ORDER BY CAST(timestamp AS VARCHAR) DESC, id DESC) AS tracking
   FROM fxc_tracking_records GROUP BY shipping_order_id)
-SELECT so.*, CAST(COALESCE(to_json(i.items), '[]') AS VARCHAR) AS items,
+SELECT so.*, 0 AS page, CAST(COALESCE(to_json(i.items), '[]') AS VARCHAR) AS items,
   CAST(COALESCE(to_json(tr.tracking), '[]') AS VARCHAR) AS tracking_info
 FROM fxc_shipping_orders so LEFT JOIN items i ON so.id = i.shipping_order_id
 LEFT JOIN tr ON so.id = tr.shipping_order_id

@@ -224,3 +224,15 @@ def test_keep_last_and_critical(spark):
     assert sorted(r.id for r in telemetry.telemetry_keep_last(df, n=10).collect()) == list(range(21, 31))
     r = telemetry.critical_errors(df).first()
     assert (r.processed, r.critical) == (30, 6)
+
+
+def test_nested_children_page_a_hot_key(spark):
+    from ledgerloom.operators import nest_children
+    rows = [(1, i, i % 7) for i in range(1000)] + [(2, i, 0) for i in range(5)]
+    df = spark.createDataFrame(rows, "k int, item int, q int")
+    pages = nest_children(df, "k", ["item", "q"], "items", sort_fields=["item"], page_size=100).collect()
+    hot = [p for p in pages if p.k == 1]
+    assert len(hot) == 10 and all(len(p.items) <= 250 for p in hot)
+    assert sorted(e.item for p in hot for e in p.items) == list(range(1000))
+    assert all([e.item for e in p.items] == sorted(e.item for e in p.items) for p in hot)
+    assert [(p.page, len(p.items)) for p in pages if p.k == 2] == [(0, 5)]
