@@ -91,6 +91,7 @@ def _upsert_inventory(t):
 
 
 # ---------------------------------------------------------------- receiving
+from .operators.rollup import nest_children  # noqa: E402
 from .plans import receiving, shipping  # noqa: E402
 
 
@@ -172,12 +173,13 @@ def _supplier_rating(t):
 def _split_receiving_orders(t):
     ro, ri = t["receiving_orders"], t["receiving_items"]
     item_fields = ["product_id", "ordered_quantity", "received_quantity", "rejected_quantity", "expiry_date"]
-    nested = ri.groupBy("receiving_order_id").agg(
-        F.array_sort(F.collect_list(F.struct(*item_fields))).alias("items"))
+    # one request per receipt (a receipt above the page size arrives as several requests)
+    nested = nest_children(ri, "receiving_order_id", item_fields, "items", sort_fields=item_fields).drop("page")
     requests = (ro.select(F.col("id").alias("receiving_order_id"), "receiving_no", "supplier_id", "supplier_name",
                           "planned_date", "total_amount")
                 .join(nested, on="receiving_order_id", how="inner").drop("receiving_order_id"))
     headers, items = receiving.split_receiving_orders(requests, run_ts=as_of_date(t))
+    headers = headers.dropDuplicates(["id"])
     return (items.join(headers.select(F.col("id").alias("receiving_order_id"), "receiving_no", "status"),
                        on="receiving_order_id").drop("receiving_order_id"))
 

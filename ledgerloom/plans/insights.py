@@ -403,7 +403,7 @@ def churn_risk(t: Tables, *, as_of, factor: float = 2.0) -> DataFrame:
         F.count(F.lit(1)).alias("orders"), F.min("order_date").alias("first_order"),
         F.max("order_date").alias("last_order"), F.sum(F.col("total_amount").cast(MONEY)).alias("_spend"))
     g = g.where(F.col("orders") >= 2)
-    p75 = g.agg(F.percentile(F.col("_spend").cast("double"), 0.75).alias("p")).scalar()
+    p75 = exact_quantile(g.select(F.col("_spend").cast("double").alias("v"), "id"), "v", 0.75, tie="id")
     mean_gap = F.datediff("last_order", "first_order") / (F.col("orders") - 1)
     recency = F.datediff(d, F.col("last_order"))
     return g.select("id", "orders", "first_order", "last_order", mean_gap.alias("mean_gap_days"),
@@ -412,6 +412,21 @@ def churn_risk(t: Tables, *, as_of, factor: float = 2.0) -> DataFrame:
                     (F.col("_spend").cast("double") >= p75).alias("high_value"))
 
 
+def exact_quantile(df: DataFrame, value: str, q: float, *, tie: str) -> Column:
+    """Exact interpolated quantile of ``value`` (same rule as ``percentile`` / ``quantile_cont``) as a
+    scalar Column, without gathering all values into one task: the two order statistics around
+    ``q * (n - 1)`` are found by a distributed running count (``global_running``)."""
+    n = df.agg(F.count(value).alias("n")).scalar()
+    pos = (n - 1).cast("double") * F.lit(q)
+    ranked = global_running(df.where(F.col(value).isNotNull()), [F.col(value).asc(), F.col(tie).asc()],
+                            count_col="_rn")
+    lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
+    picked = ranked.where((F.col("_rn") == lo) | (F.col("_rn") == hi)).agg(
+        F.min(value).alias("a"), F.max(value).alias("b"))
+    frac = pos - F.floor(pos)
+    return picked.select((F.col("a") + (F.col("b") - F.col("a")) * frac).alias("p")).scalar()
+
+
 # ------------------------------------------------------------------ K3
 def replenishment(t: Tables, *, as_of, days: int = 30, cover_days: float = 7.0) -> DataFrame:
     """available = stock - reserved; mean daily sales over ``days``; flag when cover < ``cover_days``

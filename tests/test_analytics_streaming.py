@@ -164,3 +164,13 @@ def test_global_running_matches_single_window_with_heavy_ties(spark):
     pdf["rs"], pdf["rc"] = pdf["v"].cumsum(), range(1, len(pdf) + 1)
     m = got.merge(pdf, on="id")
     assert len(m) == 5000 and (m["running_sum"] == m["rs"]).all() and (m["running_count"] == m["rc"]).all()
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.75, 0.9, 1.0])
+def test_exact_quantile_matches_linear_interpolation(spark, q):
+    import numpy as np
+    rnd = random.Random(11)
+    vals = [float(rnd.randint(0, 40)) for _ in range(997)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id bigint, v double")
+    got = spark.range(1).select(insights.exact_quantile(df, "v", q, tie="id").alias("p")).first().p
+    assert got == pytest.approx(float(np.quantile(vals, q)), rel=1e-12)
