@@ -227,6 +227,20 @@ def _apply_packing_status(t):
     return shipping.apply_packing_status(t["packing_tasks"], ch)
 
 
+@query("split_shipping_orders")
+def _split_shipping_orders(t):
+    so, si = t["shipping_orders"], t["shipping_items"]
+    item_fields = ["product_id", "line_no", "quantity"]
+    nested = nest_children(si, "shipping_order_id", item_fields, "items", sort_fields=item_fields).drop("page")
+    requests = (so.select(F.col("id").alias("shipping_order_id"), "shipping_no", "customer_name", "shipping_address",
+                          "carrier_code", "shipping_date", "expected_delivery")
+                .join(nested, on="shipping_order_id", how="inner").drop("shipping_order_id"))
+    headers, items = shipping.split_shipping_orders(requests, run_ts=as_of_date(t))
+    headers = headers.dropDuplicates(["id"])
+    return (items.join(headers.select(F.col("id").alias("shipping_order_id"), "shipping_no", "customer_name",
+                                      "status"), on="shipping_order_id").drop("shipping_order_id"))
+
+
 @query("latest_tracking_status")
 def _latest_tracking_status(t):
     return shipping.latest_tracking_status(t["tracking_records"])

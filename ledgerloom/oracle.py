@@ -237,13 +237,20 @@ FROM fx_supplier_evaluations
 BODIES["split_receiving_orders"] = """
 SELECT CAST(row_number() OVER (PARTITION BY ri.receiving_order_id
     ORDER BY ri.product_id, ri.ordered_quantity, ri.received_quantity, ri.rejected_quantity, ri.expiry_date) - 1
-    AS INTEGER) AS line_no,
+    AS INTEGER) AS item_index,
   ri.product_id, ri.ordered_quantity, ri.received_quantity, ri.rejected_quantity, ri.expiry_date,
   ro.receiving_no, 'pending' AS status
 FROM fx_receiving_items ri JOIN fx_receiving_orders ro ON ro.id = ri.receiving_order_id
 """
 
 # ---------------------------------------------------------------- shipping
+BODIES["split_shipping_orders"] = """
+SELECT CAST(row_number() OVER (PARTITION BY si.shipping_order_id ORDER BY si.product_id, si.line_no, si.quantity) - 1
+    AS INTEGER) AS item_index,
+  si.product_id, si.line_no, si.quantity, so.shipping_no, so.customer_name, 'preparing' AS status
+FROM fx_shipping_items si JOIN fx_shipping_orders so ON so.id = si.shipping_order_id
+"""
+
 BODIES["shipping_order_list"] = """
 SELECT so.*, COALESCE(c.item_count, 0) AS item_count, c.total_quantity
 FROM fxc_shipping_orders so LEFT JOIN (

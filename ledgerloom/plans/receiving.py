@@ -161,8 +161,8 @@ def split_receiving_orders(requests: DataFrame, *, run_ts) -> tuple[DataFrame, D
     keyed = requests.withColumn("id", name_key(F.col("receiving_no")))
     headers = keyed.select("id", *[c for c in header_cols if c not in ("id", "status")],
                            F.lit(NEW_RECEIPT_STATUS).alias("status"), as_ts_col(run_ts).alias("created_at"))
-    items = (keyed.select(F.col("id").alias("receiving_order_id"), F.posexplode("items").alias("line_no", "item"))
-             .select("receiving_order_id", "line_no", "item.*"))
+    items = (keyed.select(F.col("id").alias("receiving_order_id"), F.posexplode("items").alias("item_index", "item"))
+             .select("receiving_order_id", "item_index", "item.*"))
     return headers, items
 
 

@@ -106,8 +106,8 @@ def split_shipping_orders(requests: DataFrame, *, run_ts) -> tuple[DataFrame, Da
     keyed = requests.withColumn("id", name_key(F.col("shipping_no")))
     headers = keyed.select("id", *[c for c in header_cols if c not in ("id", "status")],
                            F.lit(NEW_SHIPMENT_STATUS).alias("status"), as_ts_col(run_ts).alias("created_at"))
-    items = (keyed.select(F.col("id").alias("shipping_order_id"), F.posexplode("items").alias("line_no", "item"))
-             .select("shipping_order_id", "line_no", "item.*"))
+    items = (keyed.select(F.col("id").alias("shipping_order_id"), F.posexplode("items").alias("item_index", "item"))
+             .select("shipping_order_id", "item_index", "item.*"))
     return headers, items
 
 

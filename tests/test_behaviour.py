@@ -236,3 +236,23 @@ def test_nested_children_page_a_hot_key(spark):
     assert sorted(e.item for p in hot for e in p.items) == list(range(1000))
     assert all([e.item for e in p.items] == sorted(e.item for e in p.items) for p in hot)
     assert [(p.page, len(p.items)) for p in pages if p.k == 2] == [(0, 5)]
+
+
+def test_append_tracking_and_exceptions_shapes(spark):
+    scans = spark.createDataFrame([(5, TS(2024, 1, 1), "picked")], "shipping_order_id bigint, timestamp timestamp, status string")
+    r = shipping.append_tracking(scans).first()
+    assert (r.shipping_order_id, r.status, r.location) == (5, "picked", None)
+    batch = spark.createDataFrame([(1, "damage", ["a.jpg", "b.jpg"])],
+                                  "receiving_order_id bigint, exception_type string, evidence_files array<string>")
+    e = receiving.append_exceptions(batch, run_ts="2024-01-01 00:00:00").first()
+    assert e.status == "reported" and e.evidence_files == '["a.jpg","b.jpg"]' and e.created_at == TS(2024, 1, 1)
+
+
+def test_split_requests_header_status_and_item_positions(spark):
+    req = spark.createDataFrame([("SH1", "Ann", [(7, 2), (8, 1)])],
+                                "shipping_no string, customer_name string, items array<struct<product_id:bigint,quantity:int>>")
+    headers, items = shipping.split_shipping_orders(req, run_ts="2024-01-01 00:00:00")
+    h = headers.first()
+    assert h.status == "preparing" and h.shipping_no == "SH1"
+    assert sorted((r.item_index, r.product_id, r.shipping_order_id == h.id) for r in items.collect()) == \
+        [(0, 7, True), (1, 8, True)]
