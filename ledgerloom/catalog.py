@@ -16,11 +16,12 @@ from .tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-_TABLES: dict[tuple[int, str], Tables] = {}
+_TABLES: dict[tuple[str, int, str], Tables] = {}
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (id(spark), sf_dir)
+    # the application id changes with every new SparkContext, so a stopped session's frames are never reused
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _TABLES:
         _TABLES[key] = fixtures.driver_tables(spark, sf_dir)
     return _TABLES[key]
