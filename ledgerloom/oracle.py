@@ -751,7 +751,8 @@ FROM y WHERE COALESCE(cover_days < 7.0, false) OR COALESCE(current_stock <= min_
 BODIES["sales_anomaly"] = f"""
 WITH daily AS (SELECT o.order_date AS date, CAST(SUM(CAST(i.line_total AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS revenue
   FROM {LINES} GROUP BY o.order_date),
-s AS (SELECT date, revenue, COUNT(revenue) OVER w AS n, SUM(revenue) OVER w AS s1, SUM(revenue * revenue) OVER w AS s2
+s AS (SELECT date, revenue, COUNT(revenue) OVER w AS n, SUM(revenue) OVER w AS s1,
+    SUM(CAST(revenue AS DECIMAL(38,2)) * CAST(revenue AS DECIMAL(38,2))) OVER w AS s2
   FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
 z AS (SELECT date, CAST(revenue AS DOUBLE) AS revenue, CAST(s1 AS DOUBLE) / n AS mean,
     (CAST(s2 AS DOUBLE) - CAST(s1 AS DOUBLE) * CAST(s1 AS DOUBLE) / n) / (n - 1) AS var
