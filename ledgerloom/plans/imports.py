@@ -58,9 +58,8 @@ class ImportResult:
 
     def summary(self) -> DataFrame:
         """Success and failure counts (errors stay rows in ``rejects``, ordered by line)."""
-        ok = self.good_rows.agg(F.count(F.lit(1)).alias("success"))
-        bad = self.rejects.agg(F.count(F.lit(1)).alias("failed"))
-        return ok.join(bad, how="cross")
+        bad = self.rejects.agg(F.count(F.lit(1))).scalar()
+        return self.good_rows.agg(F.count(F.lit(1)).alias("success")).select("success", bad.alias("failed"))
 
 
 def rename_headers(raw: DataFrame, kind: str) -> DataFrame:

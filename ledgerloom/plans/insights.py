@@ -385,12 +385,12 @@ def sales_forecast(t: Tables, *, as_of, history: int = 90, horizon: int = 7) ->
     fit = fit.select("n", "sx", "sxx", F.col("_sy").cast("double").alias("sy"),
                      F.col("_sxy").cast("double").alias("sxy"))
     slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    fit = fit.select("*", slope.alias("slope")).select(
-        "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))
+    fit = fit.select("*", slope.alias("slope")).select(F.struct(
+        "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept")).alias("f")).scalar()
     ahead = t.spark.range(1, horizon + 1).select(F.col("id").cast("int").alias("k"))
-    return ahead.join(fit, how="cross").select(  # fit is a single row
-        F.date_add(d, F.col("k")).alias("date"),
-        F.round(F.greatest(F.col("intercept") + F.col("slope") * F.col("k"), F.lit(0.0)), 4).alias("forecast"))
+    line = fit["intercept"] + fit["slope"] * F.col("k")
+    return ahead.select(F.date_add(d, F.col("k")).alias("date"),
+                        F.round(F.greatest(line, F.lit(0.0)), 4).alias("forecast"))
 
 
 # ------------------------------------------------------------------ K2

@@ -56,9 +56,8 @@ def receiving_stats(t: Tables) -> DataFrame:
         exact_sum("received_amount").alias("received_amount"),
         F.try_divide(F.sum("quality_score"), F.count("quality_score").cast("double")).alias("avg_quality_score"),
     )
-    exc = t["exception_records"].agg(
-        F.count_if(F.col("status").isin(*OPEN_EXCEPTION_STATUSES)).alias("open_exceptions"))
-    return kpi.join(exc, how="cross")  # two single-row aggregates
+    open_exc = t["exception_records"].agg(F.count_if(F.col("status").isin(*OPEN_EXCEPTION_STATUSES))).scalar()
+    return kpi.select("*", open_exc.alias("open_exceptions"))
 
 
 def receiving_daily(t: Tables, *, as_of, days: int = 30) -> DataFrame:

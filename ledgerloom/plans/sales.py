@@ -32,12 +32,12 @@ def dashboard_overview(t: Tables, *, as_of, days: int = 30) -> DataFrame:
         F.coalesce(exact_sum("total_amount"), F.lit(0.0)).alias("total_sales"),
         F.coalesce(exact_sum(F.when(F.col("date") == day, F.col("total_amount"))), F.lit(0.0)).alias("today_sales"),
     )
-    inv = t["inventory"].agg(
+    inv = t["inventory"].agg(F.struct(
         F.countDistinct("product_name").alias("total_products"),
         F.count_if(F.col("current_stock") <= F.col("min_stock")).alias("low_stock_count"),
-    )
-    # both sides are single-row aggregates
-    return sales.join(inv, how="cross").select("total_sales", "total_products", "low_stock_count", "today_sales")
+    ).alias("s")).scalar()  # one-row aggregate as a scalar subquery
+    return sales.select("total_sales", inv["total_products"].alias("total_products"),
+                        inv["low_stock_count"].alias("low_stock_count"), "today_sales")
 
 
 def sales_list(t: Tables) -> DataFrame:

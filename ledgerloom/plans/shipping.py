@@ -39,8 +39,8 @@ def shipping_stats(t: Tables) -> DataFrame:
         F.count_if(F.col("status") == DELIVERED_STATUS).alias("delivered_orders"),
         exact_sum("shipping_cost").alias("total_shipping_cost"),
     )
-    tasks = t["packing_tasks"].agg(F.count_if(F.col("status") != DONE_TASK_STATUS).alias("pending_tasks"))
-    return kpi.join(tasks, how="cross")  # two single-row aggregates
+    pending = t["packing_tasks"].agg(F.count_if(F.col("status") != DONE_TASK_STATUS)).scalar()
+    return kpi.select("*", pending.alias("pending_tasks"))
 
 
 def shipping_daily(t: Tables, *, as_of, days: int = 30) -> DataFrame:
