@@ -143,10 +143,10 @@ def test_csv_writer_quotes_and_zeros(spark, tmpdir_path):
     df = spark.createDataFrame([("a,b", 'q"q', 0, "line1\nline2")], "x string, y string, z int, w string")
     out = os.path.join(tmpdir_path, "out")
     files.write_report(df, out, "csv")
-    text = open(glob.glob(os.path.join(out, "part-*.csv"))[0], encoding="utf-8").read()
-    assert text.startswith("x,y,z,w\n")
-    assert '"a,b","q""q",0,"line1\nline2"' in text
-    assert not text.startswith("﻿")
+    parts = [open(p, encoding="utf-8").read() for p in sorted(glob.glob(os.path.join(out, "part-*.csv")))]
+    assert all(p.startswith("x,y,z,w\n") for p in parts)
+    assert any('"a,b","q""q",0,"line1\nline2"' in p for p in parts)
+    assert not any(p.startswith("﻿") for p in parts)
 
 
 def test_export_dispatch_and_headers(spark, tmpdir_path):
