@@ -18,7 +18,7 @@ from ..operators.dims import name_key
 # Seed rows of the reference (settings, accounts, carriers from the schema; categories
 # and suppliers from the migration), and the migration's defaults.
 SEED_SETTINGS = [
-    ("company_name", "AI数据智能分析", "公司名称"),
+    ("company_name", "", "公司名称"),  # value left blank: set by the deployment
     ("default_tax_rate", "0.13", "默认税率"),
     ("low_stock_threshold", "10", "低库存预警阈值"),
     ("currency", "CNY", "默认货币"),
