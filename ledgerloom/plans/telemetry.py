@@ -92,3 +92,15 @@ def critical_errors(batch: DataFrame) -> DataFrame:
 def telemetry_keep_last(log: DataFrame, *, n: int = KEEP_ERRORS, order=("id",)) -> DataFrame:
     """Retention: the newest ``n`` rows by arrival sequence."""
     return keep_last(log, list(order), n)
+
+
+def append_reports(log: DataFrame, batch: DataFrame, *, run_ts, keep: int = KEEP_ERRORS,
+                   seq: str = "id", processed: bool | None = False) -> DataFrame:
+    """Stamp an incoming batch (``server_ts`` = run time; ``processed`` = false for error reports,
+    ``None`` for metrics), append it to the log and keep the newest ``keep`` rows by arrival
+    sequence ``seq`` (ingestion assigns increasing sequence numbers)."""
+    stamped = batch.withColumn("server_ts", as_ts_col(run_ts))
+    if processed is not None:
+        stamped = stamped.withColumn("processed", F.lit(processed))
+    both = log.unionByName(stamped, allowMissingColumns=True)
+    return keep_last(both, [seq], keep)

@@ -256,3 +256,11 @@ def test_split_requests_header_status_and_item_positions(spark):
     assert h.status == "preparing" and h.shipping_no == "SH1"
     assert sorted((r.item_index, r.product_id, r.shipping_order_id == h.id) for r in items.collect()) == \
         [(0, 7, True), (1, 8, True)]
+
+
+def test_append_reports_keeps_newest_by_arrival(spark):
+    log = spark.createDataFrame([(i, "t", "high", TS(2024, 1, 1)) for i in range(1, 9)], SCHEMAS["error_log"])
+    batch = spark.createDataFrame([(i, "t", "critical", TS(2024, 1, 2)) for i in range(9, 12)], SCHEMAS["error_log"])
+    out = telemetry.append_reports(log, batch, run_ts="2024-01-02 00:00:00", keep=5).collect()
+    assert sorted(r.id for r in out) == [7, 8, 9, 10, 11]
+    assert {r.processed for r in out if r.id >= 9} == {False} and {r.processed for r in out if r.id < 9} == {None}
