@@ -264,3 +264,17 @@ def test_append_reports_keeps_newest_by_arrival(spark):
     out = telemetry.append_reports(log, batch, run_ts="2024-01-02 00:00:00", keep=5).collect()
     assert sorted(r.id for r in out) == [7, 8, 9, 10, 11]
     assert {r.processed for r in out if r.id >= 9} == {False} and {r.processed for r in out if r.id < 9} == {None}
+
+
+def test_detail_fetch_by_ids_list_or_frame(spark):
+    so = spark.createDataFrame([(1, "S1"), (2, "S2"), (3, "S3")], "id bigint, shipping_no string")
+    si = spark.createDataFrame([(1, 7, 1, 2), (2, 8, 1, 1)], SCHEMAS["shipping_items"])
+    tr = spark.createDataFrame([(10, 1, None, TS(2024, 1, 1), None, "picked", None),
+                                (11, 1, None, TS(2024, 1, 2), None, "shipped", None)], SCHEMAS["tracking_records"])
+    t = Tables.from_frames(spark, {"shipping_orders": so, "shipping_items": si, "tracking_records": tr})
+    by_list = shipping.shipping_order_detail(t, ids=[1, 3]).collect()
+    assert sorted(r.id for r in by_list) == [1, 3]
+    r1 = [r for r in by_list if r.id == 1][0]
+    assert [x.status for x in r1.tracking_info] == ["shipped", "picked"]  # O6: newest first
+    by_frame = shipping.shipping_order_detail(t, ids=spark.createDataFrame([(2,)], "x bigint")).collect()
+    assert [(r.id, len(r.items), r.tracking_info) for r in by_frame] == [(2, 1, [])]
