@@ -46,11 +46,13 @@ def nest_children(child: DataFrame, key: str, fields: list[str], name: str,
     sort_fields = sort_fields or []
     ordered = sort_fields + [f for f in fields if f not in sort_fields]
     if page_size:
-        sizes = child.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        # only oversized keys need a page number: usually few, so AQE broadcasts this side at run time
+        large = (child.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+                 .where(F.col("_n") > page_size))
         n_pages = F.ceil(F.col("_n") / F.lit(page_size))
-        page = F.when(F.col("_n") > page_size,
+        page = F.when(F.col("_n").isNotNull(),
                       F.pmod(F.xxhash64(*[F.col(f) for f in fields]), n_pages)).otherwise(F.lit(0))
-        child = child.join(sizes, on=key, how="inner").withColumn("page", page.cast("int"))
+        child = child.join(large, on=key, how="left").withColumn("page", page.cast("int")).drop("_n")
     else:
         child = child.withColumn("page", F.lit(0))
     packed = F.struct(*[F.col(f) for f in ordered])
