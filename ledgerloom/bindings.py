@@ -395,8 +395,9 @@ def _normalise_inventory(t):
 
 @query("seed_if_absent")
 def _seed_if_absent(t):
-    cats = normalise.seed_if_absent(t["categories"], normalise.seed_frame(t.spark, "categories"), "name")
-    return cats.select("name", "parent_id")
+    sups = normalise.seed_if_absent(t["suppliers"], normalise.seed_frame(t.spark, "suppliers"), "name",
+                                    defaults=normalise.SEED_DEFAULTS["suppliers"])
+    return sups.select("name", "contact_person", "phone", "credit_rating", "is_active")
 
 
 # ---------------------------------------------------------------- analytics

@@ -513,9 +513,13 @@ SELECT i.product_name AS name, c.id AS category_id, i.current_stock,
 FROM fx_inventory i LEFT JOIN cat_ids c ON c.name = COALESCE(CASE WHEN i.category <> '' THEN i.category END, '其他')
 """
 
+SEED_SUPS = ("(VALUES ('苹果公司', '库克', '400-123-4567'), ('华为公司', '任正非', '400-234-5678'), "
+             "('小米公司', '雷军', '400-345-6789'), ('联想公司', '杨元庆', '400-456-7890'), "
+             "('其他供应商', '联系人', '')) s(name, contact_person, phone)")
+
 BODIES["seed_if_absent"] = f"""
-SELECT name, parent_id FROM fx_categories
-UNION ALL SELECT name, CAST(NULL AS BIGINT) FROM {SEED_CATS} WHERE name NOT IN (SELECT name FROM fx_categories)
+SELECT name, contact_person, phone, credit_rating, is_active FROM fxc_suppliers
+UNION ALL SELECT name, contact_person, phone, 5, 1 FROM {SEED_SUPS} WHERE name NOT IN (SELECT name FROM fx_suppliers)
 """
 
 

@@ -50,6 +50,9 @@ SEED_SUPPLIERS = [  # name, contact_person, phone
     ("联想公司", "杨元庆", "400-456-7890"),
     ("其他供应商", "联系人", ""),
 ]
+# column defaults of the schema for seeded rows (suppliers: credit_rating 5, is_active 1)
+SEED_DEFAULTS = {"suppliers": {"credit_rating": 5, "is_active": 1}, "categories": {},
+                 "accounts": {"currency": "CNY", "is_active": 1}, "carriers": {}, "system_settings": {}}
 DEFAULT_CATEGORY = "其他"
 MIGRATED_STOCK = 100
 MIGRATED_MIN_STOCK = 10
@@ -80,12 +83,15 @@ SEED_KEYS = {"categories": "name", "suppliers": "name", "accounts": "account_cod
              "system_settings": "key"}
 
 
-def seed_if_absent(current: DataFrame, seeds: DataFrame, key: str, id_col: str | None = "id") -> DataFrame:
+def seed_if_absent(current: DataFrame, seeds: DataFrame, key: str, id_col: str | None = "id",
+                   defaults: dict | None = None) -> DataFrame:
     """Add seed rows whose natural key is absent (INSERT OR IGNORE); existing rows win.
 
     Seeds for tables keyed by name (D3: names are not unique in the schema)
-    are matched on the name, which is the evident intent.
+    are matched on the name, which is the evident intent. Columns the seed
+    does not give take ``defaults`` (the schema's column defaults), else null.
     """
+    defaults = defaults or {}
     fresh = seeds.join(current.select(key).distinct(), on=key, how="left_anti")
     sch = current.schema
     cols = []
@@ -94,6 +100,8 @@ def seed_if_absent(current: DataFrame, seeds: DataFrame, key: str, id_col: str |
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         elif f.name == id_col:
             cols.append(name_key(F.col(key)).cast(f.dataType).alias(f.name))
+        elif f.name in defaults:
+            cols.append(F.lit(defaults[f.name]).cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return current.unionByName(fresh.select(*cols))
