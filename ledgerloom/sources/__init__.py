@@ -8,4 +8,5 @@ from .files import (  # noqa: F401
     write_report,
 )
 from .jdbc import jdbc_url, read_table, write_table  # noqa: F401
+from .layout import read_fact, write_fact  # noqa: F401
 from .snapshot import backup, materialize  # noqa: F401

@@ -81,3 +81,22 @@ class Tables:
             return load
 
         return cls(spark, {n: loader(n) for n in names})
+
+    @classmethod
+    def from_jdbc(cls, spark: SparkSession, url: str, names: list[str] | None = None, *,
+                  properties: dict | None = None, partitioning: dict | None = None) -> "Tables":
+        """Tables read through Spark's JDBC source. ``partitioning`` maps a table name to
+        ``(column, lower, upper, num_partitions)`` for a parallel range read."""
+        from .sources.jdbc import read_table
+
+        names = names or sorted(SCHEMAS)
+        parts = partitioning or {}
+
+        def loader(n: str) -> Callable[[], DataFrame]:
+            def load() -> DataFrame:
+                col, lo, hi, num = parts.get(n, (None, None, None, None))
+                return read_table(spark, url, n, properties=properties, partition_column=col, lower=lo,
+                                  upper=hi, num_partitions=num)
+            return load
+
+        return cls(spark, {n: loader(n) for n in names})

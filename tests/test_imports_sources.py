@@ -191,3 +191,22 @@ def test_backup_and_materialize(spark, tmpdir_path):
     assert spark.read.parquet(os.path.join(tmpdir_path, "backup_20240101T000000", "alerts")).count() == 1
     m = snapshot.materialize(spark, t["alerts"], "alerts_copy")
     assert m.count() == 1
+
+
+def test_write_fact_prunes_by_month(spark, tmpdir_path):
+    import contextlib
+    import io
+
+    from ledgerloom.sources import read_fact, write_fact
+    df = spark.createDataFrame([(i, dt.date(2024, 1 + i % 3, 1 + i % 28), i * 10) for i in range(300)],
+                               "order_id bigint, order_date date, amount int")
+    out = os.path.join(tmpdir_path, "fact")
+    write_fact(df, out, date_col="order_date", sort_by=["order_id"])
+    assert sorted(d for d in os.listdir(out) if d.startswith("_part=")) == \
+        ["_part=2024-01", "_part=2024-02", "_part=2024-03"]
+    q = read_fact(spark, out).where(F.col("_part") == "2024-02")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        q.explain("formatted")
+    assert "PartitionFilters: [isnotnull(_part" in buf.getvalue()
+    assert q.count() == 100
