@@ -59,6 +59,8 @@ MIGRATED_MIN_STOCK = 10
 DEFAULT_MIN_STOCK = 10
 DEFAULT_MAX_STOCK = 1000
 MIGRATED_CUSTOMER_TYPE = "retail"
+# schema defaults of a sales order created by the migration
+ORDER_DEFAULTS = {"payment_method": "cash", "payment_status": "paid", "order_status": "completed"}
 
 
 def seed_frame(spark: SparkSession, kind: str) -> DataFrame:
@@ -151,7 +153,8 @@ def normalise_sales(sales: DataFrame, customers: DataFrame, products: DataFrame)
                    F.min("created_at").alias("created_at"))
               .select(F.col("order_id").alias("id"), F.concat(F.lit("SO"), F.col("order_id").cast("string")).alias("order_no"),
                       "customer_id", "order_date", F.col("total").alias("subtotal"), F.col("total").alias("total_amount"),
-                      F.col("total").alias("paid_amount"), "created_at"))
+                      F.col("total").alias("paid_amount"), "created_at",
+                      *[F.lit(v).alias(k) for k, v in ORDER_DEFAULTS.items()]))
     lines = (keyed.join(prod_ids, on="product_name", how="left")
              .select("order_id", "product_id", "quantity", "unit_price",
                      F.col("total_amount").cast(MONEY).alias("line_total")))
