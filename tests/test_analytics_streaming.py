@@ -174,3 +174,14 @@ def test_exact_quantile_matches_linear_interpolation(spark, q):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id bigint, v double")
     got = spark.range(1).select(insights.exact_quantile(df, "v", q, tie="id").alias("p")).first().p
     assert got == pytest.approx(float(np.quantile(vals, q)), rel=1e-12)
+
+
+def test_stock_ledger_stock_before_check(spark):
+    rows = [(1, 5, "in", 3, 0, 3, TS(2024, 1, 1, 8)),
+            (2, 5, "out", -1, 3, 2, TS(2024, 1, 1, 9)),
+            (3, 5, "out", -1, 5, 4, TS(2024, 1, 2, 9)),    # stock_before does not continue the chain
+            (4, 5, "in", 2, 4, 7, TS(2024, 1, 3, 9))]      # after != before + change
+    tx = spark.createDataFrame(rows, SCHEMAS["inventory_transactions"])
+    t = Tables.from_frames(spark, {"inventory_transactions": tx})
+    got = {r.id: (r.running_balance, r.is_break) for r in insights.stock_ledger(t, check_before=True).collect()}
+    assert got == {1: (3, False), 2: (2, False), 3: (1, True), 4: (3, True)}
