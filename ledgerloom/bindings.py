@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .catalog import query
 from .fixtures import as_of_date, now_ts
 from .functions.scalar import numeric_prefix_int
-from .plans import inventory, sales
+from .operators.dims import get_or_create
+from .operators.rollup import nest_children
+from .plans import exports, imports, insights, inventory, normalise, receiving, sales, shipping, telemetry
 
 
 # ---------------------------------------------------------------- flat model
@@ -91,8 +93,6 @@ def _upsert_inventory(t):
 
 
 # ---------------------------------------------------------------- receiving
-from .operators.rollup import nest_children  # noqa: E402
-from .plans import receiving, shipping  # noqa: E402
 
 
 @query("receiving_order_list")
@@ -247,7 +247,6 @@ def _latest_tracking_status(t):
 
 
 # ---------------------------------------------------------------- telemetry
-from .plans import exports, telemetry  # noqa: E402
 
 
 @query("error_stats")
@@ -319,8 +318,6 @@ def _export_financial_range(t):
 
 
 # ---------------------------------------------------------------- imports, normalisation, seeds
-from .operators.dims import get_or_create  # noqa: E402
-from .plans import imports, normalise  # noqa: E402
 
 
 def _product_import_rows(t):
@@ -401,7 +398,6 @@ def _seed_if_absent(t):
 
 
 # ---------------------------------------------------------------- analytics
-from .plans import insights  # noqa: E402
 
 for _key, _fn, _needs_day in [
     ("stock_ledger", insights.stock_ledger, False),
