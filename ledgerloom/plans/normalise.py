@@ -141,22 +141,27 @@ def normalise_sales(sales: DataFrame, customers: DataFrame, products: DataFrame)
     prod_rows = prod_new.select(*[(prod_vals.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
                                   for f in products.schema.fields])
     new_products = products.unionByName(prod_rows)
-    cust_ids = new_customers.groupBy(F.col("name").alias("customer_name")).agg(F.min("id").alias("customer_id"))
-    prod_ids = new_products.groupBy(F.col("name").alias("product_name")).agg(F.min("id").alias("product_id"))
+    # a name resolves to its existing (smallest) id, else to the key its new row was given above;
+    # looking up only the existing dimension keeps the flat table out of the lookup side
+    cust_ids = customers.groupBy(F.col("name").alias("customer_name")).agg(F.min("id").alias("_cid"))
+    prod_ids = products.groupBy(F.col("name").alias("product_name")).agg(F.min("id").alias("_pid"))
     order_id = F.coalesce(F.col("id"), F.xxhash64(*[F.col(c) for c in sales.columns if c != "id"]))
     keyed = sales.withColumn("order_id", order_id)
+    customer_id = F.when(F.col("customer_name").isNotNull(), F.coalesce(
+        F.col("_cid"), name_key(F.col("customer_name")).cast(customers.schema["id"].dataType)))
     # identical flat rows hash to one key: they become one order with one line each
     orders = (keyed.join(cust_ids, on="customer_name", how="left")
               .groupBy("order_id")
-              .agg(F.min("customer_id").alias("customer_id"), F.min("date").alias("order_date"),
+              .agg(F.min(customer_id).alias("customer_id"), F.min("date").alias("order_date"),
                    F.sum(F.col("total_amount").cast(MONEY)).cast(MONEY).alias("total"),
                    F.min("created_at").alias("created_at"))
               .select(F.col("order_id").alias("id"), F.concat(F.lit("SO"), F.col("order_id").cast("string")).alias("order_no"),
                       "customer_id", "order_date", F.col("total").alias("subtotal"), F.col("total").alias("total_amount"),
                       F.col("total").alias("paid_amount"), "created_at",
                       *[F.lit(v).alias(k) for k, v in ORDER_DEFAULTS.items()]))
+    product_id = F.coalesce(F.col("_pid"), name_key(F.col("product_name")).cast(products.schema["id"].dataType))
     lines = (keyed.join(prod_ids, on="product_name", how="left")
-             .select("order_id", "product_id", "quantity", "unit_price",
+             .select("order_id", product_id.alias("product_id"), "quantity", "unit_price",
                      F.col("total_amount").cast(MONEY).alias("line_total")))
     return NormalisedSales(new_customers, new_products, orders, lines)
 
