@@ -239,8 +239,9 @@ def freight_quote(t: Tables) -> DataFrame:
     ties by carrier code.
 
     Carriers are a bounded dimension: their count is checked, then the list
-    is attached to each shipment as one scalar-subquery array (no join) and
-    the minimum is found with ``aggregate``.
+    is attached as one scalar-subquery array (no join) to each *distinct*
+    weight, the minimum is found with ``transform`` + ``array_min``, and the
+    quotes are equi-joined back to the shipments.
     """
     carriers = t["carriers"].where(F.col("is_active") == 1)
     n = carriers.count()
@@ -249,15 +250,18 @@ def freight_quote(t: Tables) -> DataFrame:
     arr = carriers.agg(F.collect_list(F.struct(
         F.col("code"), F.col("price_per_kg").cast(MONEY).alias("p"), F.col("min_charge").cast(MONEY).alias("m")
     )).alias("c")).scalar()
-    # the array is materialised as a column first: subqueries may not sit inside a lambda
-    so = t["shipping_orders"].select("id", "shipping_no", "weight", arr.alias("_carriers"))
-    w = F.col("weight").cast("decimal(12,3)")
+    so = t["shipping_orders"].select("id", "shipping_no", "weight")
+    # the quote depends on the weight only: price each distinct weight once, then join back.
+    # The array is attached as a column first (subqueries may not sit inside a lambda).
+    weights = so.select(F.col("weight").alias("_w")).distinct().select("_w", arr.alias("_carriers"))
+    w = F.col("_w").cast("decimal(12,3)")
     cost = F.transform(F.col("_carriers"), lambda c: F.struct(
         F.greatest((w * c["p"]).cast("decimal(18,3)"), c["m"].cast("decimal(18,3)")).alias("cost"),
         c["code"].alias("code")))
     best = F.array_min(cost)
-    return so.select("id", "shipping_no", "weight", best["code"].alias("carrier_code"),
-                     best["cost"].cast("double").alias("quote"))
+    quotes = weights.select("_w", best["code"].alias("carrier_code"), best["cost"].cast("double").alias("quote"))
+    return so.join(quotes, on=F.col("weight").eqNullSafe(F.col("_w")), how="left").select(
+        "id", "shipping_no", "weight", "carrier_code", "quote")
 
 
 # ------------------------------------------------------------------ M12
