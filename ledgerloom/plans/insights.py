@@ -112,10 +112,11 @@ def gross_margin(t: Tables) -> DataFrame:
     items = t["sales_order_items"]
     prod = t["products"].select(F.col("id").alias("product_id"), "category_id")
     j = items.join(prod, on="product_id", how="left")
-    g = j.rollup("category_id", "product_id").agg(
-        F.sum(F.col("line_total").cast(MONEY)).alias("_rev"),
-        F.sum((F.col("quantity") * F.col("cost_price")).cast(MONEY)).alias("_cost"),
-        F.grouping_id().alias("level"))
+    fine = j.groupBy("category_id", "product_id").agg(  # finest grain first, then the ROLLUP
+        F.sum(F.col("line_total").cast(MONEY)).alias("_r"),
+        F.sum((F.col("quantity") * F.col("cost_price")).cast(MONEY)).alias("_c"))
+    g = fine.rollup("category_id", "product_id").agg(
+        F.sum("_r").alias("_rev"), F.sum("_c").alias("_cost"), F.grouping_id().alias("level"))
     margin = F.col("_rev") - F.col("_cost")
     return g.select("category_id", "product_id", "level", F.col("_rev").cast("double").alias("revenue"),
                     F.col("_cost").cast("double").alias("cost"), margin.cast("double").alias("margin"),
@@ -182,10 +183,11 @@ def purchase_progress(t: Tables) -> DataFrame:
 def finance_summary(t: Tables) -> DataFrame:
     """M8: amounts by month, type and category with subtotals (ROLLUP)."""
     ft = t["financial_transactions"].withColumn("month", F.date_format("transaction_date", "yyyy-MM"))
-    g = ft.rollup("month", "transaction_type", "category").agg(
-        exact_sum("amount").alias("amount"), F.count(F.lit(1)).alias("transactions"),
+    fine = ft.groupBy("month", "transaction_type", "category").agg(  # finest grain first, then the ROLLUP
+        F.sum(F.col("amount").cast(MONEY)).alias("_a"), F.count(F.lit(1)).alias("_n"))
+    return fine.rollup("month", "transaction_type", "category").agg(
+        F.sum("_a").cast("double").alias("amount"), F.sum("_n").cast("bigint").alias("transactions"),
         F.grouping_id().alias("level"))
-    return g
 
 
 # ------------------------------------------------------------------ M9
@@ -327,8 +329,10 @@ def packing_performance(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ M16
 def exception_cost(t: Tables) -> DataFrame:
     """Exception count and cost by type x responsible party with all subtotals (CUBE)."""
-    return t["exception_records"].cube("exception_type", "responsible_party").agg(
-        F.count(F.lit(1)).alias("exceptions"), exact_sum("financial_impact").alias("cost"),
+    fine = t["exception_records"].groupBy("exception_type", "responsible_party").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("financial_impact").cast(MONEY)).alias("_c"))
+    return fine.cube("exception_type", "responsible_party").agg(  # CUBE over the pre-aggregated grain
+        F.sum("_n").cast("bigint").alias("exceptions"), F.sum("_c").cast("double").alias("cost"),
         F.grouping_id().alias("level"))
 
 
@@ -556,8 +560,13 @@ def sales_cube(t: Tables) -> DataFrame:
     cust = t["customers"].select(F.col("id").alias("customer_id"), F.col("customer_type").alias("segment"))
     j = (lines.join(prod, on="product_id", how="left").join(cust, on="customer_id", how="left")
          .withColumn("month", F.date_format("order_date", "yyyy-MM")))
-    return j.cube("month", "category_id", "segment").agg(
-        exact_sum("line_total").alias("revenue"), F.count(F.lit(1)).alias("lines"), F.grouping_id().alias("level"))
+    # aggregate to the finest grain first: CUBE expands each input row 2^3 times, so it runs on the
+    # (month, category, segment) totals instead of on every order line
+    fine = j.groupBy("month", "category_id", "segment").agg(
+        F.sum(F.col("line_total").cast(MONEY)).alias("_rev"), F.count(F.lit(1)).alias("_n"))
+    return fine.cube("month", "category_id", "segment").agg(
+        F.sum("_rev").cast("double").alias("revenue"), F.sum("_n").cast("bigint").alias("lines"),
+        F.grouping_id().alias("level"))
 
 
 # ------------------------------------------------------------------ K10
