@@ -1,3 +1,11 @@
 """Streaming feeds."""
 
-from .feeds import hourly_errors, hourly_performance, latest_tracking, read_latest_tracking, start_latest_tracking  # noqa: F401
+from .feeds import (  # noqa: F401
+    hourly_errors,
+    hourly_performance,
+    latest_tracking,
+    read_latest_tracking,
+    start_hourly_errors,
+    start_hourly_performance,
+    start_latest_tracking,
+)

@@ -89,3 +89,30 @@ def read_latest_tracking(spark: SparkSession, snapshot_dir: str) -> DataFrame:
         F.max(F.struct("batch_id", "last_timestamp", "last_status")).alias("_r"))
     return g.select("shipping_order_id", F.col("_r.last_timestamp").alias("last_timestamp"),
                     F.col("_r.last_status").alias("last_status"))
+
+
+def _start_windowed(spark: SparkSession, frame: DataFrame, sink_dir: str, name: str,
+                    checkpoint: str | None, available_now: bool) -> StreamingQuery:
+    writer = (frame.writeStream.outputMode("append").format("parquet").queryName(name)
+              .option("checkpointLocation", checkpoint or checkpoint_location(spark, name)))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start(sink_dir)
+
+
+def start_hourly_errors(spark: SparkSession, source_dir: str, schema, sink_dir: str, *,
+                        name: str = "hourly_errors", checkpoint: str | None = None, watermark: str = "1 hour",
+                        available_now: bool = True) -> StreamingQuery:
+    """Run X2 over Parquet files landing in ``source_dir``; closed hour windows are appended to
+    ``sink_dir`` (exactly once through the checkpoint)."""
+    stream = spark.readStream.schema(schema).parquet(source_dir)
+    return _start_windowed(spark, hourly_errors(stream, watermark=watermark), sink_dir, name, checkpoint,
+                           available_now)
+
+
+def start_hourly_performance(spark: SparkSession, source_dir: str, schema, sink_dir: str, *,
+                             name: str = "hourly_performance", checkpoint: str | None = None,
+                             watermark: str = "1 hour", available_now: bool = True) -> StreamingQuery:
+    """Run X3 over Parquet files landing in ``source_dir``; closed hour windows go to ``sink_dir``."""
+    stream = spark.readStream.schema(schema).parquet(source_dir)
+    return _start_windowed(spark, hourly_performance(stream, watermark=watermark), sink_dir, name, checkpoint,
+                           available_now)

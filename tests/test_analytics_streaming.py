@@ -94,11 +94,9 @@ def test_hourly_error_stream_matches_batch_on_closed_windows(spark, tmpdir_path)
                            F.when(F.col("value") >= 100, "high").otherwise("medium").alias("severity"), "ts")
     src = os.path.join(tmpdir_path, "errors")
     _write_parquet(spark, errors, src)
-    stream = spark.readStream.schema(errors.schema).parquet(src)
     out = os.path.join(tmpdir_path, "out")
-    q = (feeds.hourly_errors(stream).writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start(out))
-    q.awaitTermination(300)
+    feeds.start_hourly_errors(spark, src, errors.schema, out,
+                              checkpoint=os.path.join(tmpdir_path, "ck")).awaitTermination(300)
     got = spark.read.parquet(out)
     batch = (errors.withColumn("ts", F.col("ts").cast("timestamp"))
              .groupBy(F.window("ts", "1 hour").alias("w"), "type", "severity").count())
