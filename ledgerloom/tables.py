@@ -70,13 +70,19 @@ class Tables:
         return cls(spark, dict(frames))
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str, names: list[str] | None = None) -> "Tables":
-        """One Parquet folder per table under ``root`` (``root/<name>``), read with the declared schema."""
+    def from_parquet(cls, spark: SparkSession, root: str, names: list[str] | None = None, *,
+                     declared: bool = True) -> "Tables":
+        """One Parquet folder per table under ``root`` (``root/<name>``).
+
+        With ``declared`` the reader gets the table's declared schema: column
+        types are fixed, columns absent from the files read as null, extra
+        file columns are not read.
+        """
         names = names or sorted(SCHEMAS)
 
         def loader(n: str) -> Callable[[], DataFrame]:
             def load() -> DataFrame:
-                reader = spark.read
+                reader = spark.read.schema(SCHEMAS[n]) if declared and n in SCHEMAS else spark.read
                 return reader.parquet(f"{root.rstrip('/')}/{n}")
             return load
 

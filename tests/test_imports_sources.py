@@ -210,3 +210,13 @@ def test_write_fact_prunes_by_month(spark, tmpdir_path):
         q.explain("formatted")
     assert "PartitionFilters: [isnotnull(_part" in buf.getvalue()
     assert q.count() == 100
+
+
+def test_tables_from_parquet_reads_declared_schema(spark, tmpdir_path):
+    spark.createDataFrame([(1, "Pen", 5)], "id bigint, product_name string, current_stock int") \
+        .write.parquet(os.path.join(tmpdir_path, "inventory"))
+    t = Tables.from_parquet(spark, tmpdir_path, ["inventory"])
+    inv = t["inventory"]
+    assert inv.schema == SCHEMAS["inventory"]
+    r = inv.first()
+    assert (r.id, r.product_name, r.current_stock, r.min_stock) == (1, "Pen", 5, None)
