@@ -54,6 +54,17 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return t
 
 
+def export_views(t: Tables, root: str, names: list[str], mode: str = "errorifexists") -> None:
+    """Write retail views as Parquet folders ``root/<name>`` in their declared schema (for
+    ``Tables.from_parquet``)."""
+    for n in names:
+        df = t[n]
+        schema = SCHEMAS.get(n)
+        if schema is not None:
+            df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        df.write.mode(mode).parquet(f"{root.rstrip('/')}/{n}")
+
+
 def as_of_date(t: Tables) -> Column:
     """The report day, taken from the data (newest order date) as a lazy scalar subquery."""
     return t.raw("as_of").select("d").scalar()

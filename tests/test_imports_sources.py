@@ -220,3 +220,19 @@ def test_tables_from_parquet_reads_declared_schema(spark, tmpdir_path):
     assert inv.schema == SCHEMAS["inventory"]
     r = inv.first()
     assert (r.id, r.product_name, r.current_stock, r.min_stock) == (1, "Pen", 5, None)
+
+
+def test_reports_on_a_parquet_warehouse_match_the_views(spark, tmpdir_path):
+    from compare import spark_rows
+    from ledgerloom.fixtures import driver_tables, export_views
+    from ledgerloom.plans import receiving, sales, telemetry
+
+    views = driver_tables(spark, "/root/testdata/sf0.001")
+    names = ["sales", "inventory", "receiving_orders", "receiving_items", "exception_records", "error_log"]
+    export_views(views, tmpdir_path, names)
+    wh = Tables.from_parquet(spark, tmpdir_path, names)
+    day, now = "2001-08-01", "2024-01-30 12:00:00"
+    for fn in (lambda t: sales.sales_trend(t, as_of=day), lambda t: sales.dashboard_overview(t, as_of=day),
+               receiving.receiving_order_list, receiving.receiving_stats,
+               lambda t: telemetry.error_stats(t, now=now)):
+        assert spark_rows(fn(wh)) == spark_rows(fn(views))
