@@ -5,4 +5,4 @@ from .changes import Rule, apply_changes, fold_changes  # noqa: F401
 from .dims import get_or_create, name_key  # noqa: F401
 from .latest import keep_last, latest_per_key  # noqa: F401
 from .rollup import child_rollup, nest_children  # noqa: F401
-from .cumulative import global_running  # noqa: F401
+from .cumulative import global_running, global_running_min  # noqa: F401

@@ -53,3 +53,23 @@ def global_running(df: DataFrame, order: list[Column], value: str | None = None,
         run = F.sum(value).over(within)
         cols.append(F.when(F.col("_s_off").isNull(), run).otherwise(F.col("_s_off") + run).alias(sum_col))
     return j.select(*cols)
+
+
+def global_running_min(df: DataFrame, order: list[Column], value: Column, out: str, *,
+                       partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``out``: the minimum of ``value`` (any orderable type, nulls ignored) over all
+    rows up to and including each row in the total order ``order``; same range-partitioned
+    scheme as ``global_running`` (per-partition minima become offsets)."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (df.withColumn("_v", value).repartitionByRange(n, *order)
+              .withColumn("_part", F.spark_partition_id()))
+    tagged = materialize(spark, tagged)
+    per = tagged.groupBy("_part").agg(F.min("_v").alias("_m"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    per = per.select("_part", F.min("_m").over(before).alias("_off"))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    j = tagged.join(F.broadcast(per), on="_part", how="inner")
+    run = F.min("_v").over(within)
+    best = F.when(F.col("_off").isNull(), run).when(run.isNull(), F.col("_off")).otherwise(F.least(F.col("_off"), run))
+    return j.select(*[F.col(c) for c in df.columns], best.alias(out))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, as_date_col, check_days, exact_sum, int_sum
-from ..operators.cumulative import global_running
+from ..operators.cumulative import global_running, global_running_min
 from ..tables import Tables
 
 # The survey's thresholds and labels for these reports.
@@ -240,36 +240,69 @@ def promotion_match(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M11
-def freight_quote(t: Tables) -> DataFrame:
+def freight_quote(t: Tables, *, max_carriers: int = MAX_CARRIERS) -> DataFrame:
     """Cheapest active carrier per shipment: ``greatest(weight * price_per_kg, min_charge)``,
-    ties by carrier code.
+    ties by carrier code. Each distinct weight is priced once and joined back.
 
-    Carriers are a bounded dimension: their count is checked, then the list
-    is attached as one scalar-subquery array (no join) to each *distinct*
-    weight, the minimum is found with ``transform`` + ``array_min``, and the
-    quotes are equi-joined back to the shipments.
+    Up to ``max_carriers`` active carriers (counted first) the carrier list is
+    attached to each distinct weight as one scalar-subquery array (no join)
+    and the minimum found with ``transform`` + ``array_min``. Beyond the
+    bound nothing is broadcast: ``_freight_by_breakpoints`` gives the same
+    answer from running minima over weights and carrier breakpoints.
     """
-    carriers = t["carriers"].where(F.col("is_active") == 1)
-    n = carriers.count()
-    if n > MAX_CARRIERS:
-        raise ValueError(f"{n} active carriers exceed the bound of {MAX_CARRIERS} for freight quotes")
-    arr = carriers.agg(F.collect_list(F.struct(
-        F.col("code"), F.col("price_per_kg").cast(MONEY).alias("p"), F.col("min_charge").cast(MONEY).alias("m")
-    )).alias("c")).scalar()
+    carriers = t["carriers"].where(F.col("is_active") == 1).select(
+        "code", F.col("price_per_kg").cast(MONEY).alias("p"), F.col("min_charge").cast(MONEY).alias("m"))
     so = t["shipping_orders"].select("id", "shipping_no", "weight")
-    # the quote depends on the weight only: price each distinct weight once, then join back.
-    # The array is attached as a column first (subqueries may not sit inside a lambda).
-    weights = so.select(F.col("weight").alias("_w")).distinct().select("_w", arr.alias("_carriers"))
-    w = F.col("_w").cast("decimal(12,3)")
-    cost = F.transform(F.col("_carriers"), lambda c: F.struct(
-        F.greatest((w * c["p"]).cast("decimal(18,3)"), c["m"].cast("decimal(18,3)")).alias("cost"),
-        c["code"].alias("code")))
-    best = F.array_min(cost)
-    quotes = weights.select("_w", best["code"].alias("carrier_code"), best["cost"].cast("double").alias("quote"))
+    weights = so.select(F.col("weight").alias("_w")).where(F.col("_w").isNotNull()).distinct()  # no weight, no quote
+    if carriers.count() <= max_carriers:
+        arr = carriers.agg(F.collect_list(F.struct("code", "p", "m")).alias("c")).scalar()
+        # the array is attached as a column first (subqueries may not sit inside a lambda)
+        priced = weights.select("_w", arr.alias("_carriers"))
+        w = F.col("_w").cast("decimal(12,3)")
+        cost = F.transform(F.col("_carriers"), lambda c: F.struct(
+            F.greatest((w * c["p"]).cast("decimal(18,3)"), c["m"].cast("decimal(18,3)")).alias("cost"),
+            c["code"].alias("code")))
+        best = F.array_min(cost)
+        quotes = priced.select("_w", best["code"].alias("carrier_code"), best["cost"].cast("double").alias("quote"))
+    else:
+        quotes = _freight_by_breakpoints(weights, carriers)
     return so.join(quotes, on=F.col("weight").eqNullSafe(F.col("_w")), how="left").select(
         "id", "shipping_no", "weight", "carrier_code", "quote")
 
 
+def _freight_by_breakpoints(weights: DataFrame, carriers: DataFrame) -> DataFrame:
+    """Exact quotes without pairing weights and carriers.
+
+    A carrier costs its flat ``m`` up to its breakpoint ``b = m / p`` and
+    ``p * w`` beyond it. For weight ``w`` the best flat offer is the least
+    ``(m, code)`` over carriers with ``b >= w`` and the best linear offer is
+    ``w`` times the least ``(p, code)`` over carriers with ``b < w``. Putting
+    weights and breakpoints in one order (key, weights first on ties), these
+    are a suffix and a prefix minimum, computed range-partitioned.
+    """
+    big = F.lit(10 ** 12).cast("decimal(38,6)")
+    brk = F.when(F.col("p") > 0, (F.col("m") / F.col("p")).cast("decimal(38,6)")).otherwise(big)
+    w_dec = F.col("_w").cast("decimal(38,6)")
+    events = (weights
+              .select(w_dec.alias("_key"), F.lit(0).alias("_kind"), "_w",
+                      F.lit(None).cast("string").alias("code"), F.lit(None).cast(MONEY).alias("p"),
+                      F.lit(None).cast(MONEY).alias("m"))
+              .unionByName(carriers.select(brk.alias("_key"), F.lit(1).alias("_kind"),
+                                           F.lit(None).cast("double").alias("_w"), "code", "p", "m")))
+    asc = [F.col("_key").asc(), F.col("_kind").asc(), F.col("code").asc_nulls_first(), F.col("_w").asc()]
+    desc = [F.col("_key").desc(), F.col("_kind").desc(), F.col("code").desc_nulls_last(), F.col("_w").desc()]
+    lin = global_running_min(events, asc, F.when(F.col("_kind") == 1, F.struct("p", "code")), "_lin")
+    both = global_running_min(lin, desc, F.when(F.col("_kind") == 1, F.struct("m", "code")), "_flat")
+    w = F.col("_w").cast("decimal(12,3)")
+    lin_offer = F.when(F.col("_lin").isNotNull(), F.struct(
+        (w * F.col("_lin.p")).cast("decimal(18,3)").alias("cost"), F.col("_lin.code").alias("code")))
+    flat_offer = F.when(F.col("_flat").isNotNull(), F.struct(
+        F.col("_flat.m").cast("decimal(18,3)").alias("cost"), F.col("_flat.code").alias("code")))
+    best = F.least(lin_offer, flat_offer)
+    return both.where(F.col("_kind") == 0).select(
+        "_w", best["code"].alias("carrier_code"), best["cost"].cast("double").alias("quote"))
+
+
 # ------------------------------------------------------------------ M12
 def delivery_performance(t: Tables) -> DataFrame:
     """Per carrier, over delivered shipments: count, average days taken, on-time count and rate."""

@@ -183,3 +183,23 @@ def test_stock_ledger_stock_before_check(spark):
     t = Tables.from_frames(spark, {"inventory_transactions": tx})
     got = {r.id: (r.running_balance, r.is_break) for r in insights.stock_ledger(t, check_before=True).collect()}
     assert got == {1: (3, False), 2: (2, False), 3: (1, True), 4: (3, True)}
+
+
+def test_freight_quote_breakpoint_path_matches_array_path(spark):
+    rnd = random.Random(5)
+    carriers = [(f"C{i:02d}", "n", 1.0, rnd.randint(0, 12), rnd.randint(5, 60), 1 if i % 7 else 0) for i in range(30)]
+    carriers.append(("Z00", "n", 1.0, 6, 20, 1))    # same offer as another carrier: tie by code
+    carriers.append(("A00", "n", 1.0, 6, 20, 1))
+    car = spark.createDataFrame(carriers, "code string, name string, rating double, price_per_kg int, "
+                                          "min_charge int, is_active int")
+    weights = [0.0, 0.5, 1.0, 2.5, 3.0, 3.333, 5.0, 7.5, 10.0, 12.0, 40.0] + [float(rnd.randint(0, 30)) for _ in range(40)]
+    ship = spark.createDataFrame([(i, f"S{i}", w) for i, w in enumerate(weights)] + [(999, "S999", None)],
+                                 "id bigint, shipping_no string, weight double")
+    t = Tables.from_frames(spark, {"carriers": car, "shipping_orders": ship})
+    arr = {r.id: (r.carrier_code, r.quote) for r in insights.freight_quote(t).collect()}
+    brk = {r.id: (r.carrier_code, r.quote) for r in insights.freight_quote(t, max_carriers=3).collect()}
+    assert arr == brk
+    for i, w in enumerate(weights):
+        from decimal import Decimal
+        best = min((max(Decimal(str(w)) * p, Decimal(m)), code) for code, _, _, p, m, act in carriers if act == 1)
+        assert arr[i] == (best[1], float(best[0]))
