@@ -150,10 +150,11 @@ def test_csv_writer_quotes_and_zeros(spark, tmpdir_path):
 
 
 def test_export_dispatch_and_headers(spark, tmpdir_path):
-    t = Tables.from_frames(spark, {"financial_transactions": spark.createDataFrame(
-        [(1, None, "income", "sales", 5, "cash", None, None, "d", dt.date(2024, 1, 1), None)],
-        SCHEMAS["financial_transactions"].simpleString().replace("struct<", "").rstrip(">")
-        .replace("decimal(18,2)", "int"))})
+    ft = spark.createDataFrame(
+        [(1, "income", "sales", Decimal("5.00"), "cash", "d", dt.date(2024, 1, 1))],
+        "id bigint, transaction_type string, category string, amount decimal(18,2), payment_method string, "
+        "description string, transaction_date date")
+    t = Tables.from_frames(spark, {"financial_transactions": ft})
     df = exports.export_report(t, "financial", {"startDate": "2024-01-01", "endDate": None})
     assert df.count() == 1  # a one-sided range is ignored (P7)
     out = os.path.join(tmpdir_path, "fin")
