@@ -63,10 +63,15 @@ def with_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
     return numbered.select(line.alias(col), *df.columns)
 
 
-def read_import_csv(spark: SparkSession, path: str, *, numbered: bool = True) -> DataFrame:
-    """S3: an import CSV read by header with every field as text (a UTF-8 BOM is dropped by the reader)."""
-    df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", False)
-          .option("encoding", "UTF-8").csv(path))
+def read_import_csv(spark: SparkSession, path: str, *, numbered: bool = True, multiline: bool = False) -> DataFrame:
+    """S3: an import CSV read by header with every field as text (a UTF-8 BOM is dropped by the reader).
+
+    ``multiline`` accepts quoted fields with line breaks; such files are parsed
+    whole (one task per file) instead of in parallel blocks. ``line_no``
+    counts data rows either way.
+    """
+    df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
+          .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
     return with_line_numbers(df) if numbered else df
 
 

@@ -237,3 +237,11 @@ def test_reports_on_a_parquet_warehouse_match_the_views(spark, tmpdir_path):
                receiving.receiving_order_list, receiving.receiving_stats,
                lambda t: telemetry.error_stats(t, now=now)):
         assert spark_rows(fn(wh)) == spark_rows(fn(views))
+
+
+def test_csv_import_multiline_fields(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "ml.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('客户名称,地址\nAnn,"line1\nline2"\n"Bo ""B""",x\n')
+    rows = files.read_import_csv(spark, path, multiline=True).orderBy("line_no").collect()
+    assert [(r.line_no, r["客户名称"], r["地址"]) for r in rows] == [(1, "Ann", "line1\nline2"), (2, 'Bo "B"', "x")]
