@@ -280,9 +280,12 @@ def _freight_by_breakpoints(weights: DataFrame, carriers: DataFrame) -> DataFram
     weights and breakpoints in one order (key, weights first on ties), these
     are a suffix and a prefix minimum, computed range-partitioned.
     """
-    big = F.lit(10 ** 12).cast("decimal(38,6)")
-    brk = F.when(F.col("p") > 0, (F.col("m") / F.col("p")).cast("decimal(38,6)")).otherwise(big)
-    w_dec = F.col("_w").cast("decimal(38,6)")
+    # breakpoints at 18 decimals: m and p have 2 decimals and w 3, so a breakpoint that is not equal to
+    # a weight differs from it by at least 1e-5 / p, far above the rounding; the weight is the same
+    # 3-decimal value the cost uses
+    big = F.lit(10 ** 12).cast("decimal(38,18)")
+    brk = F.when(F.col("p") > 0, (F.col("m") / F.col("p")).cast("decimal(38,18)")).otherwise(big)
+    w_dec = F.col("_w").cast("decimal(12,3)").cast("decimal(38,18)")
     events = (weights
               .select(w_dec.alias("_key"), F.lit(0).alias("_kind"), "_w",
                       F.lit(None).cast("string").alias("code"), F.lit(None).cast(MONEY).alias("p"),
