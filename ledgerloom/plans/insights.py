@@ -619,7 +619,7 @@ def member_loyalty(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("customers"), F.count("_orders").alias("buyers"),
         F.coalesce(F.sum("_spend"), F.lit(0).cast(MONEY)).alias("_spend"),
         F.count_if(F.col("_orders") >= 2).alias("repeat_buyers"))
-    total = F.sum("_spend").over(Window.partitionBy())  # over the handful of levels
+    total = c.agg(F.sum("_spend")).scalar()  # spend over all levels, as a scalar subquery
     return g.select("member_level", "customers", "buyers", F.col("_spend").cast("double").alias("spend"),
                     F.try_divide(F.col("_spend").cast("double"), total.cast("double")).alias("spend_share"),
                     F.try_divide(F.col("repeat_buyers").cast("double"), F.col("buyers").cast("double"))
