@@ -53,19 +53,19 @@ def stock_ledger(t: Tables, *, check_before: bool = False, grain: str = "hour")
     if grain not in ("minute", "hour", "day", "week", "month"):
         raise ValueError(f"unsupported grain: {grain!r}")
     tx = t["inventory_transactions"].withColumn(
-        "day", F.date_trunc(grain, F.col("transaction_date").cast("timestamp")))
+        "_chunk", F.date_trunc(grain, F.col("transaction_date").cast("timestamp")))
     order = [F.col("transaction_date"), F.col("id")]
-    day = (tx.groupBy("product_id", "day")
-           .agg(F.sum("quantity_change").cast("bigint").alias("_day_change"),
-                F.max_by("stock_after", F.struct(*order)).alias("_day_last_after")))
-    wd = Window.partitionBy("product_id").orderBy("day")
-    day = day.select("product_id", "day",
-                     F.coalesce(F.sum("_day_change").over(wd.rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0)).cast("bigint").alias("_carry"),
-                     F.lag("_day_last_after").over(wd).alias("_prev_day_after"))
-    wi = Window.partitionBy("product_id", "day").orderBy(*order)
-    rows = tx.join(day, on=["product_id", "day"], how="inner")
-    prev_after = F.coalesce(F.lag("stock_after").over(wi), F.col("_prev_day_after"))
+    chunks = (tx.groupBy("product_id", "_chunk")
+              .agg(F.sum("quantity_change").cast("bigint").alias("_chunk_change"),
+                   F.max_by("stock_after", F.struct(*order)).alias("_chunk_last_after")))
+    wd = Window.partitionBy("product_id").orderBy("_chunk")
+    chunks = chunks.select("product_id", "_chunk",
+                           F.coalesce(F.sum("_chunk_change").over(wd.rowsBetween(Window.unboundedPreceding, -1)),
+                                      F.lit(0)).cast("bigint").alias("_carry"),
+                           F.lag("_chunk_last_after").over(wd).alias("_prev_chunk_after"))
+    wi = Window.partitionBy("product_id", "_chunk").orderBy(*order)
+    rows = tx.join(chunks, on=["product_id", "_chunk"], how="inner")
+    prev_after = F.coalesce(F.lag("stock_after").over(wi), F.col("_prev_chunk_after"))
     running = (F.col("_carry") + F.sum("quantity_change").over(wi.rowsBetween(Window.unboundedPreceding, 0))
                ).cast("bigint")
     out = rows.select("id", "product_id", "transaction_date", "quantity_change", "stock_after",
