@@ -36,8 +36,9 @@ def error_stats(t: Tables, *, now, hours: int = WINDOW_HOURS) -> DataFrame:
     Columns: ``dimension`` ('total' | 'type' | 'severity'), ``key``, ``errors``.
     """
     recent = _recent(t["error_log"], as_ts_col(now), hours)
-    g = recent.groupingSets([["type"], ["severity"], []], "type", "severity").agg(
-        F.count(F.lit(1)).alias("errors"), F.grouping_id().alias("_gid"))
+    fine = recent.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("_n"))  # expand totals, not rows
+    g = fine.groupingSets([["type"], ["severity"], []], "type", "severity").agg(
+        F.sum("_n").cast("bigint").alias("errors"), F.grouping_id().alias("_gid"))
     dimension = F.when(F.col("_gid") == 1, "type").when(F.col("_gid") == 2, "severity").otherwise("total")
     key = F.when(F.col("_gid") == 1, F.col("type")).when(F.col("_gid") == 2, F.col("severity"))
     return g.select(dimension.alias("dimension"), key.alias("key"), "errors")
