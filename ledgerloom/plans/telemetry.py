@@ -37,11 +37,14 @@ def error_stats(t: Tables, *, now, hours: int = WINDOW_HOURS) -> DataFrame:
     """
     recent = _recent(t["error_log"], as_ts_col(now), hours)
     fine = recent.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("_n"))  # expand totals, not rows
-    g = fine.groupingSets([["type"], ["severity"], []], "type", "severity").agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("errors"), F.grouping_id().alias("_gid"))
-    dimension = F.when(F.col("_gid") == 1, "type").when(F.col("_gid") == 2, "severity").otherwise("total")
-    key = F.when(F.col("_gid") == 1, F.col("type")).when(F.col("_gid") == 2, F.col("severity"))
-    return g.select(dimension.alias("dimension"), key.alias("key"), "errors")
+    g = fine.groupingSets([["type"], ["severity"]], "type", "severity").agg(
+        F.sum("_n").cast("bigint").alias("errors"), F.grouping_id().alias("_gid"))
+    dimension = F.when(F.col("_gid") == 1, "type").otherwise("severity")
+    key = F.when(F.col("_gid") == 1, F.col("type")).otherwise(F.col("severity"))
+    # the total is a global aggregate, so it is present (0) even when the window is empty
+    total = fine.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("errors")).select(
+        F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("key"), "errors")
+    return g.select(dimension.alias("dimension"), key.alias("key"), "errors").unionByName(total)
 
 
 def error_hourly_trend(t: Tables, *, now, hours: int = WINDOW_HOURS) -> DataFrame:

@@ -278,3 +278,10 @@ def test_detail_fetch_by_ids_list_or_frame(spark):
     assert [x.status for x in r1.tracking_info] == ["shipped", "picked"]  # O6: newest first
     by_frame = shipping.shipping_order_detail(t, ids=spark.createDataFrame([(2,)], "x bigint")).collect()
     assert [(r.id, len(r.items), r.tracking_info) for r in by_frame] == [(2, 1, [])]
+
+
+def test_error_stats_total_present_on_empty_window(spark):
+    t = Tables.from_frames(spark, {"error_log": empty(spark, "error_log")})
+    rows = [(r.dimension, r.key, r.errors) for r in telemetry.error_stats(t, now=TS(2024, 1, 1)).collect()]
+    assert rows == [("total", None, 0)]
+    assert [r.errors for r in telemetry.error_hourly_trend(t, now=TS(2024, 1, 1)).collect()] == [0] * 24
