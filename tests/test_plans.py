@@ -40,3 +40,22 @@ def test_trailing_window_filter_reaches_the_scan(spark, tmpdir_path):
     text = _plan(sales.sales_trend(t, as_of="2024-03-01", days=30))
     assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date,2024-01-31)]" in text
     assert "ReadSchema: struct<date:date,total_amount:decimal(18,2)>" in text
+
+
+def test_daily_and_telemetry_filters_reach_the_scan(spark, tmpdir_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans import receiving, shipping, telemetry
+    from ledgerloom.tables import Tables
+    days = F.expr("date_add(DATE'2024-01-01', CAST(id AS INT))")
+    spark.range(50).select("id", days.alias("receiving_date")).write.parquet(f"{tmpdir_path}/receiving_orders")
+    spark.range(50).select("id", days.alias("shipping_date")).write.parquet(f"{tmpdir_path}/shipping_orders")
+    spark.range(50).select("id", F.lit("js").alias("type"), F.lit("high").alias("severity"),
+                           F.expr("CAST(date_add(DATE'2024-01-01', CAST(id AS INT)) AS TIMESTAMP)").alias("ts")) \
+        .write.parquet(f"{tmpdir_path}/error_log")
+    t = Tables.from_parquet(spark, tmpdir_path, ["receiving_orders", "shipping_orders", "error_log"])
+    assert "GreaterThanOrEqual(receiving_date,2024-01-31)" in _plan(receiving.receiving_daily(t, as_of="2024-03-01"))
+    assert "GreaterThanOrEqual(shipping_date,2024-01-31)" in _plan(shipping.shipping_daily(t, as_of="2024-03-01"))
+    assert "GreaterThan(ts," in _plan(telemetry.error_stats(t, now=dt.datetime(2024, 2, 1)))
