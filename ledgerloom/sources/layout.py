@@ -13,18 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_fact(df: DataFrame, path: str, *, date_col: str, sort_by: list[str], grain: str = "month",
+def write_fact(df: DataFrame, path: str, *, date_col: str, sort_by: list[str], grain: str = "day",
                files_per_partition: int = 8, mode: str = "errorifexists") -> None:
+    """Write a fact table partitioned by time and key-sorted within files.
+
+    ``grain="day"`` partitions by ``date_col`` itself, so the reports'
+    ``date >= as_of - n`` filters become partition filters. ``grain="month"``
+    adds a ``_part`` (yyyy-MM) folder column for coarser layouts; filters must
+    then name ``_part`` to prune.
+    """
     if grain not in ("day", "month"):
         raise ValueError("grain must be 'day' or 'month'")
-    part = (F.date_format(date_col, "yyyy-MM") if grain == "month" else F.to_date(date_col)).alias("_part")
+    part_col = date_col if grain == "day" else "_part"
+    out = df if grain == "day" else df.withColumn("_part", F.date_format(date_col, "yyyy-MM"))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in sort_by]), F.lit(files_per_partition))
-    out = (df.withColumn("_part", part)
-           .repartition("_part", spread)
-           .sortWithinPartitions("_part", *sort_by))
-    out.write.mode(mode).partitionBy("_part").parquet(path)
+    out = out.repartition(part_col, spread).sortWithinPartitions(part_col, *sort_by)
+    out.write.mode(mode).partitionBy(part_col).parquet(path)
 
 
 def read_fact(spark, path: str) -> DataFrame:
-    """Read a fact written by ``write_fact`` (the ``_part`` column drives partition pruning)."""
+    """Read a fact written by ``write_fact`` (its partition column drives partition pruning)."""
     return spark.read.parquet(path)
