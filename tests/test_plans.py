@@ -59,3 +59,18 @@ def test_daily_and_telemetry_filters_reach_the_scan(spark, tmpdir_path):
     assert "GreaterThanOrEqual(receiving_date,2024-01-31)" in _plan(receiving.receiving_daily(t, as_of="2024-03-01"))
     assert "GreaterThanOrEqual(shipping_date,2024-01-31)" in _plan(shipping.shipping_daily(t, as_of="2024-03-01"))
     assert "GreaterThan(ts," in _plan(telemetry.error_stats(t, now=dt.datetime(2024, 2, 1)))
+
+
+def test_sales_trend_prunes_date_partitions_of_a_fact_layout(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans import sales
+    from ledgerloom.sources import write_fact
+    from ledgerloom.tables import Tables
+    facts = spark.range(200).select(F.expr("date_add(DATE'2024-01-01', CAST(id % 60 AS INT))").alias("date"),
+                                    F.col("id").alias("id"), F.lit(1).cast("decimal(18,2)").alias("total_amount"))
+    write_fact(facts, f"{tmpdir_path}/sales", date_col="date", sort_by=["id"])
+    t = Tables.from_parquet(spark, tmpdir_path, ["sales"])
+    report = sales.sales_trend(t, as_of="2024-02-20", days=7)
+    assert "PartitionFilters: [isnotnull(date#" in _plan(report)
+    assert report.count() == 8 + 9  # Feb 13..20 (as_of - 7 .. as_of) plus Feb 21..29 (no upper bound)
