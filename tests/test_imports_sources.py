@@ -228,3 +228,15 @@ def test_csv_import_multiline_fields(spark, tmpdir_path):
         f.write('客户名称,地址\nAnn,"line1\nline2"\n"Bo ""B""",x\n')
     rows = files.read_import_csv(spark, path, multiline=True).orderBy("line_no").collect()
     assert [(r.line_no, r["客户名称"], r["地址"]) for r in rows] == [(1, "Ann", "line1\nline2"), (2, 'Bo "B"', "x")]
+
+
+def test_jdbc_helpers_validate_without_a_database(spark):
+    import pytest
+
+    from ledgerloom.sources import jdbc_url, read_table
+    assert jdbc_url("sqlite", "/data/shop.db") == "jdbc:sqlite:/data/shop.db"
+    assert jdbc_url("postgresql", "db:5432/shop") == "jdbc:postgresql://db:5432/shop"
+    with pytest.raises(ValueError):
+        jdbc_url("oracle", "x")
+    with pytest.raises(ValueError):  # a partitioned read needs both bounds and a partition count
+        read_table(spark, "jdbc:sqlite:/nonexistent.db", "sales", partition_column="id", lower=0)
