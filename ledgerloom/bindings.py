@@ -374,13 +374,9 @@ def _dim_get_or_create(t):
 @query("normalise_sales")
 def _normalise_sales(t):
     n = normalise.normalise_sales(t["sales"], t["customers"], t["products"])
-    pnames = n.products.groupBy("id").agg(F.min("name").alias("product_name"))
-    cnames = n.customers.groupBy("id").agg(F.min("name").alias("customer_name"))
     orders = n.orders.select(F.col("id").alias("order_id"), "order_date", "customer_id")
     return (n.lines.join(orders, on="order_id", how="left")
-            .join(cnames.withColumnRenamed("id", "customer_id"), on="customer_id", how="left")
-            .join(pnames.withColumnRenamed("id", "product_id"), on="product_id", how="left")
-            .select("order_date", "customer_name", "product_name", "quantity", "unit_price", "line_total"))
+            .select("order_date", "customer_id", "product_id", "quantity", "unit_price", "line_total"))
 
 
 @query("normalise_inventory")

@@ -491,9 +491,11 @@ WHERE category IS NOT NULL AND trim(category) <> '' AND trim(category) NOT IN (S
 """
 
 BODIES["normalise_sales"] = """
-SELECT date AS order_date, customer_name, product_name, quantity, unit_price,
-  CAST(total_amount AS DECIMAL(18,2)) AS line_total
-FROM fx_sales
+WITH c AS (SELECT name, min(id) AS id FROM fx_customers GROUP BY name),
+p AS (SELECT name, min(id) AS id FROM fx_products GROUP BY name)
+SELECT s.date AS order_date, c.id AS customer_id, p.id AS product_id, s.quantity, s.unit_price,
+  CAST(s.total_amount AS DECIMAL(18,2)) AS line_total
+FROM fx_sales s LEFT JOIN c ON s.customer_name = c.name LEFT JOIN p ON s.product_name = p.name
 """
 
 SEED_CATS = "(VALUES ('电子产品'), ('服装'), ('食品'), ('日用品'), ('其他')) s(name)"
