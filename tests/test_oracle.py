@@ -7,10 +7,12 @@ import pytest
 import __spark_entry__ as E
 from compare import duck_rows, spark_rows
 from conftest import SMALL
+from ledgerloom.catalog import QUERIES
 from ledgerloom.fixtures import BASE_TABLES
+from ledgerloom.oracle import oracle_sql
 
-ORACLES = E.oracle_sql()
-KEYS = sorted(E.queries())
+ORACLES = oracle_sql()
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -24,11 +26,12 @@ def con():
 
 def test_every_key_has_an_oracle():
     assert set(KEYS) == set(ORACLES), set(KEYS) ^ set(ORACLES)
+    assert set(KEYS) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
-    s_cols, s_rows = spark_rows(E.queries()[key](spark, SMALL))
+    s_cols, s_rows = spark_rows(QUERIES[key](spark, SMALL))
     o_cols, o_rows = duck_rows(con, ORACLES[key])
     assert s_cols == o_cols
     assert len(s_rows) == len(o_rows)
