@@ -16,9 +16,10 @@ ever turned into all its pairs:
 
 1. in every list of documents sharing a prefix shingle, each is compared with the list's first one (as
    many comparisons as list entries), and the links found are joined into components;
-2. lists whose documents are by then all in one component are done; the rest are cut into blocks, pairs of
-   blocks are compared in tasks of bounded size, skipping what is already connected, and only the links that
-   connect something leave the task.
+2. lists whose documents are by then all in one component are done. Of short ones, the pairs that pass the
+   filters (not connected, similar size, enough shingles left after the meeting, meeting in the second order)
+   are compared. Longer ones are cut into blocks, pairs of blocks are compared in tasks of bounded size,
+   skipping what is already connected, and only the links that connect something leave the task.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from .components import components
 MAX_BROADCAST_IDS = 4_000_000  # ids (8 bytes each) that a filter broadcasts; above, it is a shuffled join
 BLOCK_DOCS = 1000
 BLOCK_SHINGLES = 500_000
+SHORT_LIST = 64  # documents; the pairs of shorter lists that pass all filters are compared one by one
+BUNDLE = 20_000  # entries of short lists that a task filters at once, about
 ROWS_AT_ONCE = 512
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,7 +122,8 @@ def _to_tokens(order: int, classes: int, percent: int):
 
 
 def _prefixes(sets: DataFrame, order: int, classes: int, percent: int) -> DataFrame:
-    """(tok, rid): the prefix shingles under one order that at least two sets have in their prefixes. Written."""
+    """(tok, rid, pos): the prefix shingles under one order that at least two sets have in their prefixes, and how
+    many of a set's shingles come before (at least). Written."""
     spark = sets.sparkSession
     tokens = sets.select("rid", "sh").mapInArrow(_to_tokens(order, classes, percent), "tok long, rid long, n int, n0 int, rest boolean")
     shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
@@ -129,7 +133,8 @@ def _prefixes(sets: DataFrame, order: int, classes: int, percent: int) -> DataFr
     met = F.size(F.filter("all", lambda t: ~t["rest"]))
     # class shingles of a single set come first and take up places
     room = F.when(F.col("n0") >= p, p - F.col("n0") + met).otherwise(F.size("all"))
-    prefix = lists.select("rid", F.explode(F.slice("all", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("t")).select("t.tok", "rid")
+    prefix = lists.select("rid", (F.col("n0") - met).alias("before"), F.posexplode(F.slice("all", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("i", "t"))
+    prefix = prefix.select("t.tok", "rid", (F.col("before") + F.col("i")).cast("long").alias("pos"))
     return _shared(materialize(spark, prefix))
 
 
@@ -144,10 +149,6 @@ def _only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "rid", how)
 
 
-def _links(a_n: Column, b_n: Column, both: Column, percent: int) -> Column:
-    return both * 100 >= (a_n + b_n - both) * percent
-
-
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
 
@@ -160,58 +161,95 @@ def _star_links(entries: DataFrame, sets: DataFrame, second: DataFrame, percent:
     side = lambda s: small.select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("second").alias(f"s_{s}"))
     pairs = (pairs.join(side("u"), "u").join(side("v"), "v")
              .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & F.arrays_overlap("s_u", "s_v"))
-             .select("u", "v", "n_u", "n_v"))
-    wide = lambda s: sets.select(F.col("rid").alias(s), F.col("sh").alias(f"sh_{s}"))
-    checked = pairs.join(wide("u"), "u").join(wide("v"), "v").withColumn("both", F.pandas_udf(_overlap, "long")("sh_u", "sh_v"))
-    return checked.where(_links(F.col("n_u"), F.col("n_v"), F.col("both"), percent)).select("u", "v")
+             .select("u", "v"))
+    return _verified(pairs, sets, percent)
+
+
+def _candidates(rows: pd.DataFrame, percent: int, crossing: bool) -> Iterator[tuple[int, int]]:
+    """Positions (i, j) within one list whose sets may link: not connected yet, of similar size, able to overlap
+    enough from here on, and meeting in the second order too. Labels may change between steps."""
+    label, block, n, pos = (rows[c].to_numpy() for c in ("label", "block", "n", "pos"))
+    bit: dict[int, int] = {}
+    masks = [sum(1 << bit.setdefault(t, len(bit)) for t in toks) for toks in rows["second"]]
+    for i in range(len(rows) - 1):
+        near = (label[i + 1:] != label[i]) & (np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * percent)
+        near &= np.minimum(n[i + 1:] - pos[i + 1:], n[i] - pos[i]) * (100 + percent) >= (n[i + 1:] + n[i]) * percent
+        if crossing:
+            near &= block[i + 1:] != block[i]
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if masks[i] & masks[j] and label[i] != label[j]:
+                yield i, j
+
+
+def _pairs(percent: int):
+    """Candidate pairs of many short lists."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = set()
+        for _, part in rows.sort_values(["tok", "rid"]).groupby("tok", sort=False):
+            rid = part["rid"].to_numpy()
+            found.update((rid[j], rid[i]) for i, j in _candidates(part, percent, False))
+        return pd.DataFrame(sorted(found), columns=["u", "v"]).astype("int64")
+
+    return run
 
 
 def _compare(percent: int):
-    """Links that connect something within one list, or between two blocks of it."""
+    """Links that connect something within one long list, or between two blocks of it. A pair that shares several
+    first-order shingles is looked at in the list of the smallest."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid").reset_index(drop=True)
-        crossing = key[1] != key[2]
-        rid, label, block, n = (rows[c].to_numpy() for c in ("rid", "label", "block", "n"))
-        sets = [np.frombuffer(x, np.uint64) for x in rows["sh"]]
-        flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets])
-        _, flat = np.unique(flat, return_inverse=True)
-        bit: dict[int, int] = {}
-        masks = [sum(1 << bit.setdefault(t, len(bit)) for t in toks) for toks in rows["second"]]
-        mark, found = np.zeros(flat.max() + 1, bool), []
-        for i in range(len(rows) - 1):
-            near = (label[i + 1:] != label[i]) & (np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * percent)
-            if crossing:
-                near &= block[i + 1:] != block[i]
-            rest = [j for j in (np.flatnonzero(near) + i + 1).tolist() if masks[i] & masks[j]]
-            if not rest:
+        rid, label, n = rows["rid"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy()
+        firsts = [set(x) for x in rows["first"]]
+        found, flat, starts, marked = [], None, None, -1
+        for i, j in _candidates(rows, percent, key[1] != key[2]):
+            if min(firsts[i] & firsts[j]) != key[0]:
                 continue
-            mark[flat[starts[i]:starts[i + 1]]] = True
-            for j in rest:
-                if label[j] == label[i]:
-                    continue
-                both = int(np.count_nonzero(mark[flat[starts[j]:starts[j + 1]]]))
-                if both * 100 >= (int(n[i]) + int(n[j]) - both) * percent:
-                    found.append((rid[i], rid[j]))
-                    label[label == label[j]] = label[i]
-            mark[flat[starts[i]:starts[i + 1]]] = False
+            if flat is None:
+                sets = [np.frombuffer(x, np.uint64) for x in rows["sh"]]
+                starts = np.cumsum([0] + [len(s) for s in sets])
+                _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                mark = np.zeros(flat.max() + 1, bool)
+            if marked != i:
+                mark[:] = False
+                mark[flat[starts[i]:starts[i + 1]]] = True
+                marked = i
+            both = int(np.count_nonzero(mark[flat[starts[j]:starts[j + 1]]]))
+            if both * 100 >= (int(n[i]) + int(n[j]) - both) * percent:
+                found.append((rid[j], rid[i]))
+                label[label == label[j]] = label[i]  # a view of the column that _candidates reads
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` that reach the similarity, by an exact count of their overlap."""
+    side = lambda s: sets.select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sh").alias(f"sh_{s}"))
+    checked = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("both", F.pandas_udf(_overlap, "long")("sh_u", "sh_v"))
+    return checked.where(F.col("both") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("both")) * percent).select("u", "v")
+
+
 def _block_links(entries: DataFrame, sets: DataFrame, second: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between documents that the star links left apart, so that all links connect alike."""
     spark = entries.sparkSession
     named = (entries.join(labels.select(F.col("node").alias("rid"), F.col("root")), "rid", "left")
-             .join(sets.select("rid", "n"), "rid").select("tok", "rid", "n", F.coalesce("root", "rid").alias("label")))
+             .join(sets.select("rid", "n"), "rid").select("tok", "rid", "pos", "n", F.coalesce("root", "rid").alias("label")))
     named = materialize(spark, named)
     lists = (named.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("k"), F.sum("n").alias("s")).where("a != b")
-             .select("tok", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("m")))
-    rows = (named.join(lists, "tok").withColumn("block", F.pmod(F.xxhash64("rid", "tok"), F.col("m")).cast("int"))
+             .select("tok", "k", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("m")))
+    open_lists = materialize(spark, named.join(lists, "tok").join(second, "rid"))
+
+    short = open_lists.where(F.col("k") <= SHORT_LIST)
+    bundles = max(1, short.count() // BUNDLE)
+    short = short.withColumn("block", F.lit(0)).groupBy(F.pmod(F.xxhash64("tok"), F.lit(bundles)).alias("bundle"))
+    pairs = short.applyInPandas(_pairs(percent), "u long, v long").distinct()
+
+    firsts = entries.groupBy("rid").agg(F.collect_list("tok").alias("first"))
+    long = (open_lists.where(F.col("k") > SHORT_LIST).withColumn("block", F.pmod(F.xxhash64("rid", "tok"), F.col("m")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-            .select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rid", "n", "label", "block"))
-    rows = rows.join(second, "rid").join(sets.select("rid", "sh"), "rid")
-    return rows.groupBy("tok", "x", "y").applyInPandas(_compare(percent), "u long, v long")
+            .select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rid", "pos", "n", "label", "block", "second"))
+    long = long.join(firsts, "rid").join(sets.select("rid", "sh"), "rid")
+    return _verified(pairs, sets, percent).unionByName(long.groupBy("tok", "x", "y").applyInPandas(_compare(percent), "u long, v long"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
