@@ -2,14 +2,15 @@
 
 A document is its set of distinct word shingles (64-bit hashes; the chance that two shingles of a compared
 pair collide is below 1e-12 for sets of a thousand). If two sets reach the similarity, then under *any* total
-order of the shingles their prefixes of n - ceil(t n) + 1 shingles meet. Two different orders are used, and a
-pair is a candidate only if its prefixes meet in both; then its overlap is counted exactly.
+order of the shingles their prefixes of n - ceil(t n) + 1 shingles meet. Three different orders are used, and a
+pair is a candidate only if its prefixes meet in all; then its overlap is counted exactly.
 
 Order m puts one residue class of shingles (hash modulo ``classes`` = m) first, rarest first, then all others
 by hash. Rarity is counted over all documents, but only that class has to be shuffled. The class holds more
 shingles than a prefix needs, so frequent ones (shared passages, common phrases) stay out of the prefixes. A
 shingle held by one document cannot meet anything: it takes up its place in the prefix and is not sent on, and
-a document whose whole prefix is such is finished. The second order runs on what the first leaves.
+a document with a prefix's worth of such shingles, over all orders so far, is finished. Each order runs on what
+the one before leaves.
 
 Copies are joined before anything else (one representative of each equal set goes on). No list of documents is
 ever turned into all its pairs:
@@ -17,7 +18,7 @@ ever turned into all its pairs:
 1. in every list of documents sharing a prefix shingle, each is compared with the list's first one (as
    many comparisons as list entries), and the links found are joined into components;
 2. lists whose documents are by then all in one component are done. Of short ones, the pairs that pass the
-   filters (not connected, similar size, enough shingles left after the meeting, meeting in the second order)
+   filters (not connected, similar size, enough shingles left after the meeting, meeting in the other orders)
    are compared. Longer ones are cut into blocks, pairs of blocks are compared in tasks of bounded size,
    skipping what is already connected, and only the links that connect something leave the task.
 """
@@ -38,11 +39,12 @@ from ..sources.snapshot import materialize
 from .common import ship
 from .components import components
 
-MAX_BROADCAST_IDS = 4_000_000  # ids (8 bytes each) that a filter broadcasts; above, it is a shuffled join
+ORDERS = 3
+MAX_BROADCAST_IDS = 4_000_000  # ids (8 bytes each, or 12) that a filter broadcasts; above, it is a shuffled join
 BLOCK_DOCS = 1000
 BLOCK_SHINGLES = 500_000
 SHORT_LIST = 64  # documents; the pairs of shorter lists that pass all filters are compared one by one
-BUNDLE = 20_000  # entries of short lists that a task filters at once, about
+BUNDLE = 4_000  # entries of short lists that a task filters at once, about
 ROWS_AT_ONCE = 512
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,13 +97,13 @@ def _to_sets(width: int):
 
 
 def _to_tokens(order: int, classes: int, percent: int):
-    """Rows (tok, rid, n, n0, rest): a set's class shingles, and where these are too few for its prefix the
-    others that fill it. n0: number of class shingles."""
+    """Rows (tok, rid, n, u, n0, rest): a set's class shingles, and where these are too few for its prefix the
+    others that fill it. n0: number of class shingles; u: shingles that earlier orders found in no other set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(a, ROWS_AT_ONCE)
-                rids = part.column(0).to_numpy()
+                rids, alone = part.column(0).to_numpy(), part.column(2).to_numpy().astype(np.int32)
                 toks, counts, firsts = [], [], []
                 for raw in part.column(1):
                     s = np.frombuffer(raw.as_py(), np.uint64)
@@ -115,26 +117,28 @@ def _to_tokens(order: int, classes: int, percent: int):
                 each = n0 + extra
                 flags = np.repeat(np.tile([False, True], len(n)), np.stack([n0, extra], 1).ravel())
                 tok = np.concatenate(toks).view(np.int64) if toks else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.repeat(rids, each)), pa.array(np.repeat(n, each).astype(np.int32)),
-                                                  pa.array(np.repeat(n0, each).astype(np.int32)), pa.array(flags)], ["tok", "rid", "n", "n0", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.repeat(rids, each)), pa.array(np.repeat(n, each).astype(np.int32)), pa.array(np.repeat(alone, each)),
+                                                  pa.array(np.repeat(n0, each).astype(np.int32)), pa.array(flags)], ["tok", "rid", "n", "u", "n0", "rest"])
 
     return run
 
 
 def _prefixes(sets: DataFrame, order: int, classes: int, percent: int) -> DataFrame:
-    """(tok, rid, pos): the prefix shingles under one order that at least two sets have in their prefixes, and how
-    many of a set's shingles come before (at least). Written."""
+    """(tok, rid, pos, u): the prefix shingles under one order that at least two sets have in their prefixes, how
+    many of a set's shingles come before (at least), and how many of them no other set has, by this order and
+    those before. A set with too many of these has no partner and is left out. Written."""
     spark = sets.sparkSession
-    tokens = sets.select("rid", "sh").mapInArrow(_to_tokens(order, classes, percent), "tok long, rid long, n int, n0 int, rest boolean")
+    tokens = sets.select("rid", "sh", "u").mapInArrow(_to_tokens(order, classes, percent), "tok long, rid long, n int, u int, n0 int, rest boolean")
     shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     lists = (tokens.join(shared, "tok").groupBy("rid")
-             .agg(F.max("n").alias("n"), F.max("n0").alias("n0"), F.sort_array(F.collect_list(F.struct("rest", "df", "tok"))).alias("all")))
+             .agg(F.max("n").alias("n"), F.max("u").alias("u"), F.max("n0").alias("n0"), F.sort_array(F.collect_list(F.struct("rest", "df", "tok"))).alias("all")))
     p = prefix_length(F.col("n"), percent)
     met = F.size(F.filter("all", lambda t: ~t["rest"]))
+    lists = lists.select("rid", "n", "n0", "all", met.alias("met"), (F.col("u") + F.col("n0") - met).cast("int").alias("u")).where(F.col("u") < p)
     # class shingles of a single set come first and take up places
-    room = F.when(F.col("n0") >= p, p - F.col("n0") + met).otherwise(F.size("all"))
-    prefix = lists.select("rid", (F.col("n0") - met).alias("before"), F.posexplode(F.slice("all", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("i", "t"))
-    prefix = prefix.select("t.tok", "rid", (F.col("before") + F.col("i")).cast("long").alias("pos"))
+    room = F.when(F.col("n0") >= p, p - F.col("n0") + F.col("met")).otherwise(F.size("all"))
+    prefix = lists.select("rid", "u", (F.col("n0") - F.col("met")).alias("before"), F.posexplode(F.slice("all", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("i", "t"))
+    prefix = prefix.select("t.tok", "rid", (F.col("before") + F.col("i")).cast("long").alias("pos"), "u")
     return _shared(materialize(spark, prefix))
 
 
@@ -149,46 +153,65 @@ def _only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "rid", how)
 
 
+def _with_alone(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose rid is in ``ids``, with its ``u``; broadcast or shuffled as in ``_only``."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "rid")
+
+
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
 
 
-def _star_links(entries: DataFrame, sets: DataFrame, second: DataFrame, percent: int) -> DataFrame:
-    """(u, v) for every list member that reaches the similarity with its list's first document."""
+def _star_pairs(entries: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """(u, v), written: every list member with its list's first document, if they may link."""
     firsts = entries.groupBy("tok").agg(F.min("rid").alias("v"))
     pairs = entries.join(firsts, "tok").select(F.col("rid").alias("u"), "v").where("u != v").distinct()
-    small = second.join(sets.select("rid", "n"), "rid")
-    side = lambda s: small.select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("second").alias(f"s_{s}"))
+    side = lambda s: others.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "most", "second", "third")])
     pairs = (pairs.join(side("u"), "u").join(side("v"), "v")
-             .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & F.arrays_overlap("s_u", "s_v"))
+             .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
+                    & (F.least("most_u", "most_v") * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent)
+                    & F.arrays_overlap("second_u", "second_v") & F.arrays_overlap("third_u", "third_v"))
              .select("u", "v"))
-    return _verified(pairs, sets, percent)
+    return materialize(entries.sparkSession, pairs)
 
 
 def _candidates(rows: pd.DataFrame, percent: int, crossing: bool) -> Iterator[tuple[int, int]]:
     """Positions (i, j) within one list whose sets may link: not connected yet, of similar size, able to overlap
-    enough from here on, and meeting in the second order too. Labels may change between steps."""
-    label, block, n, pos = (rows[c].to_numpy() for c in ("label", "block", "n", "pos"))
+    enough from here on, and meeting in the other orders too. Labels may change between steps."""
+    label, block, n, pos, most = (rows[c].to_numpy() for c in ("label", "block", "n", "pos", "most"))
     bit: dict[int, int] = {}
-    masks = [sum(1 << bit.setdefault(t, len(bit)) for t in toks) for toks in rows["second"]]
+    masks, more = ([sum(1 << bit.setdefault(t, len(bit)) for t in toks) for toks in rows[c]] for c in ("second", "third"))
     for i in range(len(rows) - 1):
         near = (label[i + 1:] != label[i]) & (np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * percent)
-        near &= np.minimum(n[i + 1:] - pos[i + 1:], n[i] - pos[i]) * (100 + percent) >= (n[i + 1:] + n[i]) * percent
+        reach = np.minimum(np.minimum(n[i + 1:] - pos[i + 1:], n[i] - pos[i]), np.minimum(most[i + 1:], most[i]))
+        near &= reach * (100 + percent) >= (n[i + 1:] + n[i]) * percent
         if crossing:
             near &= block[i + 1:] != block[i]
         for j in (np.flatnonzero(near) + i + 1).tolist():
-            if masks[i] & masks[j] and label[i] != label[j]:
+            if masks[i] & masks[j] and more[i] & more[j] and label[i] != label[j]:
                 yield i, j
 
 
 def _pairs(percent: int):
-    """Candidate pairs of many short lists."""
+    """Candidate pairs of many short lists: what ``_candidates`` gives, in plain loops that suit a few rows."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = set()
-        for _, part in rows.sort_values(["tok", "rid"]).groupby("tok", sort=False):
-            rid = part["rid"].to_numpy()
-            found.update((rid[j], rid[i]) for i, j in _candidates(part, percent, False))
-        return pd.DataFrame(sorted(found), columns=["u", "v"]).astype("int64")
+        rows = rows.sort_values(["tok", "rid"])
+        edges = [0, *(np.flatnonzero(np.diff(rows["tok"].to_numpy())) + 1).tolist(), len(rows)]
+        rid, label, n, pos, most = (rows[c].tolist() for c in ("rid", "label", "n", "pos", "most"))
+        meets = {r: (set(x), set(y)) for r, x, y in rows.drop_duplicates("rid")[["rid", "second", "third"]].itertuples(index=False)}
+        seen, found = set(), []
+        for first, last in zip(edges, edges[1:]):
+            for j in range(first + 1, last):
+                for i in range(first, j):
+                    if label[i] == label[j] or min(n[i], n[j]) * 100 < max(n[i], n[j]) * percent or (rid[j], rid[i]) in seen:
+                        continue
+                    if min(n[i] - pos[i], n[j] - pos[j], most[i], most[j]) * (100 + percent) < (n[i] + n[j]) * percent:
+                        continue
+                    seen.add((rid[j], rid[i]))
+                    (a, b), (c, d) = meets[rid[i]], meets[rid[j]]
+                    if not a.isdisjoint(c) and not b.isdisjoint(d):
+                        found.append((rid[j], rid[i]))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return run
 
@@ -229,25 +252,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checked.where(F.col("both") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("both")) * percent).select("u", "v")
 
 
-def _block_links(entries: DataFrame, sets: DataFrame, second: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _block_links(entries: DataFrame, sets: DataFrame, others: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between documents that the star links left apart, so that all links connect alike."""
     spark = entries.sparkSession
     named = (entries.join(labels.select(F.col("node").alias("rid"), F.col("root")), "rid", "left")
-             .join(sets.select("rid", "n"), "rid").select("tok", "rid", "pos", "n", F.coalesce("root", "rid").alias("label")))
+             .join(others.select("rid", "n"), "rid").select("tok", "rid", "pos", "n", F.coalesce("root", "rid").alias("label")))
     named = materialize(spark, named)
     lists = (named.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("k"), F.sum("n").alias("s")).where("a != b")
              .select("tok", "k", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("m")))
-    open_lists = materialize(spark, named.join(lists, "tok").join(second, "rid"))
+    open_lists = materialize(spark, named.join(lists, "tok").join(others.drop("n"), "rid"))
 
     short = open_lists.where(F.col("k") <= SHORT_LIST)
     bundles = max(1, short.count() // BUNDLE)
     short = short.withColumn("block", F.lit(0)).groupBy(F.pmod(F.xxhash64("tok"), F.lit(bundles)).alias("bundle"))
-    pairs = short.applyInPandas(_pairs(percent), "u long, v long").distinct()
+    pairs = short.applyInPandas(_pairs(percent), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
 
     firsts = entries.groupBy("rid").agg(F.collect_list("tok").alias("first"))
     long = (open_lists.where(F.col("k") > SHORT_LIST).withColumn("block", F.pmod(F.xxhash64("rid", "tok"), F.col("m")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-            .select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rid", "pos", "n", "label", "block", "second"))
+            .select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rid", "pos", "n", "most", "label", "block", "second", "third"))
     long = long.join(firsts, "rid").join(sets.select("rid", "sh"), "rid")
     return _verified(pairs, sets, percent).unionByName(long.groupBy("tok", "x", "y").applyInPandas(_compare(percent), "u long, v long"))
 
@@ -264,7 +287,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     if not 1 <= percent <= 99:
         raise ValueError("percent must be 1 to 99")
     spark = ship(docs.sparkSession)
-    classes = max(2, 60 // (100 - percent))
+    classes = max(ORDERS, 60 // (100 - percent))
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     every = materialize(spark, source.mapInArrow(_to_sets(width), "rid long, doc_id long, n long, hi long, lo long, sh binary"))
 
@@ -272,14 +295,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     copies = every.where("n > 0").select("rid", "hi", "lo").join(equal.where("k > 1"), ["hi", "lo"]).where("rid != first").select("rid")
     single = _only(every.where("n > 0").select("rid", "n", "sh"), copies, "left_anti")
 
-    one = _prefixes(single, 0, classes, percent)
-    left = materialize(spark, _only(every.select("rid", "n", "sh"), one.select("rid").distinct()))
-    two = _prefixes(left, 1, classes, percent)
-    second = materialize(spark, two.groupBy("rid").agg(F.collect_list("tok").alias("second")))
-    entries = _shared(_only(one, second.select("rid")))
-
-    star = materialize(spark, _star_links(entries, left, second, percent))
-    more = _block_links(entries, left, second, components(star), percent)
+    left = single.withColumn("u", F.lit(0))
+    found = []
+    for order in range(ORDERS):
+        found.append(_prefixes(left, order, classes, percent))
+        left = materialize(spark, _with_alone(left.select("rid", "n", "sh"), found[-1].select("rid", "u").distinct()))
+    entries = _shared(_only(found[0].select("tok", "rid", "pos"), left.select("rid")))
+    arrays = [f.groupBy("rid").agg(F.collect_list("tok").alias(c)) for f, c in zip(found[1:], ("second", "third"))]
+    others = materialize(spark, left.select("rid", "n", (F.col("n") - F.col("u")).alias("most")).join(arrays[0], "rid").join(arrays[1], "rid"))
+
+    tried = _star_pairs(entries, others, percent)
+    star = materialize(spark, _verified(tried, left, percent))
+    more = _block_links(entries, left, others, components(star), tried, percent)
     joined = components(star.unionByName(more))
 
     names = joined.join(equal.select(F.col("first").alias("node"), "name"), "node")
