@@ -40,7 +40,7 @@ from .common import ship
 from .components import components
 
 ORDERS = 3
-MAX_BROADCAST_IDS = 4_000_000  # ids (8 bytes each, or 12) that a filter broadcasts; above, it is a shuffled join
+MAX_BROADCAST_IDS = 1_000_000  # ids (48 bytes each at most) that a filter broadcasts; above, it is a shuffled join
 BLOCK_DOCS = 1000
 BLOCK_SHINGLES = 500_000
 SHORT_LIST = 64  # documents; the pairs of shorter lists that pass all filters are compared one by one
@@ -76,49 +76,77 @@ def prefix_length(n, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-_SETS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sh", pa.binary())])
+def _of_order(s: np.ndarray, order: int, classes: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's shingles of the order's class, and where these are too few for its prefix the others that fill it."""
+    mine = s % np.uint64(classes) == np.uint64(order)
+    first = s[mine]
+    short = prefix_length(len(s), percent) - len(first)
+    return first, s[~mine][:short] if short > 0 else s[:0]
 
 
-def _to_sets(width: int):
+def _keys(raw: list[bytes]) -> np.ndarray:
+    """128-bit hashes of whole sets, as two signed columns."""
+    return np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], np.uint64).reshape(-1, 2).view(np.int64)
+
+
+_SETS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
+                   ("n0", pa.int32()), ("toks", pa.binary())])
+
+
+def _to_sets(width: int, classes: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for b in batches:
             for a in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(a, ROWS_AT_ONCE)
-                sets = [shingle_set(t.as_py(), width) for t in part.column(1)]
+                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
                 raw = [s.tobytes() for s in sets]
-                keys = np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], np.uint64).reshape(-1, 2).view(np.int64)
+                keys = _keys(raw)
+                split = [_of_order(s, 0, classes, percent) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(rid, rid + len(raw))), part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(raw, pa.binary())], schema=_SETS)
+                    pa.array(np.arange(rid, rid + len(raw))), part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(f) for f, _ in split], pa.int32()),
+                    pa.array([f.tobytes() + r.tobytes() for f, r in split], pa.binary())], schema=_SETS)
                 rid += len(raw)
 
     return run
 
 
+def _again(width: int):
+    """(hi, lo, sh) of texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(a, ROWS_AT_ONCE)
+                raw = [shingle_set(t.as_py(), width).tobytes() for t in part.column(0)]
+                keys = _keys(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(raw, pa.binary())], ["hi", "lo", "sh"])
+
+    return run
+
+
 def _to_tokens(order: int, classes: int, percent: int):
-    """Rows (tok, rid, n, u, n0, rest): a set's class shingles, and where these are too few for its prefix the
-    others that fill it. n0: number of class shingles; u: shingles that earlier orders found in no other set."""
+    """Rows (tok, rid, n, u, n0, rest) of sets given as (rid, n, u, n0, toks), or (rid, n, u, sh): the shingles of
+    ``_of_order``. n0: number of class shingles; u: shingles that earlier orders found in no other set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(a, ROWS_AT_ONCE)
-                rids, alone = part.column(0).to_numpy(), part.column(2).to_numpy().astype(np.int32)
-                toks, counts, firsts = [], [], []
-                for raw in part.column(1):
-                    s = np.frombuffer(raw.as_py(), np.uint64)
-                    mine = s % np.uint64(classes) == np.uint64(order)
-                    first = s[mine]
-                    short = prefix_length(len(s), percent) - len(first)
-                    rest = s[~mine][:short] if short > 0 else s[:0]
-                    toks += [first, rest]
-                    counts.append((len(s), len(first), len(rest)))
-                n, n0, extra = np.array(counts, np.int64).reshape(-1, 3).T
-                each = n0 + extra
-                flags = np.repeat(np.tile([False, True], len(n)), np.stack([n0, extra], 1).ravel())
+                rids, n, alone = (part.column(i).to_numpy() for i in range(3))
+                if part.num_columns == 5:
+                    toks = [np.frombuffer(raw.as_py(), np.uint64) for raw in part.column(4)]
+                    n0 = part.column(3).to_numpy().astype(np.int64)
+                    each = np.array([len(t) for t in toks], np.int64)
+                else:
+                    split = [_of_order(np.frombuffer(raw.as_py(), np.uint64), order, classes, percent) for raw in part.column(3)]
+                    toks = [t for pair in split for t in pair]
+                    n0 = np.array([len(f) for f, _ in split], np.int64)
+                    each = n0 + np.array([len(r) for _, r in split], np.int64)
+                flags = np.repeat(np.tile([False, True], len(n)), np.stack([n0, each - n0], 1).ravel())
                 tok = np.concatenate(toks).view(np.int64) if toks else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.repeat(rids, each)), pa.array(np.repeat(n, each).astype(np.int32)), pa.array(np.repeat(alone, each)),
-                                                  pa.array(np.repeat(n0, each).astype(np.int32)), pa.array(flags)], ["tok", "rid", "n", "u", "n0", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.repeat(rids, each)), pa.array(np.repeat(n, each).astype(np.int32)),
+                                                  pa.array(np.repeat(alone, each).astype(np.int32)), pa.array(np.repeat(n0, each).astype(np.int32)), pa.array(flags)],
+                                                 ["tok", "rid", "n", "u", "n0", "rest"])
 
     return run
 
@@ -128,7 +156,8 @@ def _prefixes(sets: DataFrame, order: int, classes: int, percent: int) -> DataFr
     many of a set's shingles come before (at least), and how many of them no other set has, by this order and
     those before. A set with too many of these has no partner and is left out. Written."""
     spark = sets.sparkSession
-    tokens = sets.select("rid", "sh", "u").mapInArrow(_to_tokens(order, classes, percent), "tok long, rid long, n int, u int, n0 int, rest boolean")
+    given = ["n0", "toks"] if "toks" in sets.columns else ["sh"]
+    tokens = sets.select("rid", "n", "u", *given).mapInArrow(_to_tokens(order, classes, percent), "tok long, rid long, n int, u int, n0 int, rest boolean")
     shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     lists = (tokens.join(shared, "tok").groupBy("rid")
              .agg(F.max("n").alias("n"), F.max("u").alias("u"), F.max("n0").alias("n0"), F.sort_array(F.collect_list(F.struct("rest", "df", "tok"))).alias("all")))
@@ -150,29 +179,37 @@ def _shared(entries: DataFrame) -> DataFrame:
 
 def _only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """``rows`` whose rid is (or with left_anti: is not) in ``ids``: a broadcast of checked size, else a shuffled join."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "rid", how)
+    return rows.join(_small(ids), "rid", how)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
 def _with_alone(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` whose rid is in ``ids``, with its ``u``; broadcast or shuffled as in ``_only``."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "rid")
+    return rows.join(_small(ids), "rid")
 
 
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
 
 
+def _meeting(pairs: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` that may link by their sizes and meet in the other orders too."""
+    side = lambda s: others.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "most", "second", "third")])
+    return (pairs.join(side("u"), "u").join(side("v"), "v")
+            .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
+                   & (F.least("most_u", "most_v") * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent)
+                   & F.arrays_overlap("second_u", "second_v") & F.arrays_overlap("third_u", "third_v"))
+            .select("u", "v"))
+
+
 def _star_pairs(entries: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     """(u, v), written: every list member with its list's first document, if they may link."""
     firsts = entries.groupBy("tok").agg(F.min("rid").alias("v"))
     pairs = entries.join(firsts, "tok").select(F.col("rid").alias("u"), "v").where("u != v").distinct()
-    side = lambda s: others.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "most", "second", "third")])
-    pairs = (pairs.join(side("u"), "u").join(side("v"), "v")
-             .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
-                    & (F.least("most_u", "most_v") * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent)
-                    & F.arrays_overlap("second_u", "second_v") & F.arrays_overlap("third_u", "third_v"))
-             .select("u", "v"))
-    return materialize(entries.sparkSession, pairs)
+    return materialize(entries.sparkSession, _meeting(pairs, others, percent))
 
 
 def _candidates(rows: pd.DataFrame, percent: int, crossing: bool) -> Iterator[tuple[int, int]]:
@@ -193,25 +230,20 @@ def _candidates(rows: pd.DataFrame, percent: int, crossing: bool) -> Iterator[tu
 
 
 def _pairs(percent: int):
-    """Candidate pairs of many short lists: what ``_candidates`` gives, in plain loops that suit a few rows."""
+    """Candidate pairs of many short lists by their first order, sizes and places."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tok", "rid"])
         edges = [0, *(np.flatnonzero(np.diff(rows["tok"].to_numpy())) + 1).tolist(), len(rows)]
         rid, label, n, pos, most = (rows[c].tolist() for c in ("rid", "label", "n", "pos", "most"))
-        meets = {r: (set(x), set(y)) for r, x, y in rows.drop_duplicates("rid")[["rid", "second", "third"]].itertuples(index=False)}
-        seen, found = set(), []
+        found = set()
         for first, last in zip(edges, edges[1:]):
             for j in range(first + 1, last):
                 for i in range(first, j):
-                    if label[i] == label[j] or min(n[i], n[j]) * 100 < max(n[i], n[j]) * percent or (rid[j], rid[i]) in seen:
-                        continue
-                    if min(n[i] - pos[i], n[j] - pos[j], most[i], most[j]) * (100 + percent) < (n[i] + n[j]) * percent:
+                    if label[i] == label[j] or min(n[i], n[j]) * 100 < max(n[i], n[j]) * percent:
                         continue
-                    seen.add((rid[j], rid[i]))
-                    (a, b), (c, d) = meets[rid[i]], meets[rid[j]]
-                    if not a.isdisjoint(c) and not b.isdisjoint(d):
-                        found.append((rid[j], rid[i]))
-        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+                    if min(n[i] - pos[i], n[j] - pos[j], most[i], most[j]) * (100 + percent) >= (n[i] + n[j]) * percent:
+                        found.add((rid[j], rid[i]))
+        return pd.DataFrame(sorted(found), columns=["u", "v"]).astype("int64")
 
     return run
 
@@ -256,22 +288,23 @@ def _block_links(entries: DataFrame, sets: DataFrame, others: DataFrame, labels:
     """(u, v): links between documents that the star links left apart, so that all links connect alike."""
     spark = entries.sparkSession
     named = (entries.join(labels.select(F.col("node").alias("rid"), F.col("root")), "rid", "left")
-             .join(others.select("rid", "n"), "rid").select("tok", "rid", "pos", "n", F.coalesce("root", "rid").alias("label")))
+             .join(others.select("rid", "n", "most"), "rid").select("tok", "rid", "pos", "n", "most", F.coalesce("root", "rid").alias("label")))
     named = materialize(spark, named)
     lists = (named.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("k"), F.sum("n").alias("s")).where("a != b")
              .select("tok", "k", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("m")))
-    open_lists = materialize(spark, named.join(lists, "tok").join(others.drop("n"), "rid"))
+    open_lists = materialize(spark, named.join(lists, "tok"))
 
     short = open_lists.where(F.col("k") <= SHORT_LIST)
     bundles = max(1, short.count() // BUNDLE)
     short = short.withColumn("block", F.lit(0)).groupBy(F.pmod(F.xxhash64("tok"), F.lit(bundles)).alias("bundle"))
     pairs = short.applyInPandas(_pairs(percent), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+    pairs = _meeting(pairs, others, percent)
 
     firsts = entries.groupBy("rid").agg(F.collect_list("tok").alias("first"))
     long = (open_lists.where(F.col("k") > SHORT_LIST).withColumn("block", F.pmod(F.xxhash64("rid", "tok"), F.col("m")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-            .select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rid", "pos", "n", "most", "label", "block", "second", "third"))
-    long = long.join(firsts, "rid").join(sets.select("rid", "sh"), "rid")
+            .select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rid", "pos", "n", "most", "label", "block"))
+    long = long.join(firsts, "rid").join(others.select("rid", "second", "third"), "rid").join(sets.select("rid", "sh"), "rid")
     return _verified(pairs, sets, percent).unionByName(long.groupBy("tok", "x", "y").applyInPandas(_compare(percent), "u long, v long"))
 
 
@@ -289,17 +322,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     spark = ship(docs.sparkSession)
     classes = max(ORDERS, 60 // (100 - percent))
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    every = materialize(spark, source.mapInArrow(_to_sets(width), "rid long, doc_id long, n long, hi long, lo long, sh binary"))
+    keyed = source.withColumn("tk", F.xxhash64("text"))
+    every = materialize(spark, keyed.select("doc_id", "tk", "text").mapInArrow(
+        _to_sets(width, classes, percent), "rid long, doc_id long, tk long, n long, hi long, lo long, n0 int, toks binary"))
 
     equal = materialize(spark, every.where("n > 0").groupBy("hi", "lo").agg(F.min("rid").alias("first"), F.min("doc_id").alias("name"), F.count("*").alias("k")))
     copies = every.where("n > 0").select("rid", "hi", "lo").join(equal.where("k > 1"), ["hi", "lo"]).where("rid != first").select("rid")
-    single = _only(every.where("n > 0").select("rid", "n", "sh"), copies, "left_anti")
-
-    left = single.withColumn("u", F.lit(0))
-    found = []
-    for order in range(ORDERS):
+    single = _only(every.where("n > 0"), copies, "left_anti").withColumn("u", F.lit(0))
+
+    found = [_prefixes(single, 0, classes, percent)]
+    # most documents are finished here; the whole sets of the others are made again from their texts
+    ids = materialize(spark, _with_alone(single.drop("u"), found[0].select("rid", "u").distinct()).select("rid", "n", "u", "tk", "hi", "lo"))
+    texts = keyed.join(_small(ids.select("tk").distinct()), "tk", "left_semi").select("text")
+    sets = texts.mapInArrow(_again(width), "hi long, lo long, sh binary").dropDuplicates(["hi", "lo"])
+    sets = materialize(spark, sets.join(_small(ids), ["hi", "lo"]).select("rid", "n", "u", "sh"))
+    left = sets
+    for order in range(1, ORDERS):
         found.append(_prefixes(left, order, classes, percent))
-        left = materialize(spark, _with_alone(left.select("rid", "n", "sh"), found[-1].select("rid", "u").distinct()))
+        left = _with_alone(sets.select("rid", "n", "sh"), materialize(spark, found[-1].select("rid", "u").distinct()))
     entries = _shared(_only(found[0].select("tok", "rid", "pos"), left.select("rid")))
     arrays = [f.groupBy("rid").agg(F.collect_list("tok").alias(c)) for f, c in zip(found[1:], ("second", "third"))]
     others = materialize(spark, left.select("rid", "n", (F.col("n") - F.col("u")).alias("most")).join(arrays[0], "rid").join(arrays[1], "rid"))
