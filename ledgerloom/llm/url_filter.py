@@ -84,9 +84,8 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
 
     def shrunk(nodes: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
         mean = parents.select(*on, (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("_m"))
-        nodes = nodes.join(mean, on) if on else nodes.join(F.broadcast(mean))  # one row
-        k = _concentration(nodes)
-        return nodes.join(F.broadcast(k)).withColumns({  # one row
+        nodes = nodes.join(mean, on) if on else nodes.withColumn("_m", mean.scalar())
+        return nodes.withColumn("_k", _concentration(nodes).scalar()).withColumns({
             "alpha": F.col("_k") * F.col("_m") + F.col("_b"), "beta": F.col("_k") * (1 - F.col("_m")) + F.col("_n") - F.col("_b")}).drop("_k", "_m", "_n", "_b")
 
     by_suffix = shrunk(suffixes, world, [])
@@ -118,7 +117,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     hosts = rows.select("_host").distinct().withColumns({"_domain": domain_of(F.col("_host")), "_suffix": suffix_of(F.col("_host"))})
     hosts = (hosts.join(level(by_host.withColumnRenamed("host", "h"), "h", "host"), "_host", "left")
              .join(level(by_domain, "domain", "domain"), "_domain", "left").join(level(by_suffix, "suffix", "suffix"), "_suffix", "left")
-             .join(F.broadcast(world.select(F.col("alpha").alias("_a_world"), F.col("beta").alias("_b_world")))))  # one row
+             .withColumns({"_a_world": world.select("alpha").scalar(), "_b_world": world.select("beta").scalar()}))
     a = F.coalesce("_a_host", "_a_domain", "_a_suffix", "_a_world")
     b = F.coalesce("_b_host", "_b_domain", "_b_suffix", "_b_world")
     mean = a / (a + b)
