@@ -12,7 +12,7 @@ applied in ``(change_ts, seq)`` order, field by field:
 * a null value always means "not supplied" (D22).
 
 Folding uses ``max(struct(order..., value))`` with a filter, which Spark runs
-as a partial/final hash aggregate: a hot key is combined map-side. Keys not
+as a partial/final sort aggregate (a struct is its buffer): a hot key is combined map-side. Keys not
 in the current table are ignored, like an UPDATE that matches no row.
 """
 

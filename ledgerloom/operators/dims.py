@@ -25,10 +25,11 @@ def get_or_create(dim: DataFrame, names: DataFrame, name_col: str = "name", id_c
     """Return ``(new_dim, lookup)``.
 
     ``names`` holds a ``name_col`` column (duplicates and nulls allowed; null
-    and blank names are not created). ``lookup`` has one row per name:
-    ``(name_col, id_col)``.
+    and empty names are not created). Names are compared and created exactly
+    as given, padding included, so every created name can be looked up.
+    ``lookup`` has one row per name: ``(name_col, id_col)``.
     """
-    wanted = (names.select(F.trim(F.col(name_col)).alias(name_col))
+    wanted = (names.select(name_col)
               .where(F.col(name_col).isNotNull() & (F.col(name_col) != ""))
               .distinct())
     fresh = wanted.join(dim.select(name_col), on=name_col, how="left_anti")

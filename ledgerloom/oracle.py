@@ -117,14 +117,14 @@ SELECT COUNT(*) AS total_orders,
   COUNT(*) FILTER (WHERE status = 'completed') AS completed_orders,
   COUNT(*) FILTER (WHERE status IN ('pending', 'inspecting')) AS pending_orders,
   {msum('total_amount')} AS total_amount, {msum('received_amount')} AS received_amount,
-  SUM(quality_score) / COUNT(quality_score) AS avg_quality_score,
+  CAST(SUM(CAST(quality_score AS DECIMAL(18,2))) AS DOUBLE) / COUNT(quality_score) AS avg_quality_score,
   (SELECT COUNT(*) FROM fx_exception_records WHERE status IN ('reported', 'investigating')) AS open_exceptions
 FROM fx_receiving_orders
 """
 
 BODIES["receiving_daily"] = f"""
 SELECT CAST(receiving_date AS DATE) AS date, COUNT(*) AS orders, {msum('total_amount')} AS total_amount,
-  {msum('received_amount')} AS received_amount, SUM(quality_score) / COUNT(quality_score) AS avg_quality
+  {msum('received_amount')} AS received_amount, CAST(SUM(CAST(quality_score AS DECIMAL(18,2))) AS DOUBLE) / COUNT(quality_score) AS avg_quality
 FROM fx_receiving_orders WHERE CAST(receiving_date AS DATE) >= {ASOF} - 30
 GROUP BY CAST(receiving_date AS DATE) ORDER BY date
 """
@@ -319,8 +319,8 @@ BODIES["apply_packing_status"] = f"""
 WITH ch AS (SELECT *, CAST(floor(quality_score) AS INTEGER) AS actual_time FROM fx_status_changes),
 f AS (
   SELECT id, {fold('status')} AS n_status,
-    {fold('actual_time', "status = 'completed'")} AS n_at,
-    {fold('change_ts', "status = 'completed' AND actual_time IS NOT NULL")} AS n_ca
+    {fold('actual_time', "status = 'completed' AND actual_time <> 0")} AS n_at,
+    {fold('change_ts', "status = 'completed' AND actual_time <> 0")} AS n_ca
   FROM ch GROUP BY id)
 SELECT p.id, p.shipping_order_id, p.customer_name, p.priority, COALESCE(f.n_status, p.status) AS status,
   p.assigned_to, p.estimated_time, COALESCE(f.n_at, p.actual_time) AS actual_time, p.created_at,
@@ -486,8 +486,8 @@ SELECT line_no, error, '第' || CAST(line_no AS VARCHAR) || '行: ' || error AS
 BODIES["dim_get_or_create"] = """
 SELECT name, false AS is_new FROM fx_categories
 UNION ALL
-SELECT DISTINCT trim(category), true FROM fx_import_rows
-WHERE category IS NOT NULL AND trim(category) <> '' AND trim(category) NOT IN (SELECT name FROM fx_categories)
+SELECT DISTINCT category, true FROM fx_import_rows
+WHERE category IS NOT NULL AND category <> '' AND category NOT IN (SELECT name FROM fx_categories)
 """
 
 BODIES["normalise_sales"] = """
@@ -644,7 +644,7 @@ BODIES["freight_quote"] = """
 WITH c AS (SELECT code, CAST(price_per_kg AS DECIMAL(18,2)) AS p, CAST(min_charge AS DECIMAL(18,2)) AS m
   FROM fx_carriers WHERE is_active = 1),
 q AS (SELECT s.id, s.shipping_no, s.weight, c.code,
-    greatest(CAST(CAST(s.weight AS DECIMAL(12,3)) * c.p AS DECIMAL(18,3)), CAST(c.m AS DECIMAL(18,3))) AS cost
+    greatest(CAST(CAST(s.weight AS DECIMAL(12,3)) * c.p AS DECIMAL(30,5)), CAST(c.m AS DECIMAL(30,5))) AS cost
   FROM fx_shipping_orders s CROSS JOIN c)
 SELECT id, shipping_no, weight, code AS carrier_code, CAST(cost AS DOUBLE) AS quote FROM q
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, code) = 1

@@ -89,7 +89,8 @@ def export_sales(t: Tables, filters: dict | None = None) -> DataFrame:
          .join(it, F.col("so.id") == F.col("i.order_id"), "left")
          .join(pr, F.col("i.product_id") == F.col("_pid"), "left"))
     return j.select("so.order_no", "so.order_date", "customer_name", "product_name", "i.quantity", "i.unit_price",
-                    "i.line_total", "so.payment_method", "so.order_status").orderBy(F.col("order_date").desc())
+                    "i.line_total", "so.payment_method", "so.order_status").orderBy(
+                        F.col("order_date").desc(), F.col("order_no").asc(), F.col("product_name").asc())
 
 
 def export_inventory(t: Tables, filters: dict | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def export_inventory(t: Tables, filters: dict | None = None) -> DataFrame:
                           STOCK_LOW_LABEL, STOCK_HIGH_LABEL, STOCK_OK_LABEL)
     return j.select("p.name", "category", "p.current_stock", "p.min_stock", "p.cost_price",
                     (F.col("p.current_stock") * F.col("p.cost_price")).cast(MONEY).alias("stock_value"),
-                    status.alias("stock_status"), "p.updated_at").orderBy(F.col("current_stock").asc())
+                    status.alias("stock_status"), "p.updated_at").orderBy(F.col("current_stock").asc(), F.col("name").asc())
 
 
 def export_financial(t: Tables, filters: dict | None = None) -> DataFrame:
@@ -109,7 +110,7 @@ def export_financial(t: Tables, filters: dict | None = None) -> DataFrame:
     f = filters or {}
     ft = _date_range(t["financial_transactions"], "transaction_date", f.get("startDate"), f.get("endDate"))
     return ft.select("transaction_date", "transaction_type", "category", "amount", "payment_method", "description",
-                     "created_at").orderBy(F.col("transaction_date").desc())
+                     "created_at", F.col("id").alias("_id")).orderBy(F.col("transaction_date").desc(), "_id").drop("_id")
 
 
 EXPORTS = {

@@ -31,7 +31,8 @@ AGE_LAST = "90+"
 OVERDUE_DAYS = 30
 QUALITY_PASS = 80
 ABC_A, ABC_B = 0.80, 0.95
-MAX_CARRIERS = 100_000   # size bound checked before carriers are attached to every shipment
+MAX_CARRIERS = 100_000   # size bound checked before carriers are attached to every shipment; beyond it, same answers
+EXACT_COST = "decimal(30,5)"  # weight (3 decimals) x price (2): carriers compare by the unrounded cost
 
 
 def _lines_with_dates(t: Tables) -> DataFrame:
@@ -48,7 +49,8 @@ def stock_ledger(t: Tables, *, check_before: bool = False, grain: str = "hour")
     Work is split by (product, time chunk of ``grain``): the in-chunk window
     is bounded by one product-hour, and the carry into each chunk (running
     total, previous stock) comes from a window over chunk summaries, whose
-    count per product is bounded by the calendar.
+    count per product is bounded by the calendar. Moves without a date come
+    first, as one chunk.
     """
     if grain not in ("minute", "hour", "day", "week", "month"):
         raise ValueError(f"unsupported grain: {grain!r}")
@@ -64,16 +66,20 @@ def stock_ledger(t: Tables, *, check_before: bool = False, grain: str = "hour")
                                       F.lit(0)).cast("bigint").alias("_carry"),
                            F.lag("_chunk_last_after").over(wd).alias("_prev_chunk_after"))
     wi = Window.partitionBy("product_id", "_chunk").orderBy(*order)
-    rows = tx.join(chunks, on=["product_id", "_chunk"], how="inner")
+    # null-safe, so that moves without a date (the first chunk) and without a product stay
+    carried = chunks.withColumnsRenamed({"product_id": "_product", "_chunk": "_at"})
+    rows = tx.join(carried, tx["product_id"].eqNullSafe(carried["_product"]) & tx["_chunk"].eqNullSafe(carried["_at"]))
     prev_after = F.coalesce(F.lag("stock_after").over(wi), F.col("_prev_chunk_after"))
     running = (F.col("_carry") + F.sum("quantity_change").over(wi.rowsBetween(Window.unboundedPreceding, 0))
                ).cast("bigint")
+    with_before = check_before and "stock_before" in tx.columns
     out = rows.select("id", "product_id", "transaction_date", "quantity_change", "stock_after",
-                      running.alias("running_balance"), prev_after.alias("prev_stock_after"))
+                      running.alias("running_balance"), prev_after.alias("prev_stock_after"),
+                      *(["stock_before"] if with_before else []))
     out = out.withColumn("is_break", F.coalesce(
         F.col("stock_after") != F.col("prev_stock_after") + F.col("quantity_change"), F.lit(False)))
-    if check_before and "stock_before" in tx.columns:
-        out = out.join(tx.select("id", "stock_before"), on="id").withColumn(
+    if with_before:
+        out = out.withColumn(
             "is_break", F.col("is_break") | F.coalesce(
                 (F.col("stock_after") != F.col("stock_before") + F.col("quantity_change"))
                 | (F.col("stock_before") != F.col("prev_stock_after")), F.lit(False)))
@@ -213,18 +219,21 @@ def account_balance(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ M10
 def promotion_match(t: Tables) -> DataFrame:
     """Best promotion per order line: active, order day inside the promotion's dates, order
-    total >= minimum, product in the JSON list (empty list = all products). Best = largest
-    discount, then lowest promotion id. Lines without a match are left out.
+    total >= minimum (none = 0), product in the JSON list (empty or no list = all products); a
+    promotion without an end runs on. Best = largest discount, then lowest promotion id. Lines
+    without a match are left out.
 
     Promotions are exploded to their days and equi-joined on the order day;
     matching runs once per distinct (day, product, order total, line total).
     """
     promo = t["promotions"].where(F.coalesce(F.col("is_active"), F.lit(1)) == 1)
-    days = promo.select(
-        F.col("id").alias("promotion_id"), "discount_type", "discount_value", "min_amount",
-        F.from_json("applicable_products", "array<bigint>").alias("_products"),
-        F.explode(F.sequence("start_date", "end_date")).alias("order_date"))
     lines = _lines_with_dates(t)
+    last_day = t["sales_orders"].agg(F.max("order_date")).scalar()
+    days = promo.withColumn("_end", F.coalesce("end_date", last_day)).where(F.col("start_date") <= F.col("_end")).select(
+        F.col("id").alias("promotion_id"), "discount_type", "discount_value",
+        F.coalesce("min_amount", F.lit(0)).alias("min_amount"),
+        F.coalesce(F.from_json("applicable_products", "array<bigint>"), F.array().cast("array<bigint>")).alias("_products"),
+        F.explode(F.sequence("start_date", "_end")).alias("order_date"))
     keys = lines.select("order_date", "product_id", "order_total", "line_total").distinct()
     cand = keys.join(days, on="order_date", how="inner").where(
         (F.col("order_total") >= F.col("min_amount"))
@@ -260,7 +269,7 @@ def freight_quote(t: Tables, *, max_carriers: int = MAX_CARRIERS) -> DataFrame:
         priced = weights.select("_w", arr.alias("_carriers"))
         w = F.col("_w").cast("decimal(12,3)")
         cost = F.transform(F.col("_carriers"), lambda c: F.struct(
-            F.greatest((w * c["p"]).cast("decimal(18,3)"), c["m"].cast("decimal(18,3)")).alias("cost"),
+            F.greatest((w * c["p"]).cast(EXACT_COST), c["m"].cast(EXACT_COST)).alias("cost"),
             c["code"].alias("code")))
         best = F.array_min(cost)
         quotes = priced.select("_w", best["code"].alias("carrier_code"), best["cost"].cast("double").alias("quote"))
@@ -298,9 +307,9 @@ def _freight_by_breakpoints(weights: DataFrame, carriers: DataFrame) -> DataFram
     both = global_running_min(lin, desc, F.when(F.col("_kind") == 1, F.struct("m", "code")), "_flat")
     w = F.col("_w").cast("decimal(12,3)")
     lin_offer = F.when(F.col("_lin").isNotNull(), F.struct(
-        (w * F.col("_lin.p")).cast("decimal(18,3)").alias("cost"), F.col("_lin.code").alias("code")))
+        (w * F.col("_lin.p")).cast(EXACT_COST).alias("cost"), F.col("_lin.code").alias("code")))
     flat_offer = F.when(F.col("_flat").isNotNull(), F.struct(
-        F.col("_flat.m").cast("decimal(18,3)").alias("cost"), F.col("_flat.code").alias("code")))
+        F.col("_flat.m").cast(EXACT_COST).alias("cost"), F.col("_flat.code").alias("code")))
     best = F.least(lin_offer, flat_offer)
     return both.where(F.col("_kind") == 0).select(
         "_w", best["code"].alias("carrier_code"), best["cost"].cast("double").alias("quote"))

@@ -23,7 +23,7 @@ def inventory_status(t: Tables) -> DataFrame:
     inv = t["inventory"]
     return (inv.select("product_name", "current_stock", "min_stock", "max_stock",
                        stock_status(F.col("current_stock"), F.col("min_stock"), F.col("max_stock")).alias("status"))
-            .orderBy(F.col("current_stock").asc()))
+            .orderBy(F.col("current_stock").asc(), F.col("product_name").asc()))
 
 
 def low_stock_items(t: Tables) -> DataFrame:

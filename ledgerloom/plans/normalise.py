@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, as_ts_col, markup_price
@@ -145,19 +145,17 @@ def normalise_sales(sales: DataFrame, customers: DataFrame, products: DataFrame)
     # looking up only the existing dimension keeps the flat table out of the lookup side
     cust_ids = customers.groupBy(F.col("name").alias("customer_name")).agg(F.min("id").alias("_cid"))
     prod_ids = products.groupBy(F.col("name").alias("product_name")).agg(F.min("id").alias("_pid"))
-    order_id = F.coalesce(F.col("id"), F.xxhash64(*[F.col(c) for c in sales.columns if c != "id"]))
-    keyed = sales.withColumn("order_id", order_id)
+    # without an id, equal sales are told apart by their number among themselves: each is its own order
+    content = [F.col(c) for c in sales.columns if c != "id"]
+    same = F.row_number().over(Window.partitionBy(*sales.columns).orderBy(F.lit(1)))
+    keyed = sales.withColumn("order_id", F.coalesce(F.col("id"), F.xxhash64(*content, same)))
     customer_id = F.when(F.col("customer_name").isNotNull(), F.coalesce(
         F.col("_cid"), name_key(F.col("customer_name")).cast(customers.schema["id"].dataType)))
-    # identical flat rows hash to one key: they become one order with one line each
+    total = F.col("total_amount").cast(MONEY)
     orders = (keyed.join(cust_ids, on="customer_name", how="left")
-              .groupBy("order_id")
-              .agg(F.min(customer_id).alias("customer_id"), F.min("date").alias("order_date"),
-                   F.sum(F.col("total_amount").cast(MONEY)).cast(MONEY).alias("total"),
-                   F.min("created_at").alias("created_at"))
               .select(F.col("order_id").alias("id"), F.concat(F.lit("SO"), F.col("order_id").cast("string")).alias("order_no"),
-                      "customer_id", "order_date", F.col("total").alias("subtotal"), F.col("total").alias("total_amount"),
-                      F.col("total").alias("paid_amount"), "created_at",
+                      customer_id.alias("customer_id"), F.col("date").alias("order_date"), total.alias("subtotal"),
+                      total.alias("total_amount"), total.alias("paid_amount"), "created_at",
                       *[F.lit(v).alias(k) for k, v in ORDER_DEFAULTS.items()]))
     product_id = F.coalesce(F.col("_pid"), name_key(F.col("product_name")).cast(products.schema["id"].dataType))
     lines = (keyed.join(prod_ids, on="product_name", how="left")

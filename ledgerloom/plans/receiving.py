@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import as_ts_col, check_days, exact_sum, int_sum, mean_of_three, trailing_days
+from ..functions.scalar import as_ts_col, check_days, exact_avg, exact_sum, int_sum, mean_of_three, trailing_days
 from ..operators.changes import Rule, apply_changes
 from ..operators.latest import latest_per_key
 from ..operators.rollup import child_rollup, nest_children
@@ -42,7 +42,7 @@ def receiving_order_list(t: Tables) -> DataFrame:
          int_sum("ordered_quantity").alias("total_ordered"),
          int_sum("received_quantity").alias("total_received")],
         fill={"item_count": 0})
-    return out.orderBy(F.col("created_at").desc())
+    return out.orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def receiving_stats(t: Tables) -> DataFrame:
@@ -54,7 +54,7 @@ def receiving_stats(t: Tables) -> DataFrame:
         F.count_if(F.col("status").isin(*OPEN_RECEIPT_STATUSES)).alias("pending_orders"),
         exact_sum("total_amount").alias("total_amount"),
         exact_sum("received_amount").alias("received_amount"),
-        F.try_divide(F.sum("quality_score"), F.count("quality_score").cast("double")).alias("avg_quality_score"),
+        exact_avg("quality_score").alias("avg_quality_score"),
     )
     open_exc = t["exception_records"].agg(F.count_if(F.col("status").isin(*OPEN_EXCEPTION_STATUSES))).scalar()
     return kpi.select("*", open_exc.alias("open_exceptions"))
@@ -68,7 +68,7 @@ def receiving_daily(t: Tables, *, as_of, days: int = 30) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("orders"),
                  exact_sum("total_amount").alias("total_amount"),
                  exact_sum("received_amount").alias("received_amount"),
-                 F.try_divide(F.sum("quality_score"), F.count("quality_score").cast("double")).alias("avg_quality"))
+                 exact_avg("quality_score").alias("avg_quality"))
             .orderBy("date"))
 
 
@@ -78,7 +78,7 @@ def exception_list(t: Tables) -> DataFrame:
     ro = t["receiving_orders"].select(F.col("id").alias("receiving_order_id"),
                                       F.col("supplier_name").alias("supplier_name_from_order"))
     return er.join(ro, on="receiving_order_id", how="left").select(*er.columns, "supplier_name_from_order") \
-        .orderBy(F.col("created_at").desc())
+        .orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def supplier_evaluation_list(t: Tables) -> DataFrame:
@@ -87,7 +87,7 @@ def supplier_evaluation_list(t: Tables) -> DataFrame:
     overall = F.coalesce(F.col("overall_rating"),
                          mean_of_three(F.col("delivery_rating"), F.col("quality_rating"), F.col("service_rating")))
     return (ev.withColumn("overall_rating", overall)
-            .orderBy(F.col("evaluation_period").desc(), F.col("overall_rating").desc()))
+            .orderBy(F.col("evaluation_period").desc(), F.col("overall_rating").desc(), F.col("supplier_id").asc()))
 
 
 def _checks_per_report(t: Tables) -> DataFrame:

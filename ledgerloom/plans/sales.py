@@ -42,7 +42,8 @@ def dashboard_overview(t: Tables, *, as_of, days: int = 30) -> DataFrame:
 
 def sales_list(t: Tables) -> DataFrame:
     """All sales, newest first."""
-    return t["sales"].orderBy(F.col("date").desc(), F.col("created_at").desc())
+    return t["sales"].orderBy(F.col("date").desc(), F.col("created_at").desc(), F.col("customer_name").asc(),
+                              F.col("product_name").asc())
 
 
 def record_sales(batch: DataFrame, *, run_ts) -> DataFrame:

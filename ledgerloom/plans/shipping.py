@@ -10,6 +10,7 @@ from ..functions.scalar import as_ts_col, check_days, exact_sum, int_sum, traili
 from ..operators.changes import Rule, apply_changes
 from ..operators.dims import name_key
 from ..operators.rollup import child_rollup, nest_children
+from ..schemas import SCHEMAS
 from ..tables import Tables
 from .receiving import _ids_filter, _json, _stringify_ts
 
@@ -27,7 +28,7 @@ def shipping_order_list(t: Tables) -> DataFrame:
         t["shipping_orders"], "id", t["shipping_items"], "shipping_order_id",
         [F.count(F.lit(1)).alias("item_count"), int_sum("quantity").alias("total_quantity")],
         fill={"item_count": 0})
-    return out.orderBy(F.col("created_at").desc())
+    return out.orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def shipping_stats(t: Tables) -> DataFrame:
@@ -71,7 +72,7 @@ def packing_task_list(t: Tables) -> DataFrame:
                        [F.count(F.lit(1)).alias("item_count")], fill={"item_count": 0})
     rank = F.when(F.col("priority") == "high", 1).when(F.col("priority") == "medium", 2).when(
         F.col("priority") == "low", 3)
-    return out.orderBy(rank.asc_nulls_first(), F.col("created_at").asc())
+    return out.orderBy(rank.asc_nulls_first(), F.col("created_at").asc(), F.col("id").asc())
 
 
 def shipping_order_detail(t: Tables, *, ids=None, as_json: bool = False) -> DataFrame:
@@ -121,8 +122,9 @@ def apply_shipping_status(orders: DataFrame, changes: DataFrame) -> DataFrame:
 
 def apply_packing_status(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     """Status always; ``actual_time`` and ``completed_at`` (= change time) only when the change
-    supplies an actual time and its status is 'completed'."""
-    guard = (F.col("status") == DONE_TASK_STATUS) & F.col("actual_time").isNotNull()
+    supplies an actual time and its status is 'completed'. An actual time of 0 counts as not
+    supplied, as in the reference."""
+    guard = (F.col("status") == DONE_TASK_STATUS) & (F.col("actual_time") != 0)
     return apply_changes(tasks, changes, ["id"], {
         "status": Rule(F.col("status")),
         "actual_time": Rule(F.col("actual_time"), guard=guard),
@@ -131,9 +133,10 @@ def apply_packing_status(tasks: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def append_tracking(scans: DataFrame) -> DataFrame:
-    """Tracking rows to append, in the table's column order."""
+    """Tracking rows to append, in the table's column order; missing columns are null in the declared type."""
     cols = ["shipping_order_id", "tracking_no", "timestamp", "location", "status", "description"]
-    return scans.select(*[F.col(c) if c in scans.columns else F.lit(None).cast("string").alias(c) for c in cols])
+    types = {f.name: f.dataType for f in SCHEMAS["tracking_records"].fields}
+    return scans.select(*[F.col(c) if c in scans.columns else F.lit(None).cast(types[c]).alias(c) for c in cols])
 
 
 def latest_tracking_status(scans: DataFrame) -> DataFrame:

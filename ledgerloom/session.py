@@ -10,6 +10,7 @@ folder from ``spark.checkpoint.dir`` before falling back to a local one
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,8 +26,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
     # streaming state (latest scan per shipment) can grow with the number of keys: keep it in RocksDB
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -38,13 +37,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULTS)
+        # a local session: nothing of a platform's is overridden
+        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    conf = dict(extra or {})
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for k, v in DEFAULTS.items():  # all are runtime settings of the session; what was submitted wins
+        if not given.contains(k) and k not in conf:
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -55,8 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
     it is read, never replaced. ``spark.checkpoint.dir`` cannot be changed on
-    a running session, so when it is unset (local runs, tests) the folder is
-    registered with ``SparkContext.setCheckpointDir``.
+    a running session, so when it is unset in a local run (tests) a folder of
+    this machine is registered with ``SparkContext.setCheckpointDir``; on a
+    cluster, where executors could not share such a folder, that is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -64,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="ledgerloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -6,8 +6,8 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SMALL
+from ledgerloom.catalog import QUERIES
 
 # the driver-data view supplier_evaluations is defined as supplier CROSS JOIN region (5 rows)
 FIXTURE_NESTED_LOOP = {"supplier_evaluation_list", "supplier_rating"}
@@ -20,9 +20,9 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_cartesian_or_nested_loop_join(spark, key):
-    head = _plan(E.queries()[key](spark, SMALL)).split("\n\n")[0]
+    head = _plan(QUERIES[key](spark, SMALL)).split("\n\n")[0]
     assert "CartesianProduct" not in head
     if key not in FIXTURE_NESTED_LOOP:
         assert "BroadcastNestedLoopJoin" not in head
