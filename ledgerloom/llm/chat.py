@@ -47,7 +47,7 @@ def _raw_turns(formatted: Column) -> Column:
     pieces = F.split(formatted, r"<\|im_start\|>")
     pieces = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     return F.transform(pieces, lambda p: F.struct(
-        F.substring_index(p, "\n", 1).alias("role"),
+        F.substring_index(F.substring_index(p, "\n", 1), END, 1).alias("role"),
         F.substring_index(F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2), END, 1).alias("text")))
 
 
