@@ -76,7 +76,7 @@ def test_get_or_create_is_deterministic_and_unique(spark):
     names = spark.createDataFrame([("a",), ("b",), ("b",), (" ",), (None,)], "name string")
     new1, look1 = get_or_create(dim, names)
     new2, _ = get_or_create(dim, names)
-    assert sorted(r.name for r in new1.collect()) == ["a", "b"]
+    assert sorted(r.name for r in new1.collect()) == [" ", "a", "b"]  # names as given; only null and '' are left out
     assert sorted(map(tuple, new1.collect())) == sorted(map(tuple, new2.collect()))
     assert {r.name: r.id for r in look1.collect()}["a"] == 5
 
@@ -118,8 +118,9 @@ def test_normalise_sales_one_line_per_sale(spark):
     n = normalise.normalise_sales(s, spark.createDataFrame([], SCHEMAS["customers"]),
                                   spark.createDataFrame([], SCHEMAS["products"]))
     assert n.lines.count() == 3 and n.customers.count() == 1 and n.products.count() == 2
-    assert n.orders.count() == 2 and n.orders.select("id").distinct().count() == 2  # identical sales share an order
-    assert sorted(float(r.total_amount) for r in n.orders.collect()) == [6.0, 9.0]
+    assert n.orders.count() == 3 and n.orders.select("id").distinct().count() == 3  # one order per sale, equal ones too
+    assert sorted(float(r.total_amount) for r in n.orders.collect()) == [3.0, 3.0, 9.0]
+    assert n.lines.join(n.orders, n.lines.order_id == n.orders.id).count() == 3
 
 
 def test_csv_import_line_numbers_across_blocks(spark, tmpdir_path):
