@@ -6,7 +6,7 @@ order of the shingles their prefixes of n - ceil(t n) + 1 shingles meet. Three d
 pair is a candidate only if its prefixes meet in all; then its overlap is counted exactly.
 
 Order m puts one residue class of shingles (hash modulo ``classes`` = m) first, rarest first, then all others
-by hash. Rarity is counted over all documents, but only that class has to be shuffled. The class holds more
+by hash. Places in the order bound what a pair can still share after the first shingle it meets at. Rarity is counted over all documents, but only that class has to be shuffled. The class holds more
 shingles than a prefix needs, so frequent ones (shared passages, common phrases) stay out of the prefixes. A
 shingle held by one document cannot meet anything: it takes up its place in the prefix and is not sent on, and
 a document with a prefix's worth of such shingles, over all orders so far, is finished. Each order runs on what
@@ -89,6 +89,8 @@ def _keys(raw: list[bytes]) -> np.ndarray:
     return np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], np.uint64).reshape(-1, 2).view(np.int64)
 
 
+_TOP = np.uint64(1 << 63)  # flipped, unsigned hashes keep their order as signed numbers
+
 _SETS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
                    ("n0", pa.int32()), ("toks", pa.binary())])
 
@@ -143,7 +145,7 @@ def _to_tokens(order: int, classes: int, percent: int):
                     n0 = np.array([len(f) for f, _ in split], np.int64)
                     each = n0 + np.array([len(r) for _, r in split], np.int64)
                 flags = np.repeat(np.tile([False, True], len(n)), np.stack([n0, each - n0], 1).ravel())
-                tok = np.concatenate(toks).view(np.int64) if toks else np.zeros(0, np.int64)
+                tok = (np.concatenate(toks) ^ _TOP).view(np.int64) if toks else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.repeat(rids, each)), pa.array(np.repeat(n, each).astype(np.int32)),
                                                   pa.array(np.repeat(alone, each).astype(np.int32)), pa.array(np.repeat(n0, each).astype(np.int32)), pa.array(flags)],
                                                  ["tok", "rid", "n", "u", "n0", "rest"])
@@ -159,8 +161,10 @@ def _prefixes(sets: DataFrame, order: int, classes: int, percent: int) -> DataFr
     given = ["n0", "toks"] if "toks" in sets.columns else ["sh"]
     tokens = sets.select("rid", "n", "u", *given).mapInArrow(_to_tokens(order, classes, percent), "tok long, rid long, n int, u int, n0 int, rest boolean")
     shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    # the others are cut off by hash in ``_of_order``, so their rarity must not move them
+    place = F.when(F.col("rest"), 0).otherwise(F.col("df")).alias("place")
     lists = (tokens.join(shared, "tok").groupBy("rid")
-             .agg(F.max("n").alias("n"), F.max("u").alias("u"), F.max("n0").alias("n0"), F.sort_array(F.collect_list(F.struct("rest", "df", "tok"))).alias("all")))
+             .agg(F.max("n").alias("n"), F.max("u").alias("u"), F.max("n0").alias("n0"), F.sort_array(F.collect_list(F.struct("rest", place, "tok"))).alias("all")))
     p = prefix_length(F.col("n"), percent)
     met = F.size(F.filter("all", lambda t: ~t["rest"]))
     lists = lists.select("rid", "n", "n0", "all", met.alias("met"), (F.col("u") + F.col("n0") - met).cast("int").alias("u")).where(F.col("u") < p)
@@ -250,14 +254,15 @@ def _pairs(percent: int):
 
 def _compare(percent: int):
     """Links that connect something within one long list, or between two blocks of it. A pair that shares several
-    first-order shingles is looked at in the list of the smallest."""
+    first-order shingles is looked at in the list of the one that comes first in the order, where the bound by
+    places holds (``first`` is in that order)."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid").reset_index(drop=True)
         rid, label, n = rows["rid"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy()
-        firsts = [set(x) for x in rows["first"]]
+        firsts, members = rows["first"].tolist(), [set(x) for x in rows["first"]]
         found, flat, starts, marked = [], None, None, -1
         for i, j in _candidates(rows, percent, key[1] != key[2]):
-            if min(firsts[i] & firsts[j]) != key[0]:
+            if next(t for t in firsts[i] if t in members[j]) != key[0]:
                 continue
             if flat is None:
                 sets = [np.frombuffer(x, np.uint64) for x in rows["sh"]]
@@ -300,7 +305,7 @@ def _block_links(entries: DataFrame, sets: DataFrame, others: DataFrame, labels:
     pairs = short.applyInPandas(_pairs(percent), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
     pairs = _meeting(pairs, others, percent)
 
-    firsts = entries.groupBy("rid").agg(F.collect_list("tok").alias("first"))
+    firsts = entries.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "tok")))["tok"].alias("first"))
     long = (open_lists.where(F.col("k") > SHORT_LIST).withColumn("block", F.pmod(F.xxhash64("rid", "tok"), F.col("m")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
             .select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rid", "pos", "n", "most", "label", "block"))
