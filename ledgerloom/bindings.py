@@ -173,7 +173,7 @@ def _supplier_rating(t):
 def _split_receiving_orders(t):
     ro, ri = t["receiving_orders"], t["receiving_items"]
     item_fields = ["product_id", "ordered_quantity", "received_quantity", "rejected_quantity", "expiry_date"]
-    # one request per receipt (a receipt above the page size arrives as several requests)
+    # one request per receipt, with all its items
     nested = nest_children(ri, "receiving_order_id", item_fields, "items", sort_fields=item_fields).drop("page")
     requests = (ro.select(F.col("id").alias("receiving_order_id"), "receiving_no", "supplier_id", "supplier_name",
                           "planned_date", "total_amount")

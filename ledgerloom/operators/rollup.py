@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cumulative import global_running
+
 
 def child_rollup(parent: DataFrame, parent_key: str, child: DataFrame, child_key: str,
                  aggs: list[Column], fill: dict | None = None) -> DataFrame:
@@ -28,31 +30,25 @@ def child_rollup(parent: DataFrame, parent_key: str, child: DataFrame, child_key
     return out
 
 
-DEFAULT_PAGE_SIZE = 10_000
-
-
 def nest_children(child: DataFrame, key: str, fields: list[str], name: str,
                   sort_fields: list[str] | None = None, descending: bool = False,
-                  page_size: int | None = DEFAULT_PAGE_SIZE) -> DataFrame:
+                  page_size: int | None = None) -> DataFrame:
     """Rows ``(key, page, name)``: the children of each key as ``array<struct<fields>>``.
 
-    A key with at most ``page_size`` children has one page (0). A larger key
-    is split into ``ceil(n / page_size)`` pages by a hash of the child row,
-    so no single array, row or task has to hold an unbounded group; the hot
-    key's pages are built in parallel. Each array is sorted by
+    Each key has one row (page 0) with all its children, however many: the
+    shape does not depend on the input's size. The array is sorted by
     ``sort_fields`` (then the other fields); ``descending`` reverses it.
-    ``page_size=None`` keeps every key in one page.
+    A caller that asks for ``page_size`` gets pages cut by position in that
+    order, at most ``page_size`` children each; page 0 comes first.
     """
     sort_fields = sort_fields or []
     ordered = sort_fields + [f for f in fields if f not in sort_fields]
     if page_size:
-        # only oversized keys need a page number: usually few, so AQE broadcasts this side at run time
-        large = (child.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-                 .where(F.col("_n") > page_size))
-        n_pages = F.ceil(F.col("_n") / F.lit(page_size))
-        page = F.when(F.col("_n").isNotNull(),
-                      F.pmod(F.xxhash64(*[F.col(f) for f in fields]), n_pages)).otherwise(F.lit(0))
-        child = child.join(large, on=key, how="left").withColumn("page", page.cast("int")).drop("_n")
+        order = [F.col(f).desc() if descending else F.col(f).asc() for f in ordered]
+        child = global_running(child.select(key, *ordered), [F.col(key), *order], count_col="_i")
+        first = child.groupBy(F.col(key).alias("_key")).agg(F.min("_i").alias("_first"))
+        child = (child.join(first, F.col(key).eqNullSafe(F.col("_key")))
+                 .withColumn("page", F.floor((F.col("_i") - F.col("_first")) / page_size).cast("int")))
     else:
         child = child.withColumn("page", F.lit(0))
     packed = F.struct(*[F.col(f) for f in ordered])

@@ -98,13 +98,12 @@ def _checks_per_report(t: Tables) -> DataFrame:
 def inspection_report_detail(t: Tables, *, ids=None, as_json: bool = False) -> DataFrame:
     """Each report with its checks as an array sorted by check id (empty when none, D5).
 
-    Reports with more checks than a page holds come back as several rows
-    (``page`` 0, 1, ...), see ``operators.nest_children``.
+    One row a report at every size; ``page`` is always 0.
     """
     ir = _ids_filter(t["inspection_reports"], ids)
-    checks = _checks_per_report(t).withColumnRenamed("inspection_report_id", "id")
+    checks = _checks_per_report(t).drop("page").withColumnRenamed("inspection_report_id", "id")
     out = (ir.join(checks, on="id", how="left")
-           .withColumn("page", F.coalesce(F.col("page"), F.lit(0)))
+           .withColumn("page", F.lit(0))
            .withColumn("quality_checks", F.coalesce(F.col("quality_checks"),
                                                     F.array().cast(checks.schema["quality_checks"].dataType))))
     if as_json:
@@ -125,22 +124,21 @@ def _stringify_ts(df: DataFrame) -> DataFrame:
 def receiving_order_detail(t: Tables, *, ids=None, as_json: bool = False) -> DataFrame:
     """Each receipt with ``items`` and its ``inspection_report`` (lowest report id, D6) with checks.
 
-    Large receipts are paged (one row per ``page``); the report rides on the
-    pages of its checks, items on their own pages, matched by page number.
+    One row a receipt at every size; ``page`` is always 0.
     """
     ro = _ids_filter(t["receiving_orders"], ids)
     items_src = t["receiving_items"]
     item_fields = [c for c in items_src.columns if c != "receiving_order_id"]
     items = nest_children(_stringify_ts(items_src), "receiving_order_id", item_fields, "items",
-                          sort_fields=item_fields)
+                          sort_fields=item_fields).drop("page")
     first_ids = t["inspection_reports"].groupBy("receiving_order_id").agg(F.min("id").alias("id"))
     reports = inspection_report_detail(t).join(first_ids, on=["receiving_order_id", "id"], how="left_semi")
     rep_fields = [c for c in reports.columns if c not in ("receiving_order_id", "page")]
-    rep = reports.select("receiving_order_id", "page",
+    rep = reports.select(F.col("receiving_order_id").alias("id"),
                          F.struct(*[F.col(c) for c in rep_fields]).alias("inspection_report"))
-    pages = items.join(rep, on=["receiving_order_id", "page"], how="full")
-    out = (ro.join(pages.withColumnRenamed("receiving_order_id", "id"), on="id", how="left")
-           .withColumn("page", F.coalesce(F.col("page"), F.lit(0)))
+    out = (ro.join(items.withColumnRenamed("receiving_order_id", "id"), on="id", how="left")
+           .join(rep, on="id", how="left")
+           .withColumn("page", F.lit(0))
            .withColumn("items", F.coalesce(F.col("items"), F.array().cast(items.schema["items"].dataType))))
     if as_json:
         out = out.withColumn("items", _json(F.col("items"))).withColumn(

@@ -78,20 +78,19 @@ def packing_task_list(t: Tables) -> DataFrame:
 def shipping_order_detail(t: Tables, *, ids=None, as_json: bool = False) -> DataFrame:
     """Each shipment with its ``items`` and ``tracking_info`` (newest scan first).
 
-    Large shipments are paged (one row per ``page``), items and scans matched
-    by page number.
+    One row a shipment at every size; ``page`` is always 0.
     """
     so = _ids_filter(t["shipping_orders"], ids)
     si = t["shipping_items"]
     item_fields = [c for c in si.columns if c != "shipping_order_id"]
-    items = nest_children(si, "shipping_order_id", item_fields, "items", sort_fields=item_fields)
+    items = nest_children(si, "shipping_order_id", item_fields, "items", sort_fields=item_fields).drop("page")
     tr = _stringify_ts(t["tracking_records"])
     tr_fields = [c for c in tr.columns if c != "shipping_order_id"]
     tracking = nest_children(tr, "shipping_order_id", tr_fields, "tracking_info",
-                             sort_fields=["timestamp", "id"], descending=True)
-    pages = items.join(tracking, on=["shipping_order_id", "page"], how="full")
-    out = (so.join(pages.withColumnRenamed("shipping_order_id", "id"), on="id", how="left")
-           .withColumn("page", F.coalesce(F.col("page"), F.lit(0))))
+                             sort_fields=["timestamp", "id"], descending=True).drop("page")
+    out = (so.join(items.withColumnRenamed("shipping_order_id", "id"), on="id", how="left")
+           .join(tracking.withColumnRenamed("shipping_order_id", "id"), on="id", how="left")
+           .withColumn("page", F.lit(0)))
     out = (out.withColumn("items", F.coalesce(F.col("items"), F.array().cast(items.schema["items"].dataType)))
            .withColumn("tracking_info", F.coalesce(F.col("tracking_info"),
                                                    F.array().cast(tracking.schema["tracking_info"].dataType))))

@@ -285,3 +285,39 @@ def test_error_stats_total_present_on_empty_window(spark):
     rows = [(r.dimension, r.key, r.errors) for r in telemetry.error_stats(t, now=TS(2024, 1, 1)).collect()]
     assert rows == [("total", None, 0)]
     assert [r.errors for r in telemetry.error_hourly_trend(t, now=TS(2024, 1, 1)).collect()] == [0] * 24
+
+
+def test_details_and_splits_keep_one_row_above_ten_thousand_children(spark):
+    from ledgerloom import bindings
+    n = 10_050
+    many = spark.range(n)
+    ro = spark.createDataFrame([(1, "R1", 5, "S", D(2024, 1, 1), 1)], "id bigint, receiving_no string, supplier_id bigint, supplier_name string, planned_date date, total_amount int")
+    so = spark.createDataFrame([(1, "S1", "c", "a", "k", D(2024, 1, 1), D(2024, 1, 2))],
+                               "id bigint, shipping_no string, customer_name string, shipping_address string, carrier_code string, shipping_date date, expected_delivery date")
+    one = F.lit(1).cast("bigint")
+    t = Tables.from_frames(spark, {
+        "as_of": spark.createDataFrame([(D(2024, 1, 1),)], "d date"), "receiving_orders": ro, "shipping_orders": so,
+        "receiving_items": many.select(one.alias("receiving_order_id"), F.col("id").alias("product_id"), F.lit(2).alias("ordered_quantity"),
+                                       F.lit(1).alias("received_quantity"), F.lit(0).alias("rejected_quantity"), F.lit(D(2024, 2, 1)).alias("expiry_date")),
+        "shipping_items": many.select(one.alias("shipping_order_id"), (F.col("id") % 3).alias("product_id"), F.lit(1).alias("line_no"), F.lit(1).alias("quantity")),
+        "tracking_records": many.select("id", one.alias("shipping_order_id"), F.timestamp_seconds(F.col("id")).alias("timestamp"), F.lit("x").alias("status")),
+        "inspection_reports": spark.createDataFrame([(10, 1, "i", D(2024, 1, 1), 90.0)], SCHEMAS["inspection_reports"]),
+        "quality_checks": many.select("id", F.lit(10).cast("bigint").alias("inspection_report_id"), F.lit("size").alias("check_item"))})
+    [report] = receiving.inspection_report_detail(t).collect()
+    assert report.page == 0 and [c.id for c in report.quality_checks] == list(range(n))
+    [receipt] = receiving.receiving_order_detail(t).collect()
+    assert [i.product_id for i in receipt["items"]] == list(range(n)) and len(receipt.inspection_report.quality_checks) == n
+    [shipment] = shipping.shipping_order_detail(t).collect()
+    assert [i.product_id for i in shipment["items"]] == sorted(i % 3 for i in range(n))
+    assert [s.id for s in shipment.tracking_info] == list(range(n))[::-1]  # newest first over the whole order
+    assert sorted((r.item_index, r.product_id) for r in bindings._split_receiving_orders(t).collect()) == [(i, i) for i in range(n)]
+    assert sorted(r.item_index for r in bindings._split_shipping_orders(t).collect()) == list(range(n))
+
+
+def test_pages_asked_for_keep_order_and_size(spark):
+    from ledgerloom.operators import nest_children
+    df = spark.createDataFrame([(1, i // 50) for i in range(250)] + [(1, 9)] * 101, "k int, item int")
+    pages = sorted(nest_children(df, "k", ["item"], "items", sort_fields=["item"], page_size=100).collect(), key=lambda p: p.page)
+    assert [len(p["items"]) for p in pages] == [100, 100, 100, 51]
+    got = [e.item for p in pages for e in p["items"]]
+    assert got == sorted(got)
