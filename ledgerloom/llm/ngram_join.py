@@ -313,15 +313,10 @@ def _block_links(entries: DataFrame, sets: DataFrame, others: DataFrame, labels:
     return _verified(pairs, sets, percent).unionByName(long.groupBy("tok", "x", "y").applyInPandas(_compare(percent), "u long, v long"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id, ``n_shingles`` (long) and ``component_id`` (long).
-
-    Two documents link when 100 * |intersection| >= ``percent`` * |union| of their shingle sets (1 to 99);
-    component_id is the smallest id reachable over links, the document's own included. A null or empty text, or
-    one without words, has 0 shingles and links with nothing. Equal texts link, also under one id; repeated rows
-    stay. Rows with a null id take part without giving a name; a component of nothing else is named null. Other
-    columns are ignored; an empty table gives an empty one. Tables are written under ``spark.checkpoint.dir``.
-    """
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tk, n, hi, lo, ...) of every row, with tk the hash of its text and (hi, lo) that of its shingle set; and
+    (hi, lo, component, root, known) of every set that another row has or that a link reaches. ``root`` tells components
+    apart whose smallest ids (``component``) are the same."""
     if not 1 <= percent <= 99:
         raise ValueError("percent must be 1 to 99")
     spark = ship(docs.sparkSession)
@@ -355,8 +350,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     joined = components(star.unionByName(more))
 
     names = joined.join(equal.select(F.col("first").alias("node"), "name"), "node")
-    names = names.join(names.groupBy("root").agg(F.min("name").alias("best")), "root").select(F.col("node").alias("first"), "best")
-    known = (equal.join(names, "first", "left").where("k > 1 OR best IS NOT NULL").select("hi", "lo", F.coalesce("best", "name").alias("component"), F.lit(True).alias("known")))
+    names = names.join(names.groupBy("root").agg(F.min("name").alias("best")), "root").select(F.col("node").alias("first"), "best", "root")
+    known = (equal.join(names, "first", "left").where("k > 1 OR best IS NOT NULL").select("hi", "lo", F.coalesce("best", "name").alias("component"),
+                                                                                          F.coalesce("root", "first").alias("root"), F.lit(True).alias("known")))
+    return every, known
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: the id, ``n_shingles`` (long) and ``component_id`` (long).
+
+    Two documents link when 100 * |intersection| >= ``percent`` * |union| of their shingle sets (1 to 99);
+    component_id is the smallest id reachable over links, the document's own included. A null or empty text, or
+    one without words, has 0 shingles and links with nothing. Equal texts link, also under one id; repeated rows
+    stay. Rows with a null id take part without giving a name; a component of nothing else is named null. Other
+    columns are ignored; an empty table gives an empty one. Tables are written under ``spark.checkpoint.dir``.
+    """
+    every, known = _linked(docs, width, percent, id_col, text_col)
     out = every.select("doc_id", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
     alone = (F.col("n") == 0) | F.col("known").isNull()
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -364,18 +373,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; same columns.
+    """``docs`` with one row of each component, the one with the smallest id, among rows of that id the one with the
+    smallest hash of its text; same columns.
 
-    Rows of one id stay or fall together, and of several equal rows that stay one is kept. Rows with a null id
-    have no name to be chosen by and stay.
+    Each row is judged by its own text, also where ids repeat: rows of one id with texts that don't link all stay.
+    Of several rows that stay with equal id and equal text one is kept. Rows with a null id have no name to be
+    chosen by and stay, and so do those without shingles.
     """
-    found = materialize(docs.sparkSession, jaccard_components(docs, width, percent, id_col, text_col))
-    i = F.col(f"`{id_col}`")
-    away = found.where(i.isNotNull() & ~i.eqNullSafe(F.col("component_id"))).select(i.alias("rid")).distinct()
-    kept = _only(docs.withColumn("rid", i.cast("long")) if "rid" not in docs.columns else docs.withColumnRenamed("rid", "_rid").withColumn("rid", i.cast("long")), away, "left_anti")
-    kept = kept.drop("rid").withColumnRenamed("_rid", "rid") if "rid" in docs.columns else kept.drop("rid")
-    again = found.where(i.isNotNull() & (F.col("n_shingles") > 0)).groupBy(i.alias("rid")).agg(F.count("*").alias("k")).where("k > 1").select("rid")
+    every, known = _linked(docs, width, percent, id_col, text_col)
+    linked = materialize(docs.sparkSession, every.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "tk", "hi", "lo")
+                         .join(known, ["hi", "lo"]).select("doc_id", "tk", "component", "root"))
+    named = linked.where("doc_id = component").groupBy("root", "doc_id", "tk").agg(F.count("*").alias("k"))
+    named = named.join(named.groupBy("root").agg(F.min("tk").alias("least")), "root")
+    pair = [F.col("doc_id").alias("_rid"), F.col("tk").alias("_tk")]
+    away = linked.where("doc_id != component").select(*pair).unionByName(named.where("tk != least").select(*pair)).distinct()
+    again = named.where("tk = least AND k > 1").select(*pair)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.select(*columns, F.col(f"`{id_col}`").cast("long").alias("_rid"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_tk"))
+    kept = kept.join(_small(away), ["_rid", "_tk"], "left_anti")
     if again.isEmpty():
-        return kept
-    marked = kept.join(again.withColumnRenamed("rid", "_again"), i.cast("long") == F.col("_again"), "left")
-    return marked.where("_again IS NULL").drop("_again").unionByName(marked.where("_again IS NOT NULL").drop("_again").dropDuplicates([id_col]))
+        return kept.select(*columns)
+    marked = kept.join(again.withColumn("_again", F.lit(True)), ["_rid", "_tk"], "left")
+    return marked.where("_again IS NULL").unionByName(marked.where("_again").dropDuplicates(["_rid", "_tk"])).select(*columns)

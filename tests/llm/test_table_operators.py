@@ -95,6 +95,30 @@ def test_keep_one(spark):
     assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 2
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    docs = [(1, text("a")), (1, text("b")), (2, text("a")), (2, text("c")), (3, text("b") + " more"), (1, text("b")), (4, text("d")), (4, text("d") + " more"), (5, None), (None, text("a"))]
+    kept = ngram_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    four = [r for r in got if r[0] == 4]
+    assert len(four) == 1 and four[0] in docs  # linked with each other
+    assert [r for r in got if r[0] != 4] == sorted([(1, text("a")), (1, text("b")), (2, text("c")), (5, None), (None, text("a"))], key=str)
+
+
+def test_keep_one_with_repeated_ids_against_brute_force(spark):
+    rows = [(None if d is None else d % 97, t) for d, t in corpus()]
+    parts = brute_components([(i, t) for i, (_, t) in enumerate(rows)], 5, 80)  # every row under its own number
+    want = collections.Counter()
+    groups = collections.defaultdict(list)
+    for i, n, c in parts:
+        groups[c].append((rows[i][0], n))
+    for members in groups.values():
+        named = [d for d, n in members if d is not None]
+        want.update([None] * (len(members) - len(named)) + [min(named, default=None)] * bool(named))
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80)
+    assert collections.Counter(r.doc_id for r in got.collect()) == want
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 500), (60, 30)]
     got = {(r.node, r.root) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
