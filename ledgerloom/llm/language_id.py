@@ -168,8 +168,21 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return docs.select(*kept, answer.alias("_answer")).select(*kept, "_answer.lang_pred", "_answer.score")
 
 
+def _has_letter(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: isinstance(t, str) and bool(_LETTER.search(t))).astype(bool)
+
+
 def keep_identified(docs: DataFrame, model: Model | None, languages: list[str] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, same columns, that are not ``und``, score ``min_score`` or more and, if given, are in ``languages``."""
+    """The rows of ``docs``, same columns, that are not ``und``, score ``min_score`` or more and, if given, are in ``languages``.
+
+    Without a model (there was no label to learn from) no text has a language or a score: the rows with a letter
+    stay, and asking for languages or a score is an error.
+    """
+    if model is None:
+        if languages is not None or min_score > 0:
+            raise ValueError("no model: no labelled text to learn languages from, so none can be asked for")
+        lettered = F.pandas_udf(_has_letter, "boolean")(F.col(f"`{text_col}`").cast("string"))
+        return docs.where(lettered)
     found = identify(docs.withColumns({"_text": F.col(f"`{text_col}`")}), model, "_text")
     good = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)
     if languages is not None:

@@ -300,6 +300,13 @@ def test_pipeline_stages(spark, tmpdir_path):
     assert sorted(r.doc_id for r in packed.collect()) == sorted(left)
 
 
+def test_pipeline_without_labels_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !?", None), (3, None, None), (4, "é", None), (5, "", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {1, 4}
+    with pytest.raises(ValueError):
+        language_id.keep_identified(docs, None, ["en"])
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
