@@ -155,13 +155,29 @@ def _apply_receiving_items(t):
     return receiving.apply_receiving_items(items, ch)
 
 
-@query("apply_inspection_reports")
-def _apply_inspection_reports(t):
+def _inspection_split(t):
     checks = receiving._checks_per_report(t).withColumnRenamed("inspection_report_id", "id")
     reports = t["inspection_reports"].join(checks, on="id", how="left").withColumn(
         "quality_checks", F.coalesce("quality_checks", F.array().cast(checks.schema["quality_checks"].dataType)))
-    new_orders, _ = receiving.apply_inspection_reports(reports, t["receiving_orders"])
-    return new_orders
+    # every other report has a photo, named after it
+    photo = F.concat(F.lit("report-"), F.col("id").cast("string"), F.lit(".jpg"))
+    reports = reports.withColumn("photos", F.when(F.col("id") % 2 == 0, F.array(photo)))
+    return receiving.apply_inspection_reports(reports, t["receiving_orders"])
+
+
+@query("apply_inspection_reports")
+def _apply_inspection_reports(t):
+    return _inspection_split(t)[0]
+
+
+@query("inspection_report_rows")
+def _inspection_report_rows(t):
+    return _inspection_split(t)[1]
+
+
+@query("inspection_check_rows")
+def _inspection_check_rows(t):
+    return _inspection_split(t)[2]
 
 
 @query("supplier_rating")

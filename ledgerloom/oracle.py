@@ -228,6 +228,19 @@ FROM fxc_receiving_orders r LEFT JOIN (
   GROUP BY receiving_order_id) l ON r.id = l.receiving_order_id
 """
 
+BODIES["inspection_report_rows"] = """
+SELECT id, receiving_order_id, inspector, inspection_date, overall_rating, CAST(NULL AS VARCHAR) AS defect_summary,
+  CAST(NULL AS VARCHAR) AS recommendation,
+  CASE WHEN id % 2 = 0 THEN '["report-' || CAST(id AS VARCHAR) || '.jpg"]' END AS photos,
+  CAST(NULL AS VARCHAR) AS certificates
+FROM fx_inspection_reports
+"""
+
+BODIES["inspection_check_rows"] = """
+SELECT c.inspection_report_id, c.id, c.check_item, c.standard, c.result, c.actual_value, c.notes
+FROM fxc_quality_checks c JOIN fx_inspection_reports r ON r.id = c.inspection_report_id
+"""
+
 BODIES["supplier_rating"] = """
 SELECT supplier_id, supplier_name, evaluation_period, delivery_rating, quality_rating, service_rating,
   (delivery_rating + quality_rating + service_rating) / CAST(3 AS DOUBLE) AS overall_rating

@@ -22,6 +22,8 @@ OPEN_RECEIPT_STATUSES = ("pending", "inspecting")
 DONE_RECEIPT_STATUS = "completed"
 OPEN_EXCEPTION_STATUSES = ("reported", "investigating")
 NEW_EXCEPTION_STATUS = "reported"
+REPORT_FIELDS = ["id", "receiving_order_id", "inspector", "inspection_date", "overall_rating", "defect_summary",
+                 "recommendation", "photos", "certificates"]
 CHECK_FIELDS = ["id", "check_item", "standard", "result", "actual_value", "notes"]
 
 
@@ -200,13 +202,15 @@ def apply_receiving_items(items: DataFrame, changes: DataFrame,
         if c in fields else F.col(c) for c in items.columns])
 
 
-def apply_inspection_reports(reports: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_inspection_reports(reports: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split nested reports into (report rows, check rows) and copy ``overall_rating`` to the
     receipt's ``quality_score`` (the latest report per receipt wins: greatest report id).
 
     ``reports`` has report fields plus ``quality_checks: array<struct>``.
-    Returns (new orders snapshot, check rows).
+    Returns (new orders snapshot, report rows, check rows). A report without checks has its row; photo and
+    certificate lists are stored as JSON text (null stays null), and fields the reports lack are null.
     """
+    rows = reports.select(*[_stored(reports, c) for c in REPORT_FIELDS])
     checks = (reports.select(F.col("id").alias("inspection_report_id"), F.explode("quality_checks").alias("c"))
               .select("inspection_report_id", "c.*"))
     latest = (reports.groupBy("receiving_order_id")
@@ -217,7 +221,15 @@ def apply_inspection_reports(reports: DataFrame, orders: DataFrame) -> tuple[Dat
     new_orders = joined.select(*[
         F.coalesce(F.col("_rating").cast(typ), F.col(c)).alias(c) if c == "quality_score" else F.col(c)
         for c in orders.columns])
-    return new_orders, checks
+    return new_orders, rows, checks
+
+
+def _stored(reports: DataFrame, name: str) -> Column:
+    """A report field as its column stores it: lists and structs as JSON text."""
+    if name not in reports.columns:
+        return F.lit(None).cast("string").alias(name)
+    nested = reports.schema[name].dataType.typeName() in ("array", "struct", "map")
+    return (_json(F.col(name)) if nested else F.col(name)).alias(name)
 
 
 def append_exceptions(batch: DataFrame, *, run_ts) -> DataFrame:

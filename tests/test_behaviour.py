@@ -321,3 +321,13 @@ def test_pages_asked_for_keep_order_and_size(spark):
     assert [len(p["items"]) for p in pages] == [100, 100, 100, 51]
     got = [e.item for p in pages for e in p["items"]]
     assert got == sorted(got)
+
+
+def test_inspection_reports_without_checks_leave_a_row(spark):
+    reports = spark.createDataFrame([(1, 5, "Ann", D(2024, 1, 1), 80.0, ["a.jpg", "b.jpg"], []), (2, 5, "Bob", D(2024, 1, 2), 90.0, None, [(7, "size")])],
+                                    "id bigint, receiving_order_id bigint, inspector string, inspection_date date, overall_rating double, "
+                                    "photos array<string>, quality_checks array<struct<id:bigint,check_item:string>>")
+    orders, rows, checks = receiving.apply_inspection_reports(reports, spark.createDataFrame([(5, None)], "id bigint, quality_score double"))
+    assert orders.first().quality_score == 90.0
+    assert sorted((r.id, r.inspector, r.photos, r.certificates) for r in rows.collect()) == [(1, "Ann", '["a.jpg","b.jpg"]', None), (2, "Bob", None, None)]
+    assert [(c.inspection_report_id, c.id, c.check_item) for c in checks.collect()] == [(2, 7, "size")]
