@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from compare import duck_rows, spark_rows
-from conftest import SMALL
+from tables_at import SMALL
 from ledgerloom.catalog import QUERIES
 from ledgerloom.fixtures import BASE_TABLES
 from ledgerloom.oracle import oracle_sql

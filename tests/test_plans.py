@@ -6,7 +6,7 @@ import io
 
 import pytest
 
-from conftest import SMALL
+from tables_at import SMALL
 from ledgerloom.catalog import QUERIES
 
 # the driver-data view supplier_evaluations is defined as supplier CROSS JOIN region (5 rows)
