@@ -4,11 +4,13 @@
 ``<root>/backup_<stamp>/<table>`` as Parquet and checks the written row
 counts against the source. ``root`` must be a shared filesystem on a
 cluster. ``materialize`` cuts lineage by writing a frame under the session's
-``spark.checkpoint.dir`` and reading it back.
+``spark.checkpoint.dir`` and reading it back; ``remove_table`` removes such a
+frame's files once nothing reads them any more.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +35,19 @@ def backup(t: Tables, root: str, stamp: str, names: list[str] | None = None) ->
     return counts
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str | None = None) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and return a frame reading it back."""
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/tables/{name or uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.parquet(path)
+
+
+def remove_table(spark: SparkSession, df: DataFrame) -> None:
+    """Remove the files of a frame that ``materialize`` returned; nothing may read it afterwards. Other frames are left alone."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/"
+    bare = re.compile("^file:/*(?=/)")  # Spark names local files with one slash or three
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if bare.sub("", folder).startswith(bare.sub("", root)):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
