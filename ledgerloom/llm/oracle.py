@@ -72,4 +72,46 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op4_chat_format": OP4, "op6_topk_search": OP6, "op7_decontaminate": OP7, "op10_warc": OP10}
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+
+
+def _op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round is an assignment (a) and a new codebook (c)."""
+    steps = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id, label,
+  list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE {_WHOLE}),
+x AS MATERIALIZED (SELECT rn, p, e[p * (len(e) // {parts}) + 1:(p + 1) * (len(e) // {parts})] AS s FROM v, (SELECT unnest(range({parts})) AS p)),
+c0 AS MATERIALIZED (SELECT p, rn - 1 AS j, s AS c FROM x WHERE rn <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (SELECT rn, p, any_value(s) AS s, CAST(min(d * {entries} + j) AS BIGINT) // {entries} AS d, CAST(min(d * {entries} + j) AS BIGINT) % {entries} AS j
+  FROM (SELECT rn, x.p, s, j, list_sum(list_transform(range(1, len(s) + 1), lambda i: (s[i] - c[i]) * (s[i] - c[i]))) AS d FROM x JOIN c{k} c ON c.p = x.p) GROUP BY rn, p)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (SELECT p, j, list(m ORDER BY i) AS c FROM (
+  SELECT p, j, i, CAST(floor(CAST(sum(s[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT p, j, s, unnest(range(1, len(s) + 1)) AS i FROM a{k}) GROUP BY p, j, i) GROUP BY p, j),
+c{k + 1} AS MATERIALIZED (SELECT c.p, c.j, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN m{k} m ON m.p = c.p AND m.j = c.j)""")
+    return "WITH " + ",".join(steps) + f""",
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS digest FROM c{rounds}),
+r AS (SELECT rn, string_agg(printf('%02x', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rn)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM v JOIN r ON r.rn = v.rn, b
+"""
+
+
+OP13 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]', 0, 's') AS us,
+  list_transform(range(4), lambda i: CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT)) AS h FROM t),
+k AS (SELECT *, len(us) AS n, least(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS a, greatest(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS b FROM u),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+  WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:n], '') AS suf FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM f
+"""
+
+ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op4_chat_format": OP4, "op6_topk_search": OP6, "op7_decontaminate": OP7, "op10_warc": OP10, "op12_vector_codes": _op12(),
+              "op13_fill_middle": OP13}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import ensure_checkpoint_dir
-from . import chat, decontaminate, knn, language_id, ngram_join, packing, sharding, tokens, url_filter, warc
+from . import chat, decontaminate, fill_middle, knn, language_id, ngram_join, packing, rans, sharding, tokens, url_filter, vector_codes, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
@@ -120,10 +120,33 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(again)
 
 
+def op11_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as rANS files in id order, and what reading these back gives."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/archives/{uuid.uuid4().hex}"
+    rans.write_token_ids(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), path, end_id=2)
+    return rans.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of eight parts of every vector, their errors, and the codebooks' digest."""
+    coded, books = vector_codes.encode_vectors(_read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return vector_codes.label_errors(coded).select(F.col("id").alias("vec_id"), vector_codes.hex_code("codes").alias("code"), "error", "label_error",
+                                                   F.lit(books.sha256).alias("codebooks_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in fill-in-the-middle form, and the texts rebuilt from that."""
+    made = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fill_middle.restore("output", "form")).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over the documents."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_token_counts, op4_chat_format, op5_url_filter, op6_topk_search,
-                                   op7_decontaminate, op8_sharding, op9_language_id, op10_warc, pipeline)}
+                                   op7_decontaminate, op8_sharding, op9_language_id, op10_warc, op11_rans_ids, op12_vector_codes,
+                                   op13_fill_middle, pipeline)}
