@@ -27,3 +27,14 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _SHIPPED.add(app)
     return spark
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each lengthened until no column of ``taken`` has it (Spark doesn't tell cases apart)."""
+    lower = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in lower:
+            name += "_"
+        out.append(name)
+    return out

@@ -6,8 +6,9 @@ as many of each language) give every text the features K(text, landmarks) W^(-1/
 among landmarks; a one-versus-rest kernel ridge regression is fitted on them in closed form. Scoring is
 two matrix products a batch: gram presence x landmark grams, then the folded projection and weights.
 
-Fitting uses a bounded sample of the labelled rows (``MAX_FIT`` texts, their first ``FIT_CHARS``
-characters): those with the smallest hash of id and text, found by a distributed top-k for each language.
+Fitting uses a bounded sample of the labelled rows (``max_fit`` texts, read whole): those with the smallest hash
+of id and text, kept by a bounded top-k aggregate for each language that is combined map-side, so a language that has
+rows is never lost. Tasks turn the sampled texts into their sets of n-gram hashes; only these reach the driver.
 Prediction reads every whole text.
 """
 
@@ -19,18 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import free_names, ship
 
 MAX_N = 3
-MAX_FIT = 2000  # labelled texts that a fit sees at most
-FIT_CHARS = 4000  # of each
+MAX_FIT = 2000  # labelled texts that a fit sees at most, but for one of each language
 LANDMARKS = 160
 RIDGE = 1e-3
 BUCKETS = 1 << 16  # n-grams are told apart by a 16-bit hash, each length in its own range
 UNDETERMINED = "und"
+SPREAD = 8  # hash groups of a language for each row that the sample takes of it
 TEXTS_AT_ONCE = 128
 CHARS_AT_ONCE = 400_000
 
@@ -71,8 +72,13 @@ class Model:
     bias: np.ndarray
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        who, grams = _grams(texts)
-        seen = np.zeros((len(texts), MAX_N * BUCKETS), bool)
+        return self._kernel(len(texts), *_grams(texts))
+
+    def kernel_of_sets(self, sets: list[np.ndarray]) -> np.ndarray:
+        return self._kernel(len(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.int64))
+
+    def _kernel(self, n: int, who: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        seen = np.zeros((n, MAX_N * BUCKETS), bool)
         seen[who, grams] = True
         own = np.count_nonzero(seen, axis=1)
         present = seen[:, self.vocabulary].astype(np.float32)
@@ -85,26 +91,42 @@ class Model:
         return [self.languages[i] for i in best], (share.max(axis=1) / share.sum(axis=1)).astype(float)
 
 
+def gram_set(text: str) -> np.ndarray:
+    """Sorted distinct n-gram hashes of a whole text."""
+    return np.unique(_grams([text])[1]).astype(np.int32)
+
+
 def fit(texts: list[str], languages: list[str]) -> Model | None:
     """Fit on the given labelled texts (already bounded); None when there is no label to learn."""
+    return fit_sets([gram_set(t) for t in texts], languages)
+
+
+def fit_sets(sets: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS) -> Model | None:
+    """Fit on the texts' sets of n-gram hashes. Every language has ``landmarks`` / languages of the landmarks; where there are
+    more languages than landmarks, languages at equal distances have one each."""
     names = sorted(set(languages))
     if not names:
         return None
-    texts = [t[:FIT_CHARS] for t in texts]
-    label = np.array([names.index(x) for x in languages])
-    each = max(1, LANDMARKS // len(names))
-    chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))])
-    who, grams = _grams([texts[i] for i in chosen])
+    index = {x: k for k, x in enumerate(names)}
+    label = np.array([index[x] for x in languages])
+    each, step = max(1, landmarks // len(names)), -(-len(names) // landmarks)
+    order = np.argsort(label, kind="stable")
+    first = np.searchsorted(label[order], np.arange(0, len(names), step))
+    until = np.searchsorted(label[order], np.arange(0, len(names), step), "right")
+    chosen = np.concatenate([order[a:min(b, a + each)] for a, b in zip(first, until)])
+    grams = np.concatenate([sets[i] for i in chosen])
+    who = np.repeat(np.arange(len(chosen)), [len(sets[i]) for i in chosen])
     vocabulary = np.unique(grams)
     marks = np.zeros((len(vocabulary), len(chosen)), np.float32)
     marks[np.searchsorted(vocabulary, grams), who] = 1
     marks /= np.sqrt(np.maximum(marks.sum(axis=0), 1))
     model = Model(names, vocabulary, marks, np.zeros((len(chosen), len(names)), np.float32), np.zeros(len(names), np.float32))
-    w = model.kernel([texts[i] for i in chosen]).astype(np.float64)
+    kernel = lambda some: np.concatenate([model.kernel_of_sets(some[i:i + TEXTS_AT_ONCE]) for i in range(0, len(some), TEXTS_AT_ONCE)])
+    w = kernel([sets[i] for i in chosen]).astype(np.float64)
     values, vectors = np.linalg.eigh((w + w.T) / 2)
     good = values > 1e-6 * values.max() if len(values) and values.max() > 0 else np.zeros(len(values), bool)
     root = vectors[:, good] / np.sqrt(values[good])
-    k = np.concatenate([model.kernel(texts[i:i + TEXTS_AT_ONCE]) for i in range(0, len(texts), TEXTS_AT_ONCE)]) @ root
+    k = kernel(sets) @ root
     target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     balance = (1 / np.bincount(label))[label]  # every language weighs the same
     middle = (k * balance[:, None]).sum(axis=0) / balance.sum()
@@ -117,22 +139,24 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_fit: int = MAX_FIT) -> Model | None:
-    """Fit on at most ``max_fit`` rows with a language and a letter, as many of each language as it allows.
+    """Fit on at most ``max_fit`` rows with a language and a letter, as many of each language as it allows, one at least.
 
-    The sample is the rows of smallest hash: the same rows on any cluster and partitioning.
+    The sample is the rows of smallest hash: the same rows on any cluster and partitioning. Equal rows (id, text and
+    language) count once. Texts are read whole, in tasks; their n-gram sets, which the hash range bounds, are collected.
     """
-    rows = (labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
-            .select(F.col(f"`{lang_col}`").alias("lang"), F.substring(F.col(f"`{text_col}`"), 1, FIT_CHARS).alias("text"),
-                    F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).alias("h")))
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    rows = (labelled.where(lang.isNotNull() & text.rlike(r"\p{L}"))
+            .select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), text).alias("h")))
+    # of each language and hash group the smallest hash: a bounded state for each task, combined map-side
     n = max(1, rows.select("lang").distinct().count())
     per = max(1, max_fit // n)
-    # a cut in the hash that leaves few more than ``per`` rows of each language, then the exact smallest
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    few = (rows.join(F.broadcast(sizes) if n <= 1000 else sizes, "lang")
-           .where((F.col("h") / F.lit(2.0**63) + 1) / 2 <= 4.0 * per / F.col("n")).drop("n"))
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per)
-    got = sorted(ranked.select("lang", "h", "text").collect())
-    return fit([r.text for r in got], [r.lang for r in got])
+    least = rows.select("lang", "h").groupBy("lang", F.pmod("h", F.lit(SPREAD * per)).alias("g")).agg(F.min("h").alias("h"))
+    ranked = least.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per).select("lang", "h")
+    chosen = rows.join(F.broadcast(ranked) if n <= max_fit else ranked, ["lang", "h"])  # at most max_fit rows
+    sets = F.pandas_udf(lambda texts: texts.map(lambda t: gram_set(t).tobytes()), "binary")  # type: ignore[call-overload]
+    ship(labelled.sparkSession)
+    got = sorted(chosen.dropDuplicates(["lang", "h"]).select("lang", "h", sets("text").alias("grams")).collect())
+    return fit_sets([np.frombuffer(r.grams, np.int32) for r in got], [r.lang for r in got])
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -143,8 +167,15 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     first in order. Rows are independent (no shuffle); an empty table gives an empty one. Other columns pass
     through; those already named like an output are replaced.
     """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    answer = free_names(docs.columns, "_answer")[0]
+    return docs.select(*kept, _answer(docs, model, text_col).alias(answer)).select(*kept, f"{answer}.lang_pred", f"{answer}.score")
+
+
+def _answer(docs: DataFrame, model: Model | None, text_col: str) -> Column:
+    """Struct (lang_pred, score)."""
     spark = ship(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # bounded by LANDMARKS x FIT_CHARS
+    shared = spark.sparkContext.broadcast(model)  # bounded by landmarks x n-gram hashes
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -163,9 +194,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                     part, size = [], 0
             yield pd.DataFrame({"lang_pred": lang, "score": np.clip(score, 0.0, 1.0)})
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    answer = F.pandas_udf(predict, "lang_pred string, score double")(F.col(f"`{text_col}`").cast("string"))
-    return docs.select(*kept, answer.alias("_answer")).select(*kept, "_answer.lang_pred", "_answer.score")
+    return F.pandas_udf(predict, "lang_pred string, score double")(F.col(f"`{text_col}`").cast("string"))
 
 
 def _has_letter(texts: pd.Series) -> pd.Series:
@@ -183,8 +212,10 @@ def keep_identified(docs: DataFrame, model: Model | None, languages: list[str] |
             raise ValueError("no model: no labelled text to learn languages from, so none can be asked for")
         lettered = F.pandas_udf(_has_letter, "boolean")(F.col(f"`{text_col}`").cast("string"))
         return docs.where(lettered)
-    found = identify(docs.withColumns({"_text": F.col(f"`{text_col}`")}), model, "_text")
-    good = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)
+    answer = free_names(docs.columns, "_answer")[0]
+    found = docs.withColumn(answer, _answer(docs, model, text_col))
+    lang, score = F.col(answer)["lang_pred"], F.col(answer)["score"]
+    good = (lang != UNDETERMINED) & (score >= min_score)
     if languages is not None:
-        good &= F.col("lang_pred").isin(languages)
-    return found.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])
+        good &= lang.isin(languages)
+    return found.where(good).drop(answer)

@@ -255,3 +255,47 @@ def test_kernel_is_the_blended_presence_kernel():
     marks = [0, 1, 2, 3]
     want = [[len(grams(a) & grams(texts[m])) / (len(grams(a)) * len(grams(texts[m]))) ** 0.5 for m in marks] for a in texts]
     assert np.allclose(model.kernel(texts), want, atol=1e-5)
+
+
+def test_no_language_is_lost(spark):
+    kind = "doc_id long, text string, lang string"
+    few = spark.createDataFrame([(1, "bonjour le monde", "fr")] * 3000 + [(i, f"hello world {i}", "en") for i in range(5)], kind).repartition(7)
+    assert language_id.train(few, max_fit=40).languages == ["en", "fr"]
+    many = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.concat(F.lit("l"), F.col("id") % 2500).alias("lang"))
+    assert len(language_id.train(many).languages) == 2500
+
+
+def test_training_reads_whole_texts(spark):
+    # the languages differ only far behind the start
+    rows = [(i, "0 " * 6000 + f"{w} {w} {i}", x) for i, (w, x) in enumerate([("ding dong", "a"), ("zzyx qqj", "b")] * 6)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [model.predict(["dong ding " + "0 " * 50])[0], model.predict(["qqj zzyx " + "0 " * 50])[0]] == [["a"], ["b"]]
+
+
+def test_ridge_on_nystrom_features_against_plain_numpy():
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcd" if i % 3 else "cdef"), 40)) for i in range(60)]
+    names = ["p" if i % 3 else "q" for i in range(60)]
+    model = language_id.fit_sets([language_id.gram_set(t) for t in texts], names, landmarks=10)
+
+    def k(a, b):
+        a, b = (set(x[i:i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)) for x in (a, b))
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    marks = [t for t, x in zip(texts, names) if x == "p"][:5] + [t for t, x in zip(texts, names) if x == "q"][:5]
+    w, full = (np.array([[k(a, m) for m in marks] for a in some]) for some in (marks, texts))
+    values, vectors = np.linalg.eigh(w)
+    z = full @ vectors @ np.diag(values ** -0.5)
+    y = np.where(np.array(names)[:, None] == np.array(["p", "q"]), 1.0, -1.0)
+    weight = np.array([1 / names.count(x) for x in names])
+    zc, yc = z - np.average(z, axis=0, weights=weight), y - np.average(y, axis=0, weights=weight)
+    beta = np.linalg.solve(zc.T @ (zc * weight[:, None]) + language_id.RIDGE * np.eye(10), zc.T @ (yc * weight[:, None]))
+    want = zc @ beta + np.average(y, axis=0, weights=weight)
+    assert np.allclose(model.kernel(texts) @ model.weights + model.bias, want, atol=2e-2)
+
+
+def test_keep_identified_leaves_clashing_columns_alone(spark):
+    rows = [(i, t, x, 0.25, "mine", "m2") for i, (t, x) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, _answer string")
+    kept = language_id.keep_identified(docs, language_id.train(docs))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows
