@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.snapshot import materialize
-from .common import ship
+from .common import free_names, ship
 from .components import components
 
 ORDERS = 3
@@ -345,15 +345,26 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     others = materialize(spark, left.select("rid", "n", (F.col("n") - F.col("u")).alias("most")).join(arrays[0], "rid").join(arrays[1], "rid"))
 
     tried = _star_pairs(entries, others, percent)
-    star = materialize(spark, _verified(tried, left, percent))
-    more = _block_links(entries, left, others, components(star), tried, percent)
-    joined = components(star.unionByName(more))
+    star = components(materialize(spark, _verified(tried, left, percent)))
+    more = materialize(spark, _block_links(entries, left, others, star, tried, percent))
+    joined = _united(star, more)
 
     names = joined.join(equal.select(F.col("first").alias("node"), "name"), "node")
     names = names.join(names.groupBy("root").agg(F.min("name").alias("best")), "root").select(F.col("node").alias("first"), "best", "root")
     known = (equal.join(names, "first", "left").where("k > 1 OR best IS NOT NULL").select("hi", "lo", F.coalesce("best", "name").alias("component"),
                                                                                           F.coalesce("root", "first").alias("root"), F.lit(True).alias("known")))
-    return every, known
+    return every, materialize(spark, known)
+
+
+def _united(star: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of the components ``star`` (node, root) when the links ``more`` (u, v) join some of them: only
+    what ``more`` touches goes through further rounds."""
+    spark = star.sparkSession
+    root = lambda s: star.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    ends = more.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    joined = components(ends).withColumnsRenamed({"node": "of", "root": "to"})
+    every = star.unionByName(joined.join(star, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("of").alias("root")))
+    return materialize(spark, every.join(joined, F.col("root") == F.col("of"), "left").select("node", F.coalesce("to", "root").alias("root")))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,13 +396,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
                          .join(known, ["hi", "lo"]).select("doc_id", "tk", "component", "root"))
     named = linked.where("doc_id = component").groupBy("root", "doc_id", "tk").agg(F.count("*").alias("k"))
     named = named.join(named.groupBy("root").agg(F.min("tk").alias("least")), "root")
-    pair = [F.col("doc_id").alias("_rid"), F.col("tk").alias("_tk")]
+    rid, tk, again_col = free_names(docs.columns, "_rid", "_tk", "_again")
+    pair = [F.col("doc_id").alias(rid), F.col("tk").alias(tk)]
     away = linked.where("doc_id != component").select(*pair).unionByName(named.where("tk != least").select(*pair)).distinct()
     again = named.where("tk = least AND k > 1").select(*pair)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.select(*columns, F.col(f"`{id_col}`").cast("long").alias("_rid"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_tk"))
-    kept = kept.join(_small(away), ["_rid", "_tk"], "left_anti")
+    kept = docs.select(*columns, F.col(f"`{id_col}`").cast("long").alias(rid), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias(tk))
+    kept = kept.join(_small(away), [rid, tk], "left_anti")
     if again.isEmpty():
         return kept.select(*columns)
-    marked = kept.join(again.withColumn("_again", F.lit(True)), ["_rid", "_tk"], "left")
-    return marked.where("_again IS NULL").unionByName(marked.where("_again").dropDuplicates(["_rid", "_tk"])).select(*columns)
+    marked = kept.join(again.withColumn(again_col, F.lit(True)), [rid, tk], "left")
+    return marked.where(F.col(again_col).isNull()).unionByName(marked.where(F.col(again_col)).dropDuplicates([rid, tk])).select(*columns)

@@ -197,6 +197,14 @@ def test_top_k_small_tables(spark):
     assert knn.top_k(one.limit(0), one).count() == 0 and knn.top_k(one, one.limit(0)).count() == 0
 
 
+def test_keep_one_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a", "x", True), (2, text, "b", "y", None), (3, "other words entirely here", "c", "z", False), (3, "other words entirely here", "c", "z", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _RID string, _tk string, _again boolean")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 # ---- sharding
 
 
@@ -221,6 +229,38 @@ def test_sharding(spark, monkeypatch, ranges):
     assert sharding.shard_by_size(frame.limit(0), "size", "text", 8).count() == 0
 
 
+def test_whole_groups_stay_where_they_fit(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGES", 256)
+    monkeypatch.setattr(sharding, "ROWS_A_RANGE", 200)
+    rows = [(i, f"t{i}", 100) for i in range(6000)] + [(10_000 + i, f"g{i // 300}", 100) for i in range(1200)]  # four groups of 0.33 of a shard
+    rows += [(20_000 + i, "light", 0) for i in range(5000)]  # many rows, no bytes: ranked in many windows, dealt together
+    frame = spark.createDataFrame(rows, "_rid long, _key string, _size long").repartition(5)
+    got = sharding.shard_by_size(frame, "_size", "_key", 8)
+    assert got.columns == ["_rid", "_key", "_size", "shard", "slot"]
+    got = got.collect()
+    assert sorted((r._rid, r._key, r._size) for r in got) == sorted(rows)
+    load, slots, homes = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for r in got:
+        load[r.shard] += r._size
+        slots[r.shard].append(r.slot)
+        homes[r._key].add(r.shard)
+    assert all(len(h) == 1 for h in homes.values()) and max(load.values()) <= 1.05 * sum(load.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_ranges_of_a_group_are_one_unit():
+    import pandas as pd
+
+    low = 1 << sharding.ROW_BITS
+    keys = np.sort(np.concatenate([np.arange(50) * low, np.full(400, 60 * low) + np.arange(400) * 1000, (70 + np.arange(50)) * low]))
+    cuts = sharding._quantiles(keys, 20)
+    assert {60 * low, 61 * low} <= set(cuts.tolist()) and sum(60 * low < c < 61 * low for c in cuts) > 10
+    totals = pd.DataFrame([(r, 1.0, 1) for r in range(len(cuts) + 1)], columns=["_range", "size", "n"])
+    units = sharding._units(totals, cuts)
+    assert sorted(x[0] for u in units for x in u) == list(range(len(cuts) + 1)) and sum(len(u) > 1 for u in units) == 1
+    assert max(len(u) for u in units) == sum(60 * low <= c < 61 * low for c in cuts)
+
+
 # ---- WARC
 
 
