@@ -6,14 +6,19 @@ never from the clock, so every run gives the same answer.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .fixtures import as_of_date, now_ts
+from .fixtures import as_of_date, now_ts, read_base
 from .functions.scalar import numeric_prefix_int
 from .operators.dims import get_or_create
 from .operators.rollup import nest_children
 from .plans import exports, imports, insights, inventory, normalise, receiving, sales, shipping, telemetry
+from .session import ensure_checkpoint_dir
+from .sources.scan import read_quoted_csv
+from .tables import Tables
 
 
 # ---------------------------------------------------------------- flat model
@@ -130,6 +135,16 @@ def _receiving_order_detail(t):
     return receiving.receiving_order_detail(t, as_json=True)
 
 
+@query("inspection_report_lines")
+def _inspection_report_lines(t):
+    return receiving.inspection_report_lines(t)
+
+
+@query("receiving_order_lines")
+def _receiving_order_lines(t):
+    return receiving.receiving_order_lines(t)
+
+
 @query("apply_receiving_status")
 def _apply_receiving_status(t):
     return receiving.apply_receiving_status(t["receiving_orders"], t["status_changes"])
@@ -231,6 +246,11 @@ def _shipping_order_detail(t):
     return shipping.shipping_order_detail(t, as_json=True)
 
 
+@query("shipping_order_lines")
+def _shipping_order_lines(t):
+    return shipping.shipping_order_lines(t)
+
+
 @query("apply_shipping_status")
 def _apply_shipping_status(t):
     return shipping.apply_shipping_status(t["shipping_orders"], t["status_changes"])
@@ -409,7 +429,38 @@ def _seed_if_absent(t):
     return sups.select("name", "contact_person", "phone", "credit_rating", "is_active")
 
 
+# ---------------------------------------------------------------- files read in parallel
+@query("quoted_csv_documents")
+def _quoted_csv_documents(t):
+    # every document as a CSV row, texts with their line breaks and quotes in quoted fields, and read back
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/files/{uuid.uuid4().hex}"
+    (read_base(t.spark, t.params["sf_dir"], "documents").select("doc_id", "text", "lang", "source").write
+     .options(header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+    back = read_quoted_csv(t.spark, path, numbered=False)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.encode(text("text"), "UTF-8"), 256).alias("text_sha256"),
+                       text("lang").alias("lang"), text("source").alias("source"))
+
+
 # ---------------------------------------------------------------- analytics
+def _product_graph(t, parent):
+    """Products as categories, each under the one that ``parent`` names."""
+    return Tables.from_frames(t.spark, {"categories": t["products"].select("id", "name", parent.cast("bigint").alias("parent_id"))})
+
+
+@query("category_tree_products")
+def _category_tree_products(t):
+    # product k stands under product k / 2, so the tree grows with the products
+    return insights.category_tree(_product_graph(t, F.when(F.col("id") >= 2, F.floor(F.col("id") / 2))))
+
+
+@query("category_cycles_products")
+def _category_cycles_products(t):
+    # of ten products the first three stand in a circle, three below them, four are roots
+    last = F.col("id") % 10
+    parent = F.when(last < 2, F.col("id") + 1).when(last == 2, F.col("id") - 2).when(last < 6, F.col("id") - 3)
+    return insights.category_cycles(_product_graph(t, parent))
+
 
 for _key, _fn, _needs_day in [
     ("stock_ledger", insights.stock_ledger, False),

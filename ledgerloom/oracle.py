@@ -830,6 +830,78 @@ FROM g
 """
 
 
+BODIES["category_tree_products"] = """
+WITH RECURSIVE tree(id, name, parent_id, depth, path) AS (
+  SELECT id, name, CAST(NULL AS BIGINT), 0, name FROM fx_products WHERE id < 2
+  UNION ALL
+  SELECT p.id, p.name, CAST(p.id // 2 AS BIGINT), tree.depth + 1, tree.path || ' > ' || p.name FROM fx_products p JOIN tree ON p.id // 2 = tree.id WHERE p.id >= 2)
+SELECT id, name, parent_id, depth, path FROM tree
+"""
+
+BODIES["category_cycles_products"] = """
+SELECT id, name, CAST(CASE WHEN id % 10 = 2 THEN id - 2 ELSE id + 1 END AS BIGINT) AS parent_id, CAST(id - id % 10 AS BIGINT) AS cycle_id
+FROM (SELECT id, name, COUNT(*) OVER (PARTITION BY id // 10) AS k FROM fx_products WHERE id % 10 < 3) WHERE k = 3
+"""
+
+BODIES["quoted_csv_documents"] = """
+SELECT doc_id, sha256(COALESCE(text, '')) AS text_sha256, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source FROM documents
+"""
+
+# documents as lines: the parent's JSON without its closing brace, one line a child, the end
+QC_JSON = ("to_json({'id': id, 'check_item': check_item, 'standard': standard, 'result': result, 'actual_value': actual_value, 'notes': notes})")
+
+
+def _open(obj: str, name: str) -> str:
+    return f"""left(CAST(to_json({obj}) AS VARCHAR), length(CAST(to_json({obj}) AS VARCHAR)) - 1) || ',"{name}":['"""
+
+
+def _children(key: str, section: int, json: str, order: str, source: str) -> str:
+    return f"""SELECT {key} AS id, {section} AS section, CAST(k - 1 AS BIGINT) AS position, CASE WHEN k > 1 THEN ',' ELSE '' END || CAST({json} AS VARCHAR) AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k FROM {source})"""
+
+
+IR_JSON = "{'id': id, 'receiving_order_id': receiving_order_id, 'inspector': inspector, 'inspection_date': inspection_date, 'overall_rating': overall_rating}"
+REP_JSON = "{'id': id, 'inspector': inspector, 'inspection_date': inspection_date, 'overall_rating': overall_rating}"
+RI_JSON = ("to_json({'product_id': product_id, 'ordered_quantity': ordered_quantity, 'received_quantity': received_quantity, "
+           "'rejected_quantity': rejected_quantity, 'expiry_date': expiry_date})")
+RO_JSON = ("{" + ", ".join(f"'{c}': {c}" for c in ("id", "receiving_no", "supplier_id", "supplier_name", "planned_date", "receiving_date", "status", "total_amount",
+                                                   "received_amount", "quality_score")) + ", 'created_at': CAST(created_at AS VARCHAR), 'purchase_order_id': purchase_order_id}")
+SO_JSON = ("{" + ", ".join(f"'{c}': {c}" for c in ("id", "shipping_no", "customer_name", "shipping_address", "carrier_code", "shipping_date", "expected_delivery",
+                                                   "actual_delivery", "status", "shipping_cost", "weight"))
+           + ", 'created_at': CAST(created_at AS VARCHAR), 'sales_order_id': sales_order_id}")
+TR_JSON = ("to_json({'id': id, 'timestamp': CAST(timestamp AS VARCHAR), 'status': status, 'tracking_no': tracking_no, "
+           "'location': location, 'description': description})")
+
+BODIES["inspection_report_lines"] = f"""
+SELECT id, 0 AS section, CAST(0 AS BIGINT) AS position, {_open(IR_JSON, 'quality_checks')} AS line FROM fx_inspection_reports
+UNION ALL {_children('inspection_report_id', 1, QC_JSON, 'id',
+                     'fxc_quality_checks WHERE inspection_report_id IN (SELECT id FROM fx_inspection_reports)')}
+UNION ALL SELECT id, 2, CAST(0 AS BIGINT), ']}}' FROM fx_inspection_reports
+"""
+
+BODIES["receiving_order_lines"] = f"""
+WITH rep AS (SELECT * FROM fx_inspection_reports QUALIFY row_number() OVER (PARTITION BY receiving_order_id ORDER BY id) = 1)
+SELECT id, 0 AS section, CAST(0 AS BIGINT) AS position, {_open(RO_JSON, 'items')} AS line FROM fxc_receiving_orders
+UNION ALL {_children('receiving_order_id', 1, RI_JSON, 'product_id, ordered_quantity, received_quantity, rejected_quantity, expiry_date',
+                     'fx_receiving_items WHERE receiving_order_id IN (SELECT id FROM fx_receiving_orders)')}
+UNION ALL SELECT o.id, 2, CAST(0 AS BIGINT), '],"inspection_report":' || COALESCE(r.line, 'null}}') FROM fx_receiving_orders o
+  LEFT JOIN (SELECT receiving_order_id, {_open(REP_JSON, 'quality_checks')} AS line FROM rep) r ON r.receiving_order_id = o.id
+UNION ALL {_children('receiving_order_id', 3, QC_JSON, 'id',
+                     '(SELECT q.*, rep.receiving_order_id FROM fxc_quality_checks q JOIN rep ON rep.id = q.inspection_report_id) x WHERE receiving_order_id IN (SELECT id FROM fx_receiving_orders)')}
+UNION ALL SELECT id, 4, CAST(0 AS BIGINT), ']}}}}' FROM fx_receiving_orders WHERE id IN (SELECT receiving_order_id FROM rep)
+"""
+
+BODIES["shipping_order_lines"] = f"""
+SELECT id, 0 AS section, CAST(0 AS BIGINT) AS position, {_open(SO_JSON, 'items')} AS line FROM fxc_shipping_orders
+UNION ALL {_children('shipping_order_id', 1, "to_json({'product_id': product_id, 'line_no': line_no, 'quantity': quantity})", 'product_id, line_no, quantity',
+                     'fx_shipping_items WHERE shipping_order_id IN (SELECT id FROM fx_shipping_orders)')}
+UNION ALL SELECT id, 2, CAST(0 AS BIGINT), '],"tracking_info":[' FROM fx_shipping_orders
+UNION ALL {_children('shipping_order_id', 3, TR_JSON, 'CAST(timestamp AS VARCHAR) DESC, id DESC',
+                     'fxc_tracking_records WHERE shipping_order_id IN (SELECT id FROM fx_shipping_orders)')}
+UNION ALL SELECT id, 4, CAST(0 AS BIGINT), ']}}' FROM fx_shipping_orders
+"""
+
+
 def _sub(key: str) -> str:
     return "(" + with_views(BODIES[key]).strip() + ")"
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, as_date_col, check_days, exact_sum, int_sum
 from ..operators.cumulative import global_running, global_running_min
+from ..sources.snapshot import materialize, remove_table
 from ..tables import Tables
 
 # The survey's thresholds and labels for these reports.
@@ -87,17 +88,60 @@ def stock_ledger(t: Tables, *, check_before: bool = False, grain: str = "hour")
 
 
 # ------------------------------------------------------------------ M2
+def _climb(cats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(finished, endless): nodes whose chain of parents ends at a root, with depth and path; the others that have all
+    their parents, whose chain runs into a cycle.
+
+    Pointer doubling: each node knows an ancestor and the names from below that ancestor down to itself. A round joins
+    every unfinished node with its ancestor's row, which doubles both, so a tree of depth d takes log2(d) + 1 rounds. A
+    parent of many children is one row on one side of the join, so skewed partitions can be split. Every round is written;
+    nodes finish level by level, so a round in which none finishes leaves only nodes that never will.
+    """
+    spark = cats.sparkSession
+    now = materialize(spark, cats.select("id", "name", "parent_id", F.col("parent_id").alias("above"),
+                                         F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.col("name").cast("string").alias("path")))
+    done = now.where("above IS NULL").count()
+    while done:
+        up = now.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        climbed = now.where("above IS NOT NULL").join(up, F.col("above") == F.col("_id")).select(
+            "id", "name", "parent_id", F.col("_above").alias("above"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", F.lit(" > "), "path").alias("path"))
+        then = materialize(spark, now.where("above IS NULL").unionByName(climbed))
+        remove_table(spark, now)
+        now, before = then, done
+        done = now.where("above IS NULL").count()
+        if done == before:
+            break
+    return now.where("above IS NULL").select("id", "name", "parent_id", "depth", "path"), now.where("above IS NOT NULL").select("id", "name", "parent_id")
+
+
 def category_tree(t: Tables) -> DataFrame:
-    """M2: depth and root-to-node path of every category (recursive CTE)."""
-    return t.spark.sql("""
-        WITH RECURSIVE tree (id, name, parent_id, depth, path) AS (
-          SELECT id, name, parent_id, 0, CAST(name AS STRING) FROM {cats} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.id, c.name, c.parent_id, tree.depth + 1, tree.path || ' > ' || c.name
-          FROM {cats} c JOIN tree ON c.parent_id = tree.id
-        )
-        SELECT id, name, parent_id, depth, path FROM tree
-    """, cats=t["categories"].select("id", "name", "parent_id"))
+    """M2: depth and root-to-node path of every category, at any depth.
+
+    Categories whose chain of parents does not end at a root (a parent is missing, or the chain runs in a circle) are
+    left out; ``category_cycles`` names the circles. Runs log2(depth) + 1 small jobs while the DataFrame is built.
+    """
+    return _climb(t["categories"].select("id", "name", "parent_id"))[0]
+
+
+def category_cycles(t: Tables) -> DataFrame:
+    """M2: categories that are their own ancestor: id, name, parent_id and ``cycle_id``, the smallest id of their circle.
+
+    Pointer doubling again: after as many steps as there are nodes left every pointer ends on a circle, and meets each
+    of its nodes; the smallest id seen on the way round names it.
+    """
+    cats = t["categories"].select("id", "name", "parent_id")
+    spark = cats.sparkSession
+    left = materialize(spark, _climb(cats)[1])
+    now = materialize(spark, left.select("id", F.col("parent_id").alias("above"), F.col("id").alias("least")))
+    steps, n = 1, now.count()
+    while steps < 2 * n:
+        up = now.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("least").alias("_least"))
+        then = materialize(spark, now.join(up, F.col("above") == F.col("_id")).select("id", F.col("_above").alias("above"), F.least("least", "_least").alias("least")))
+        remove_table(spark, now)
+        now, steps = then, 2 * steps
+    circle = now.select(F.col("above").alias("_id")).distinct()
+    named = now.join(circle, F.col("id") == F.col("_id"), "left_semi").select("id", F.col("least").alias("cycle_id"))
+    return left.join(named, "id").select("id", "name", "parent_id", "cycle_id")
 
 
 # ------------------------------------------------------------------ M3

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import as_ts_col, check_days, exact_avg, exact_sum, int_sum, mean_of_three, trailing_days
 from ..operators.changes import Rule, apply_changes
+from ..operators.documents import child_lines, json_text, opened, parent_lines
 from ..operators.latest import latest_per_key
 from ..operators.rollup import child_rollup, nest_children
 from ..tables import Tables
@@ -148,6 +149,46 @@ def receiving_order_detail(t: Tables, *, ids=None, as_json: bool = False) -> Dat
     return out
 
 
+def inspection_report_lines(t: Tables, *, ids=None) -> DataFrame:
+    """A6/J6 as document lines (id, section, position, line): ``inspection_report_detail``'s documents with no array in a row.
+
+    Put together in order, a report's lines are its JSON with ``quality_checks`` inside. Checks of unknown reports, or of
+    none, have no document. The number of checks of one report is not bounded by a row or a task.
+    """
+    ir = _stringify_ts(_ids_filter(t["inspection_reports"], ids))
+    checks = (t["quality_checks"].withColumnRenamed("id", "_id").withColumnRenamed("inspection_report_id", "id")
+              .join(ir.select("id"), "id", "left_semi").select(F.col("id").alias("report"), F.col("_id").alias("id"), *CHECK_FIELDS[1:]))
+    return (parent_lines(ir, "id", 0, opened(json_text("id", *[c for c in ir.columns if c != "id"]), "quality_checks"))
+            .unionByName(child_lines(checks, "report", CHECK_FIELDS, [F.col(c) for c in CHECK_FIELDS], 1).withColumnRenamed("report", "id"))
+            .unionByName(parent_lines(ir, "id", 2, F.lit("]}"))))
+
+
+def receiving_order_lines(t: Tables, *, ids=None) -> DataFrame:
+    """J9 as document lines (id, section, position, line): ``receiving_order_detail``'s documents with no array in a row.
+
+    Sections: the receipt, its items, its lowest report (D6), that report's checks, the end.
+    """
+    ro = _stringify_ts(_ids_filter(t["receiving_orders"], ids))
+    items = _stringify_ts(t["receiving_items"])
+    item_fields = [c for c in items.columns if c != "receiving_order_id"]
+    items = items.join(ro.select(F.col("id").alias("receiving_order_id")), "receiving_order_id", "left_semi")
+    ir = _stringify_ts(t["inspection_reports"])
+    lowest = ir.groupBy("receiving_order_id").agg(F.min("id").alias("id"))
+    fields = ["id", *[c for c in ir.columns if c not in ("id", "receiving_order_id")]]
+    report = ir.join(lowest, ["receiving_order_id", "id"], "left_semi").select(
+        F.col("receiving_order_id").alias("_order"), F.col("id").alias("_report"), opened(json_text(*fields), "quality_checks").alias("_text"))
+    with_report = ro.select("id").join(report, F.col("id") == F.col("_order"), "left")
+    checks = t["quality_checks"].join(
+        report.join(ro.select("id"), F.col("_order") == F.col("id"), "left_semi").select("_order", "_report"), F.col("inspection_report_id") == F.col("_report"))
+    middle = F.concat(F.lit('],"inspection_report":'), F.coalesce("_text", F.lit("null}")))
+    return (parent_lines(ro, "id", 0, opened(json_text("id", *[c for c in ro.columns if c != "id"]), "items"))
+            .unionByName(child_lines(items, "receiving_order_id", item_fields, [F.col(c) for c in item_fields], 1).withColumnRenamed("receiving_order_id", "id"))
+            .unionByName(parent_lines(with_report, "id", 2, middle))
+            .unionByName(child_lines(checks.select("_order", *CHECK_FIELDS), "_order", CHECK_FIELDS, [F.col(c) for c in CHECK_FIELDS], 3)
+                         .withColumnRenamed("_order", "id"))
+            .unionByName(parent_lines(with_report.where("_report IS NOT NULL"), "id", 4, F.lit("]}}"))))
+
+
 # ------------------------------------------------------------------ writes
 def split_receiving_orders(requests: DataFrame, *, run_ts) -> tuple[DataFrame, DataFrame]:
     """Nested receipt requests -> (header rows with status 'pending', item rows).

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import as_ts_col, check_days, exact_sum, int_sum, trailing_days
 from ..operators.changes import Rule, apply_changes
 from ..operators.dims import name_key
+from ..operators.documents import child_lines, json_text, opened, parent_lines
 from ..operators.rollup import child_rollup, nest_children
 from ..schemas import SCHEMAS
 from ..tables import Tables
@@ -99,6 +100,25 @@ def shipping_order_detail(t: Tables, *, ids=None, as_json: bool = False) -> Data
     return out
 
 
+def shipping_order_lines(t: Tables, *, ids=None) -> DataFrame:
+    """J9/O6 as document lines (id, section, position, line): ``shipping_order_detail``'s documents with no array in a row.
+
+    Sections: the shipment, its items, a line between, its scans (newest first), the end.
+    """
+    so = _stringify_ts(_ids_filter(t["shipping_orders"], ids))
+    known = so.select(F.col("id").alias("shipping_order_id"))
+    items = t["shipping_items"].join(known, "shipping_order_id", "left_semi")
+    item_fields = [c for c in items.columns if c != "shipping_order_id"]
+    scans = _stringify_ts(t["tracking_records"]).join(known, "shipping_order_id", "left_semi")
+    scan_fields = [c for c in scans.columns if c != "shipping_order_id"]
+    newest = ["timestamp", "id", *[c for c in scan_fields if c not in ("timestamp", "id")]]
+    return (parent_lines(so, "id", 0, opened(json_text("id", *[c for c in so.columns if c != "id"]), "items"))
+            .unionByName(child_lines(items, "shipping_order_id", item_fields, [F.col(c) for c in item_fields], 1).withColumnRenamed("shipping_order_id", "id"))
+            .unionByName(parent_lines(so, "id", 2, F.lit('],"tracking_info":[')))
+            .unionByName(child_lines(scans, "shipping_order_id", scan_fields, [F.col(c).desc() for c in newest], 3).withColumnRenamed("shipping_order_id", "id"))
+            .unionByName(parent_lines(so, "id", 4, F.lit("]}"))))
+
+
 # ------------------------------------------------------------------ writes
 def split_shipping_orders(requests: DataFrame, *, run_ts) -> tuple[DataFrame, DataFrame]:
     """Nested shipment requests -> (header rows with status 'preparing', item rows)."""

@@ -9,4 +9,5 @@ from .files import (  # noqa: F401
 )
 from .jdbc import jdbc_url, read_table, write_table  # noqa: F401
 from .layout import read_fact, write_fact  # noqa: F401
-from .snapshot import backup, materialize  # noqa: F401
+from .scan import read_json_array, read_quoted_csv  # noqa: F401
+from .snapshot import backup, materialize, remove_table  # noqa: F401

@@ -6,7 +6,7 @@
   ``_metadata`` columns), block offsets are a running sum over the small
   block table, and each row adds its position inside its block.
 * ``read_error_log`` / ``read_metric_log`` read the JSON-array log files
-  with a declared schema and flatten them to the ``error_log`` /
+  with a declared schema, a large array by many tasks (``scan``), and flatten them to the ``error_log`` /
   ``metric_log`` tables.
 * ``write_report`` writes a DataFrame as CSV (RFC quoting, header, zeros
   kept), JSON or Parquet, optionally under the reference's header names.
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scan import read_json_array, read_quoted_csv
+
 ERROR_REPORT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("type", T.StringType()),
@@ -66,25 +68,26 @@ def with_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
 def read_import_csv(spark: SparkSession, path: str, *, numbered: bool = True, multiline: bool = False) -> DataFrame:
     """S3: an import CSV read by header with every field as text (a UTF-8 BOM is dropped by the reader).
 
-    ``multiline`` accepts quoted fields with line breaks; such files are parsed
-    whole (one task per file) instead of in parallel blocks. ``line_no``
-    counts data rows either way.
+    ``multiline`` accepts quoted fields with line breaks (``scan.read_quoted_csv``: blocks are still read in
+    parallel). ``line_no`` counts data rows either way.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
+    if multiline:
+        return read_quoted_csv(spark, path, numbered=numbered)
+    df = (spark.read.option("header", True).option("inferSchema", False)
           .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
     return with_line_numbers(df) if numbered else df
 
 
 def read_error_log(spark: SparkSession, path: str) -> DataFrame:
-    """Error log file (JSON array) -> ``error_log`` rows (``ts`` from epoch milliseconds)."""
-    raw = spark.read.schema(ERROR_REPORT_SCHEMA).option("multiLine", True).json(path)
+    """Error log file (JSON array, read in parallel) -> ``error_log`` rows (``ts`` from epoch milliseconds)."""
+    raw = read_json_array(spark, path, ERROR_REPORT_SCHEMA)
     return raw.select(F.col("id").alias("report_id"), "type", "severity",
                       F.timestamp_millis("timestamp").alias("ts"), F.col("context"), "processed")
 
 
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
     """Metric log file -> ``metric_log`` rows; ``status`` is the optional nested field."""
-    raw = spark.read.schema(METRIC_REPORT_SCHEMA).option("multiLine", True).json(path)
+    raw = read_json_array(spark, path, METRIC_REPORT_SCHEMA)
     return raw.select("type", F.col("duration").cast("decimal(18,2)").alias("duration"),
                       F.col("additionalData.status").alias("status"),
                       F.timestamp_millis("timestamp").alias("ts"))
