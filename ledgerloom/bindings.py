@@ -177,7 +177,7 @@ def _inspection_split(t):
     # every other report has a photo, named after it
     photo = F.concat(F.lit("report-"), F.col("id").cast("string"), F.lit(".jpg"))
     reports = reports.withColumn("photos", F.when(F.col("id") % 2 == 0, F.array(photo)))
-    return receiving.apply_inspection_reports(reports, t["receiving_orders"])
+    return receiving.apply_inspection_reports(reports, t["receiving_orders"], run_ts=as_of_date(t))
 
 
 @query("apply_inspection_reports")
@@ -277,6 +277,18 @@ def _split_shipping_orders(t):
                                       "status"), on="shipping_order_id").drop("shipping_order_id"))
 
 
+@query("append_tracking")
+def _append_tracking(t):
+    # every scan of the feed again, read by one of seven people
+    return shipping.append_tracking(t["tracking_records"].withColumn("operator", F.concat(F.lit("operator "), F.col("id") % 7)))
+
+
+@query("append_exceptions")
+def _append_exceptions(t):
+    batch = t["exception_records"].select("receiving_order_id", "supplier_name", "exception_type", "responsible_party", "financial_impact")
+    return receiving.append_exceptions(batch, run_ts=as_of_date(t))
+
+
 @query("latest_tracking_status")
 def _latest_tracking_status(t):
     return shipping.latest_tracking_status(t["tracking_records"])

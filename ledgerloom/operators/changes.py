@@ -44,8 +44,14 @@ def fold_changes(changes: DataFrame, keys: list[str], rules: dict[str, Rule],
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, keys: list[str], rules: dict[str, Rule],
-                  order: tuple[str, ...] = ("change_ts", "seq")) -> DataFrame:
-    """New snapshot of ``current`` with ``changes`` applied; column order and types kept."""
+                  order: tuple[str, ...] = ("change_ts", "seq"), stamp: str | None = "updated_at") -> DataFrame:
+    """New snapshot of ``current`` with ``changes`` applied; column order and types kept.
+
+    ``stamp`` names a column of ``current`` that takes the time (``order``'s first column) of the last change of a row,
+    on rows that a change hits and on no others; it is left alone where ``current`` has no such column.
+    """
+    if stamp in current.columns and stamp not in rules:
+        rules = {**rules, stamp: Rule(F.col(order[0]))}
     folded = fold_changes(changes, keys, rules, order)
     joined = current.join(folded, on=keys, how="left")
     out = []

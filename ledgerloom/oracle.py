@@ -184,21 +184,21 @@ def fold(v: str, guard: str = "") -> str:
 
 BODIES["apply_receiving_status"] = f"""
 WITH f AS (
-  SELECT id, {fold('status')} AS n_status, {fold('received_amount')} AS n_ra, {fold('quality_score')} AS n_qs
+  SELECT id, {fold('status')} AS n_status, {fold('received_amount')} AS n_ra, {fold('quality_score')} AS n_qs, MAX(change_ts) AS n_at
   FROM fx_status_changes GROUP BY id)
 SELECT r.id, r.receiving_no, r.supplier_id, r.supplier_name, r.planned_date, r.receiving_date,
   COALESCE(f.n_status, r.status) AS status, r.total_amount, COALESCE(f.n_ra, r.received_amount) AS received_amount,
-  COALESCE(f.n_qs, r.quality_score) AS quality_score, r.created_at, r.purchase_order_id
+  COALESCE(f.n_qs, r.quality_score) AS quality_score, r.created_at, r.purchase_order_id, COALESCE(f.n_at, r.updated_at) AS updated_at
 FROM fxc_receiving_orders r LEFT JOIN f ON r.id = f.id
 """
 
 BODIES["apply_exception_status"] = f"""
 WITH f AS (
-  SELECT id, {fold('status')} AS n_status, {fold('actual_delivery', "status = 'resolved'")} AS n_rd
+  SELECT id, {fold('status')} AS n_status, {fold('actual_delivery', "status = 'resolved'")} AS n_rd, MAX(change_ts) AS n_at
   FROM fx_status_changes GROUP BY id)
 SELECT e.id, e.receiving_order_id, e.supplier_name, e.exception_type, e.responsible_party,
   COALESCE(f.n_status, e.status) AS status, e.financial_impact, COALESCE(f.n_rd, e.resolved_date) AS resolved_date,
-  e.created_at
+  e.created_at, COALESCE(f.n_at, e.updated_at) AS updated_at
 FROM fxc_exception_records e LEFT JOIN f ON e.id = f.id
 """
 
@@ -219,10 +219,10 @@ SELECT i.receiving_order_id, i.product_id AS id, i.ordered_quantity,
 FROM fx_receiving_items i LEFT JOIN l ON i.product_id = l.id AND i.receiving_order_id = l.receiving_order_id
 """
 
-BODIES["apply_inspection_reports"] = """
+BODIES["apply_inspection_reports"] = f"""
 SELECT r.id, r.receiving_no, r.supplier_id, r.supplier_name, r.planned_date, r.receiving_date, r.status,
   r.total_amount, r.received_amount, COALESCE(l.rating, r.quality_score) AS quality_score, r.created_at,
-  r.purchase_order_id
+  r.purchase_order_id, CASE WHEN l.receiving_order_id IS NOT NULL THEN CAST({ASOF} AS TIMESTAMP) ELSE r.updated_at END AS updated_at
 FROM fxc_receiving_orders r LEFT JOIN (
   SELECT receiving_order_id, arg_max(overall_rating, id) AS rating FROM fx_inspection_reports
   GROUP BY receiving_order_id) l ON r.id = l.receiving_order_id
@@ -293,7 +293,7 @@ SELECT * FROM fx_carriers WHERE is_active = 1 ORDER BY rating DESC, name ASC
 
 BODIES["packing_task_list"] = """
 SELECT pt.id, pt.shipping_order_id, pt.priority, pt.status, pt.assigned_to, pt.estimated_time, pt.actual_time,
-  pt.created_at, pt.completed_at, so.customer_name, so.shipping_address, COALESCE(c.item_count, 0) AS item_count
+  pt.created_at, pt.updated_at, pt.completed_at, so.customer_name, so.shipping_address, COALESCE(c.item_count, 0) AS item_count
 FROM fxc_packing_tasks pt
 LEFT JOIN fx_shipping_orders so ON pt.shipping_order_id = so.id
 LEFT JOIN (SELECT packing_task_id, COUNT(*) AS item_count FROM fx_packing_items GROUP BY packing_task_id) c
@@ -309,7 +309,7 @@ WITH items AS (
   FROM fx_shipping_items GROUP BY shipping_order_id),
 tr AS (
   SELECT shipping_order_id, list({'id': id, 'timestamp': CAST(timestamp AS VARCHAR), 'status': status,
-      'tracking_no': tracking_no, 'location': location, 'description': description}
+      'tracking_no': tracking_no, 'location': location, 'description': description, 'operator': operator}
     ORDER BY CAST(timestamp AS VARCHAR) DESC, id DESC) AS tracking
   FROM fxc_tracking_records GROUP BY shipping_order_id)
 SELECT so.*, 0 AS page, CAST(COALESCE(to_json(i.items), '[]') AS VARCHAR) AS items,
@@ -320,11 +320,11 @@ LEFT JOIN tr ON so.id = tr.shipping_order_id
 
 BODIES["apply_shipping_status"] = f"""
 WITH f AS (
-  SELECT id, {fold('status')} AS n_status, {fold('actual_delivery', "status = 'delivered'")} AS n_ad
+  SELECT id, {fold('status')} AS n_status, {fold('actual_delivery', "status = 'delivered'")} AS n_ad, MAX(change_ts) AS n_at
   FROM fx_status_changes GROUP BY id)
 SELECT s.id, s.shipping_no, s.customer_name, s.shipping_address, s.carrier_code, s.shipping_date,
   s.expected_delivery, COALESCE(f.n_ad, s.actual_delivery) AS actual_delivery, COALESCE(f.n_status, s.status) AS status,
-  s.shipping_cost, s.weight, s.created_at, s.sales_order_id
+  s.shipping_cost, s.weight, s.created_at, s.sales_order_id, COALESCE(f.n_at, s.updated_at) AS updated_at
 FROM fxc_shipping_orders s LEFT JOIN f ON s.id = f.id
 """
 
@@ -333,11 +333,11 @@ WITH ch AS (SELECT *, CAST(floor(quality_score) AS INTEGER) AS actual_time FROM
 f AS (
   SELECT id, {fold('status')} AS n_status,
     {fold('actual_time', "status = 'completed' AND actual_time <> 0")} AS n_at,
-    {fold('change_ts', "status = 'completed' AND actual_time <> 0")} AS n_ca
+    {fold('change_ts', "status = 'completed' AND actual_time <> 0")} AS n_ca, MAX(change_ts) AS n_up
   FROM ch GROUP BY id)
 SELECT p.id, p.shipping_order_id, p.customer_name, p.priority, COALESCE(f.n_status, p.status) AS status,
   p.assigned_to, p.estimated_time, COALESCE(f.n_at, p.actual_time) AS actual_time, p.created_at,
-  COALESCE(f.n_ca, p.completed_at) AS completed_at
+  COALESCE(f.n_ca, p.completed_at) AS completed_at, COALESCE(f.n_up, p.updated_at) AS updated_at
 FROM fxc_packing_tasks p LEFT JOIN f ON p.id = f.id
 """
 
@@ -830,6 +830,15 @@ FROM g
 """
 
 
+BODIES["append_tracking"] = """
+SELECT shipping_order_id, tracking_no, timestamp, location, status, description, 'operator ' || CAST(id % 7 AS VARCHAR) AS operator FROM fxc_tracking_records
+"""
+
+BODIES["append_exceptions"] = f"""
+SELECT receiving_order_id, supplier_name, exception_type, responsible_party, financial_impact, CAST(NULL AS VARCHAR) AS evidence_files,
+  'reported' AS status, CAST({ASOF} AS TIMESTAMP) AS created_at FROM fx_exception_records
+"""
+
 BODIES["category_tree_products"] = """
 WITH RECURSIVE tree(id, name, parent_id, depth, path) AS (
   SELECT id, name, CAST(NULL AS BIGINT), 0, name FROM fx_products WHERE id < 2
@@ -865,12 +874,12 @@ REP_JSON = "{'id': id, 'inspector': inspector, 'inspection_date': inspection_dat
 RI_JSON = ("to_json({'product_id': product_id, 'ordered_quantity': ordered_quantity, 'received_quantity': received_quantity, "
            "'rejected_quantity': rejected_quantity, 'expiry_date': expiry_date})")
 RO_JSON = ("{" + ", ".join(f"'{c}': {c}" for c in ("id", "receiving_no", "supplier_id", "supplier_name", "planned_date", "receiving_date", "status", "total_amount",
-                                                   "received_amount", "quality_score")) + ", 'created_at': CAST(created_at AS VARCHAR), 'purchase_order_id': purchase_order_id}")
+                                                   "received_amount", "quality_score")) + ", 'created_at': CAST(created_at AS VARCHAR), 'purchase_order_id': purchase_order_id, 'updated_at': CAST(updated_at AS VARCHAR)}")
 SO_JSON = ("{" + ", ".join(f"'{c}': {c}" for c in ("id", "shipping_no", "customer_name", "shipping_address", "carrier_code", "shipping_date", "expected_delivery",
                                                    "actual_delivery", "status", "shipping_cost", "weight"))
-           + ", 'created_at': CAST(created_at AS VARCHAR), 'sales_order_id': sales_order_id}")
+           + ", 'created_at': CAST(created_at AS VARCHAR), 'sales_order_id': sales_order_id, 'updated_at': CAST(updated_at AS VARCHAR)}")
 TR_JSON = ("to_json({'id': id, 'timestamp': CAST(timestamp AS VARCHAR), 'status': status, 'tracking_no': tracking_no, "
-           "'location': location, 'description': description})")
+           "'location': location, 'description': description, 'operator': operator})")
 
 BODIES["inspection_report_lines"] = f"""
 SELECT id, 0 AS section, CAST(0 AS BIGINT) AS position, {_open(IR_JSON, 'quality_checks')} AS line FROM fx_inspection_reports

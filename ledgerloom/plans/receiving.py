@@ -243,25 +243,27 @@ def apply_receiving_items(items: DataFrame, changes: DataFrame,
         if c in fields else F.col(c) for c in items.columns])
 
 
-def apply_inspection_reports(reports: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_inspection_reports(reports: DataFrame, orders: DataFrame, *, run_ts=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split nested reports into (report rows, check rows) and copy ``overall_rating`` to the
     receipt's ``quality_score`` (the latest report per receipt wins: greatest report id).
 
     ``reports`` has report fields plus ``quality_checks: array<struct>``.
     Returns (new orders snapshot, report rows, check rows). A report without checks has its row; photo and
     certificate lists are stored as JSON text (null stays null), and fields the reports lack are null.
+    A receipt that has a report is ``updated_at`` ``run_ts``, if that is given.
     """
     rows = reports.select(*[_stored(reports, c) for c in REPORT_FIELDS])
     checks = (reports.select(F.col("id").alias("inspection_report_id"), F.explode("quality_checks").alias("c"))
               .select("inspection_report_id", "c.*"))
     latest = (reports.groupBy("receiving_order_id")
-              .agg(F.max_by("overall_rating", "id").alias("_rating"))
+              .agg(F.max_by("overall_rating", "id").alias("_rating"), F.lit(True).alias("_hit"))
               .withColumnRenamed("receiving_order_id", "id"))
     joined = orders.join(latest, on="id", how="left")
     typ = orders.schema["quality_score"].dataType
     new_orders = joined.select(*[
-        F.coalesce(F.col("_rating").cast(typ), F.col(c)).alias(c) if c == "quality_score" else F.col(c)
-        for c in orders.columns])
+        F.coalesce(F.col("_rating").cast(typ), F.col(c)).alias(c) if c == "quality_score"
+        else F.when(F.col("_hit"), as_ts_col(run_ts)).otherwise(F.col(c)).alias(c) if c == "updated_at" and run_ts is not None
+        else F.col(c) for c in orders.columns])
     return new_orders, rows, checks
 
 

@@ -153,7 +153,7 @@ def apply_packing_status(tasks: DataFrame, changes: DataFrame) -> DataFrame:
 
 def append_tracking(scans: DataFrame) -> DataFrame:
     """Tracking rows to append, in the table's column order; missing columns are null in the declared type."""
-    cols = ["shipping_order_id", "tracking_no", "timestamp", "location", "status", "description"]
+    cols = ["shipping_order_id", "tracking_no", "timestamp", "location", "status", "description", "operator"]
     types = {f.name: f.dataType for f in SCHEMAS["tracking_records"].fields}
     return scans.select(*[F.col(c) if c in scans.columns else F.lit(None).cast(types[c]).alias(c) for c in cols])
 

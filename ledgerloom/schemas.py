@@ -78,16 +78,16 @@ SCHEMAS: dict[str, T.StructType] = {
     "shipping_orders": struct("id bigint, shipping_no string, sales_order_id bigint, customer_name string, "
                               "shipping_address string, carrier_code string, shipping_date date, "
                               "expected_delivery date, actual_delivery date, status string, shipping_cost money, "
-                              "weight double, created_at timestamp"),
+                              "weight double, created_at timestamp, updated_at timestamp"),
     "shipping_items": struct("shipping_order_id bigint, product_id bigint, line_no int, quantity int"),
     "carriers": struct("code string, name string, rating double, price_per_kg money, min_charge money, "
                        "is_active int"),
     "tracking_records": struct("id bigint, shipping_order_id bigint, tracking_no string, timestamp timestamp, "
-                               "location string, status string, description string"),
+                               "location string, status string, description string, operator string"),
     "receiving_orders": struct("id bigint, receiving_no string, purchase_order_id bigint, supplier_id bigint, "
                                "supplier_name string, planned_date date, receiving_date date, status string, "
                                "total_amount money, received_amount money, quality_score double, "
-                               "created_at timestamp"),
+                               "created_at timestamp, updated_at timestamp"),
     "receiving_items": struct("receiving_order_id bigint, product_id bigint, ordered_quantity int, "
                               "received_quantity int, rejected_quantity int, expiry_date date"),
     "inspection_reports": struct("id bigint, receiving_order_id bigint, inspector string, inspection_date date, "
@@ -96,13 +96,13 @@ SCHEMAS: dict[str, T.StructType] = {
                              "result string, actual_value string, notes string"),
     "exception_records": struct("id bigint, receiving_order_id bigint, supplier_name string, exception_type string, "
                                 "responsible_party string, status string, financial_impact money, "
-                                "resolved_date date, created_at timestamp"),
+                                "resolved_date date, created_at timestamp, updated_at timestamp"),
     "supplier_evaluations": struct("supplier_id bigint, supplier_name string, evaluation_period string, "
                                    "delivery_rating double, quality_rating double, service_rating double, "
                                    "overall_rating double"),
     "packing_tasks": struct("id bigint, shipping_order_id bigint, customer_name string, priority string, "
                             "status string, assigned_to string, estimated_time int, actual_time int, "
-                            "completed_at timestamp, created_at timestamp"),
+                            "completed_at timestamp, created_at timestamp, updated_at timestamp"),
     "packing_items": struct("packing_task_id bigint, product_id bigint, quantity int"),
     # telemetry logs (flattened: one row per report)
     "error_log": struct("id bigint, type string, severity string, ts timestamp"),

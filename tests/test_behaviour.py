@@ -181,9 +181,9 @@ def test_receiving_detail_takes_lowest_report(spark):
 
 
 def test_packing_list_unknown_priority_first_and_customer_from_shipment(spark):
-    pt = spark.createDataFrame([(1, 5, "own", "low", "pending", "p", 30, None, None, TS(2024, 1, 1)),
-                                (2, 6, "own", "weird", "pending", "p", 30, None, None, TS(2024, 1, 3)),
-                                (3, 5, "own", "high", "pending", "p", 30, None, None, TS(2024, 1, 2))],
+    pt = spark.createDataFrame([(1, 5, "own", "low", "pending", "p", 30, None, None, TS(2024, 1, 1), None),
+                                (2, 6, "own", "weird", "pending", "p", 30, None, None, TS(2024, 1, 3), None),
+                                (3, 5, "own", "high", "pending", "p", 30, None, None, TS(2024, 1, 2), None)],
                                SCHEMAS["packing_tasks"])
     so = spark.createDataFrame([(5, "S5", None, "Alice", "Addr")],
                                "id bigint, shipping_no string, sales_order_id bigint, customer_name string, "
@@ -269,8 +269,8 @@ def test_append_reports_keeps_newest_by_arrival(spark):
 def test_detail_fetch_by_ids_list_or_frame(spark):
     so = spark.createDataFrame([(1, "S1"), (2, "S2"), (3, "S3")], "id bigint, shipping_no string")
     si = spark.createDataFrame([(1, 7, 1, 2), (2, 8, 1, 1)], SCHEMAS["shipping_items"])
-    tr = spark.createDataFrame([(10, 1, None, TS(2024, 1, 1), None, "picked", None),
-                                (11, 1, None, TS(2024, 1, 2), None, "shipped", None)], SCHEMAS["tracking_records"])
+    tr = spark.createDataFrame([(10, 1, None, TS(2024, 1, 1), None, "picked", None, None),
+                                (11, 1, None, TS(2024, 1, 2), None, "shipped", None, None)], SCHEMAS["tracking_records"])
     t = Tables.from_frames(spark, {"shipping_orders": so, "shipping_items": si, "tracking_records": tr})
     by_list = shipping.shipping_order_detail(t, ids=[1, 3]).collect()
     assert sorted(r.id for r in by_list) == [1, 3]

@@ -37,3 +37,27 @@ def test_fold_equals_sequential_application(spark, changes):
     got = {r.id: {"status": r.status, "actual_delivery": r.actual_delivery}
            for r in shipping.apply_shipping_status(cur, ch).collect()}
     assert got == sequential(current, changes)
+
+
+def test_only_rows_that_a_change_hits_are_stamped(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans import receiving, shipping
+    from ledgerloom.schemas import SCHEMAS
+
+    old, first, last = "2024-01-01 00:00:00", "2024-02-01 00:00:00", "2024-03-01 00:00:00"
+    orders = spark.createDataFrame([(1, "pending", old), (2, "pending", old), (3, "pending", None)], "id long, status string, updated_at string").withColumn(
+        "updated_at", F.col("updated_at").cast("timestamp"))
+    changes = spark.createDataFrame([(1, "partial", last, 1), (1, "inspecting", first, 2), (3, None, first, 3), (9, "x", last, 4)],
+                                    "id long, status string, change_ts string, seq long").withColumn("change_ts", F.col("change_ts").cast("timestamp"))
+    changes = changes.withColumns({"actual_delivery": F.lit(None).cast("date"), "received_amount": F.lit(None).cast("double"), "quality_score": F.lit(None).cast("double")})
+    for apply in (receiving.apply_receiving_status, shipping.apply_shipping_status):
+        got = {r.id: (r.status, str(r.updated_at)) for r in apply(orders, changes).collect()}
+        assert got == {1: ("partial", last), 2: ("pending", old), 3: ("pending", first)}
+    assert "updated_at" not in shipping.apply_shipping_status(orders.drop("updated_at"), changes).columns
+    reports = spark.createDataFrame([(7, 1, 88.0, [])], "id long, receiving_order_id long, overall_rating double, quality_checks array<struct<id:long>>")
+    receipts = spark.createDataFrame([(1, 50.0, None), (2, 60.0, None)], "id long, quality_score double, updated_at timestamp")
+    got = {r.id: (r.quality_score, r.updated_at and str(r.updated_at)) for r in receiving.apply_inspection_reports(reports, receipts, run_ts=last)[0].collect()}
+    assert got == {1: (88.0, last), 2: (60.0, None)}
+    scans = spark.createDataFrame([(4, "T", "Ann")], "shipping_order_id long, tracking_no string, operator string")
+    assert shipping.append_tracking(scans).first().operator == "Ann" and SCHEMAS["tracking_records"]["operator"]
