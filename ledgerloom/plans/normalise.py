@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, as_ts_col, markup_price
@@ -62,6 +62,8 @@ MIGRATED_CUSTOMER_TYPE = "retail"
 # schema defaults of a sales order created by the migration
 ORDER_DEFAULTS = {"payment_method": "cash", "payment_status": "paid", "order_status": "completed"}
 
+SLICE = 10_000  # equal rows that one task tells out at once
+
 
 def seed_frame(spark: SparkSession, kind: str) -> DataFrame:
     """The seed rows of one table as a DataFrame (small fixed input)."""
@@ -109,6 +111,20 @@ def seed_if_absent(current: DataFrame, seeds: DataFrame, key: str, id_col: str |
     return current.unionByName(fresh.select(*cols))
 
 
+def _numbered(rows: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """``rows`` with ``out``: the number (int, from 1) of each row among those equal to it.
+
+    Equal rows are counted (combined map-side) and told out again from their count; a group of more than ``SLICE`` rows in
+    slices that are dealt to tasks apart, so no task holds a hot group.
+    """
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    few = counted.where(F.col("_n") <= SLICE).select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias(out))
+    slices = counted.where(F.col("_n") > SLICE).withColumn("_s", F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(SLICE))))
+    many = slices.repartition(*columns, "_s").select(
+        *columns, F.explode(F.sequence(F.col("_s"), F.least(F.col("_n"), F.col("_s") + F.lit(SLICE - 1)))).alias(out))
+    return few.unionByName(many)
+
+
 @dataclass
 class NormalisedSales:
     customers: DataFrame
@@ -147,8 +163,9 @@ def normalise_sales(sales: DataFrame, customers: DataFrame, products: DataFrame)
     prod_ids = products.groupBy(F.col("name").alias("product_name")).agg(F.min("id").alias("_pid"))
     # without an id, equal sales are told apart by their number among themselves: each is its own order
     content = [F.col(c) for c in sales.columns if c != "id"]
-    same = F.row_number().over(Window.partitionBy(*sales.columns).orderBy(F.lit(1)))
-    keyed = sales.withColumn("order_id", F.coalesce(F.col("id"), F.xxhash64(*content, same)))
+    unnamed = _numbered(sales.where(F.col("id").isNull()), sales.columns, "_same")
+    keyed = (sales.where(F.col("id").isNotNull()).withColumn("order_id", F.col("id"))
+             .unionByName(unnamed.withColumn("order_id", F.xxhash64(*content, F.col("_same"))).drop("_same")))
     customer_id = F.when(F.col("customer_name").isNotNull(), F.coalesce(
         F.col("_cid"), name_key(F.col("customer_name")).cast(customers.schema["id"].dataType)))
     total = F.col("total_amount").cast(MONEY)

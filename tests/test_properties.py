@@ -61,3 +61,19 @@ def test_only_rows_that_a_change_hits_are_stamped(spark):
     assert got == {1: (88.0, last), 2: (60.0, None)}
     scans = spark.createDataFrame([(4, "T", "Ann")], "shipping_order_id long, tracking_no string, operator string")
     assert shipping.append_tracking(scans).first().operator == "Ann" and SCHEMAS["tracking_records"]["operator"]
+
+
+def test_equal_sales_are_numbered_in_slices(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans import normalise
+
+    monkeypatch.setattr(normalise, "SLICE", 70)
+    rows = [(None, "hot", 1.0)] * 1000 + [(None, f"s{i % 400}", None) for i in range(1200)] + [(None, "even", 2.0)] * 140
+    df = spark.createDataFrame(rows, "id long, name string, price double")
+    same = F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(1)))
+    want = sorted(r[0] for r in df.select(F.xxhash64("name", "price", same)).collect())
+    for parts in (1, 5):
+        got = normalise._numbered(df.repartition(parts), df.columns, "n")
+        assert sorted(r[0] for r in got.select(F.xxhash64("name", "price", "n")).collect()) == want and len(set(want)) == len(rows)
