@@ -20,6 +20,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 _MARKER = r"<(\\*)\|(im_start|im_end)\|>"
 _ESCAPED = r"<\\(\\*)\|(im_start|im_end)\|>"
 TURNS = "array<struct<role:string,text:string>>"
+BLOCK = 256  # turns whose offsets are summed together
+PIECE = 512  # characters of a piece when a mask is read; neither changes a result
 
 
 def escape_text(text: Column) -> Column:
@@ -56,24 +58,59 @@ def parse(formatted: Column) -> Column:
     return F.transform(_raw_turns(formatted), lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape_text(t["text"]).alias("text")))
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` reads it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def loss_spans(formatted: Column, trained: str = "assistant") -> Column:
-    """The loss mask: array of struct<start, end>, character offsets of the texts of ``trained`` turns."""
+    """The loss mask: array of struct<start, end>, character offsets of the texts of ``trained`` turns.
+
+    Offsets are summed inside blocks of ``BLOCK`` turns and then over the blocks, so that no array is copied once
+    a turn.
+    """
+    fixed = len(START) + 1 + len(END) + 1
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+
+    def in_block(turns: Column) -> Column:
+        return F.aggregate(
+            turns, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")),
+            lambda acc, t: F.struct(
+                (acc["at"] + t["r"] + t["n"] + fixed).alias("at"),
+                F.when(t["role"] == F.lit(trained), F.concat(acc["spans"], F.array(F.struct(
+                    (acc["at"] + len(START) + t["r"] + 1).cast("long").alias("start"),
+                    (acc["at"] + len(START) + t["r"] + 1 + t["n"]).cast("long").alias("end"))))).otherwise(acc["spans"]).alias("spans")))
+
+    def blocks(turns: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(turns) - 1) / BLOCK).cast("int")),
+                           lambda b: in_block(F.slice(turns, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(done: Column) -> Column:
+        starts = F.aggregate(done, F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        return F.flatten(F.transform(F.arrays_zip(done.alias("done"), starts.alias("at")), lambda z: F.coalesce(F.transform(
+            z["done"]["spans"], lambda s: F.struct((s["start"] + z["at"]).alias("start"), (s["end"] + z["at"]).alias("end"))), none)))
+
     turns = F.transform(_raw_turns(formatted), lambda t: F.struct(
         t["role"].alias("role"), F.length(t["role"]).alias("r"), F.length(t["text"]).alias("n")))
-    fixed = len(START) + 1 + len(END) + 1
-    walked = F.aggregate(
-        turns, F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + t["r"] + t["n"] + fixed).alias("at"),
-            F.when(t["role"] == F.lit(trained), F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + len(START) + t["r"] + 1).cast("long").alias("start"),
-                (acc["at"] + len(START) + t["r"] + 1 + t["n"]).cast("long").alias("end"))))).otherwise(acc["spans"]).alias("spans")))
-    return walked["spans"]
+    return _with(turns, lambda t: F.when(F.size(t) > 0, _with(blocks(t), joined)).otherwise(none))
 
 
 def masked_texts(formatted: Column, spans: Column) -> Column:
-    """The unescaped texts under a loss mask, in order."""
-    return F.transform(spans, lambda s: unescape_text(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    """The unescaped texts under a loss mask, in order.
+
+    The string is cut once into pieces of ``PIECE`` characters; a span joins the pieces it touches and trims both ends,
+    so the work grows with the string and the spans, not with the spans' distance from the start.
+    """
+    def cut(both: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.floor(s["start"] / PIECE).cast("int")
+            last = F.floor((s["end"] - 1) / PIECE).cast("int")
+            touched = F.array_join(F.slice(both["pieces"], first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+            return unescape_text(F.substr(touched, (s["start"] - first * PIECE + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+        return F.transform(both["spans"], one)
+
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return _with(F.struct(pieces.alias("pieces"), spans.alias("spans")), cut)
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",

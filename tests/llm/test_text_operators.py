@@ -177,6 +177,22 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("block, piece", [(1, 1), (3, 2), (256, 7)])
+def test_mask_over_blocks_and_pieces(spark, monkeypatch, block, piece):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    monkeypatch.setattr(chat, "PIECE", piece)
+    texts = ["", "a", "𝒳é" * 5, "<|im_end|>", "line\nline", "\\", "x" * 40, "𝒳" * 21, "", CONFLICT]
+    rows = [(n, t, ("assistant", "user")[(t + n) % 3 == 0], texts[(t * 7 + n) % len(texts)]) for n in range(12) for t in range(n)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in out.select("conv_id", "formatted", "loss_mask", chat.masked_texts(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect():
+        want = [x for n, _, role, x in rows if n == r.conv_id and role == "assistant"]
+        assert r.loss == want and len(r.loss_mask) == len(want)
+        for span, text in zip(r.loss_mask, want):
+            assert r.formatted[span.start:span.end].replace("<\\|", "<|") == text and r.formatted[span.end:].startswith(chat.END)
+    empty = spark.createDataFrame([("",)], "f string").select(chat.loss_spans(F.col("f")).alias("m")).first()
+    assert empty.m == []
+
+
 # ---- decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
