@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .queries import CONFLICT
+from .url_filter import SUFFIX_RULES
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -31,6 +32,50 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+def _op5(z: float = 1.64, low: int = 1, high: int = 1000) -> str:
+    """Sites and suffixes by joining the suffix rules, then one shrinkage a level; verdicts by rule, else by bound."""
+    rules = ", ".join(f"('{r}')" for r in SUFFIX_RULES)
+    levels = []
+    for name, keys, keep, join, mean in (("s", "suffix", "suffix", "", "(SELECT a / (a + b) FROM world)"),
+                                         ("d", "domain, suffix", "domain, suffix", "JOIN ps USING (suffix)", "a / (a + b)"),
+                                         ("h", "host, domain", "host", "JOIN (SELECT domain, a, b FROM pd) USING (domain)", "a / (a + b)")):
+        levels.append(f"""
+n{name} AS (SELECT g.*, {mean} AS m FROM (SELECT {keys}, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY ALL) g {join}),
+r{name} AS (SELECT CASE WHEN sum(n - 1) > 0 AND sum((n - 1) * m * (1 - m)) > 0
+  THEN sum(n * power(bad / n - m, 2) - m * (1 - m)) / sum((n - 1) * m * (1 - m)) END AS rho FROM n{name}),
+k{name} AS (SELECT CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, {low}), {high}) ELSE {high} END AS k FROM r{name}),
+p{name} AS (SELECT {keep}, k * m + bad AS a, k * (1 - m) + n - bad AS b FROM n{name}, k{name})""")
+    return rf"""
+WITH u AS (SELECT page_id,
+  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+hosts AS (SELECT DISTINCT host, rtrim(regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', ''), '.') AS site FROM u),
+rules(r) AS (VALUES {rules}),
+fit AS (SELECT host, max(CASE WHEN r[1] = '!' THEN len(string_split(r, '.')) - 1 END) AS exception, max(CASE WHEN r[1] <> '!' THEN len(string_split(r, '.')) END) AS plain
+  FROM hosts JOIN rules ON CASE WHEN r[1:2] = '*.' THEN ends_with(site, r[2:]) AND len(string_split(site, '.')) >= len(string_split(r, '.'))
+    ELSE site = ltrim(r, '!') OR ends_with(site, '.' || ltrim(r, '!')) END GROUP BY host),
+parts AS (SELECT host, site, string_split(site, '.') AS l, coalesce(exception, plain, 1) AS k FROM hosts LEFT JOIN fit USING (host)),
+sites AS (SELECT host,
+  CASE WHEN regexp_full_match(site, '\[.*\]|[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}') THEN site ELSE array_to_string(l[greatest(len(l) - k + 1, 1):], '.') END AS suffix,
+  CASE WHEN regexp_full_match(site, '\[.*\]|[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}') THEN site ELSE array_to_string(l[greatest(len(l) - k, 1):], '.') END AS domain FROM parts),
+c AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, CAST(count(*) AS DOUBLE) AS n,
+  CAST(sum(CAST(toxic = 1 OR quality = 0 AS INTEGER)) AS DOUBLE) AS bad
+  FROM u JOIN labels ON doc_id = page_id JOIN sites USING (host) WHERE (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY host),
+world AS (SELECT coalesce(sum(bad), 0) + 1 AS a, coalesce(sum(n - bad), 0) + 1 AS b FROM c),{",".join(levels)},
+post AS (SELECT host, coalesce(ph.a, pd.a, ps.a, (SELECT a FROM world)) AS a, coalesce(ph.b, pd.b, ps.b, (SELECT b FROM world)) AS b
+  FROM sites LEFT JOIN ph USING (host) LEFT JOIN pd USING (domain) LEFT JOIN ps ON ps.suffix = sites.suffix),
+bound AS (SELECT host, a / (a + b) AS mean, a / (a + b) - {z} * sqrt(a * b / (power(a + b, 2) * (a + b + 1))) AS low FROM post),
+v AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+SELECT page_id, v.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(mean, 6) AS bad_rate, round(low, 6) AS bad_bound
+FROM v JOIN bound USING (host)
+"""
+
+
 OP6 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -113,5 +158,5 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM f
 """
 
-ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op4_chat_format": OP4, "op6_topk_search": OP6, "op7_decontaminate": OP7, "op10_warc": OP10, "op12_vector_codes": _op12(),
+ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op4_chat_format": OP4, "op5_url_filter": _op5(), "op6_topk_search": OP6, "op7_decontaminate": OP7, "op10_warc": OP10, "op12_vector_codes": _op12(),
               "op13_fill_middle": OP13}

@@ -66,7 +66,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
     judged = url_filter.judge_urls(pages, pages.join(labels, "page_id").select("url", "bad"), RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,65 @@ def test_reputation_shrinks_and_blocks(spark):
     assert {r.suffix for r in by_suffix.collect()} == {"com", "co.uk"}
 
 
+def test_sites_domains_and_suffixes(spark):
+    rules = ("co.uk", "*.ck", "!www.ck", "github.io", "a.b.c.d")
+    cases = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com:8080": ("example.com", "com"), "me:pw@x.example.com": ("example.com", "com"),
+             "a.example.com..": ("example.com", "com"), "a.example.com.:80": ("example.com", "com"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"),
+             "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"), "[::1]:80": ("[::1]", "[::1]"), "x.y.foo.ck": ("y.foo.ck", "foo.ck"), "foo.ck": ("foo.ck", "foo.ck"),
+             "ck": ("ck", "ck"), "a.www.ck": ("www.ck", "ck"), "www.ck": ("www.ck", "ck"), "u.github.io": ("u.github.io", "github.io"), "": ("", ""),
+             "localhost": ("localhost", "localhost"), "...": ("", ""), "z.y.a.b.c.d": ("y.a.b.c.d", "a.b.c.d"), "b.c.d": ("c.d", "d")}
+    got = spark.createDataFrame([(h,) for h in cases], "h string").select("h", url_filter.domain_of(F.col("h"), rules).alias("d"), url_filter.suffix_of(F.col("h"), rules).alias("s"))
+    assert {r.h: (r.d, r.s) for r in got.collect()} == cases
+
+
+def brute_reputation(outcomes, low=1.0, high=1000.0):
+    """Posteriors of hosts {host: (domain, suffix, n, b)}, level by level, in plain Python."""
+    n, b = sum(o[2] for o in outcomes.values()), sum(o[3] for o in outcomes.values())
+    world = (b + 1, n - b + 1)
+
+    def level(nodes):  # {key: (parent's posterior, n, b)}
+        rows = [(a / (a + c), n, b) for (a, c), n, b in nodes.values()]
+        spread = sum((n - 1) * m * (1 - m) for m, n, _ in rows)
+        rho = sum(n * (b / n - m) ** 2 - m * (1 - m) for m, n, b in rows) / spread if spread > 0 else 0
+        k = min(max(1 / rho - 1, low), high) if rho > 0 else high
+        return {key: (k * m + b, k * (1 - m) + n - b) for key, (m, n, b) in zip(nodes, rows)}
+
+    def summed(of):
+        out = {}
+        for host, (domain, suffix, n, b) in outcomes.items():
+            key = of(host, domain, suffix)
+            out[key] = (out.get(key, (0, 0))[0] + n, out.get(key, (0, 0))[1] + b)
+        return out
+
+    suffixes = level({s: (world, *c) for s, c in summed(lambda h, d, s: s).items()})
+    above = {d: s for d, s, _, _ in outcomes.values()}
+    domains = level({d: (suffixes[above[d]], *c) for d, c in summed(lambda h, d, s: d).items()})
+    return level({h: (domains[d], n, b) for h, (d, _, n, b) in outcomes.items()})
+
+
+def test_reputation_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    outcomes = {}
+    for i in range(60):
+        domain, suffix = (f"d{i % 13}.co.uk", "co.uk") if i % 3 else (f"d{i % 7}.com", "com")
+        n = int(rng.integers(1, 40))
+        outcomes[f"h{i}.{domain}"] = (domain, suffix, n, int(rng.binomial(n, 0.95 if i % 13 == 4 else 0.2)))
+    rows = [(f"x://{h}/p", int(j < b)) for h, (_, _, n, b) in outcomes.items() for j in range(n)]
+    pages = spark.createDataFrame([(f"x://{h}/", "mine", "old") for h in outcomes] * 2, "url string, _host string, Verdict string")
+    got = url_filter.judge_urls(pages, spark.createDataFrame(rows, "url string, bad int"))
+    assert got.columns == ["url", "_host", "host", "path", "rule", "verdict", "bad_rate", "bad_bound"]
+    want, verdicts = brute_reputation(outcomes), set()
+    rows = got.collect()
+    assert len(rows) == 2 * len(outcomes) and {r._host for r in rows} == {"mine"}
+    for r in rows:
+        a, b = want[r.host]
+        bound = a / (a + b) - 1.64 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        assert r.bad_rate == pytest.approx(a / (a + b), abs=1e-9) and r.bad_bound == pytest.approx(bound, abs=1e-9)
+        assert r.verdict == ("block" if bound > 0.5 else "allow")
+        verdicts.add(r.verdict)
+    assert verdicts == {"allow", "block"}
+
+
 # ---- top-k
 
 
