@@ -61,36 +61,43 @@ def _is_address(site: Column) -> Column:
     return site.rlike(r"^\[.*\]$") | site.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
 
 
-def _site_parts(host: Column, rules: Sequence[str]) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
-    site = site_of(host)
-    last = lambda n: F.substring_index(site, ".", -n) if n else F.lit("")
-    found: list[tuple[Column, int]] = []  # (condition, labels of the suffix), first to hold wins
-    by_labels: dict[int, list[str]] = {}
+def _parts(host: Column, rules: Sequence[str]) -> Column:
+    """struct<domain, suffix> of a host. The site and its labels are computed once, as lambda arguments."""
+    plain, wild, exceptions = [], [], []
     for rule in sorted({r.strip().lower() for r in rules}):
-        by_labels.setdefault(rule.count(".") + 1, []).append(rule)
-    depths = sorted(by_labels, reverse=True)
-    for n in depths:
-        if names := [r[1:] for r in by_labels[n] if r.startswith("!")]:
-            found.append((last(n).isin(*names), n - 1))
-    for n in depths:
-        if names := [r for r in by_labels[n] if r[0] not in "!*"]:
-            found.append((last(n).isin(*names), n))
-        if names := [r[2:] for r in by_labels[n] if r.startswith("*.")]:
-            found.append((last(n - 1).isin(*names) & (last(n) != last(n - 1)), n))
-    domain, suffix = F.when(_is_address(site), site), F.when(_is_address(site), site)
-    for condition, n in found:
-        domain, suffix = domain.when(condition, last(n + 1)), suffix.when(condition, last(n))
-    return domain.otherwise(last(2)), suffix.otherwise(last(1))
+        kind, name = (exceptions, rule[1:]) if rule.startswith("!") else (wild, rule[2:]) if rule.startswith("*.") else (plain, rule)
+        kind.append(name)
+    depth = max([r.count(".") + 1 for r in plain + exceptions] + [r.count(".") + 2 for r in wild], default=1)
+
+    def last(labels: Column, n: Column) -> Column:
+        return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.greatest(n, F.lit(1))), ".")
+
+    def among(name: Column, names: list[str]) -> Column:
+        return name.isin(*names) if names else F.lit(False)
+
+    def cut(labels: Column) -> Column:
+        # the labels of each rule that fits the host's last n labels; an exception counts above all others
+        fits = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth))), lambda n: F.when(
+            among(last(labels, n), exceptions), n - 1 + 2 * depth).when(
+            among(last(labels, n), plain) | ((n > 1) & among(last(labels, n - 1), wild)), n).otherwise(1))
+        longest = F.array_max(fits)
+        n = F.when(longest > depth, longest - 2 * depth).otherwise(longest)
+        return F.struct(last(labels, n + 1).alias("domain"), last(labels, n).alias("suffix"))
+
+    def parts(site: Column) -> Column:
+        return F.when(_is_address(site), F.struct(site.alias("domain"), site.alias("suffix"))).otherwise(
+            F.element_at(F.transform(F.array(F.split(site, r"\.")), cut), 1))
+
+    return F.element_at(F.transform(F.array(site_of(host)), parts), 1)
 
 
 def suffix_of(host: Column, rules: Sequence[str] = SUFFIX_RULES) -> Column:
-    return _site_parts(host, rules)[1]
+    return _parts(host, rules)["suffix"]
 
 
 def domain_of(host: Column, rules: Sequence[str] = SUFFIX_RULES) -> Column:
     """The registered domain: the suffix and one label more; a host that is a suffix is its own domain."""
-    return _site_parts(host, rules)[0]
+    return _parts(host, rules)["domain"]
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -128,7 +135,7 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
     h = F.col(f"`{host_col}`")
     hosts = (outcomes.where(F.col(f"`{bad_col}`").isNotNull()).groupBy(h.alias("host"))
              .agg(F.count("*").cast("double").alias("_n"), F.sum(F.col(f"`{bad_col}`")).cast("double").alias("_b")))
-    hosts = materialize(spark, hosts.withColumns({"domain": domain_of(F.col("host"), suffix_rules), "suffix": suffix_of(F.col("host"), suffix_rules)}))
+    hosts = materialize(spark, hosts.withColumn("_parts", _parts(F.col("host"), suffix_rules)).select("host", "_n", "_b", "_parts.domain", "_parts.suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("_n").alias("_n"), F.sum("_b").alias("_b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("_n").alias("_n"), F.sum("_b").alias("_b"))
     world = hosts.agg((F.coalesce(F.sum("_b"), F.lit(0.0)) + 1).alias("alpha"), (F.coalesce(F.sum(F.col("_n") - F.col("_b")), F.lit(0.0)) + 1).alias("beta"))
@@ -170,8 +177,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
         return frame.select(key, F.col("alpha").alias(f"a_{key}"), F.col("beta").alias(f"b_{key}"))
 
     # reputation is settled once for each distinct host, then joined to the pages
-    hosts = rows.select(F.col(host).alias("host")).distinct().withColumns({
-        "domain": domain_of(F.col("host"), suffix_rules), "suffix": suffix_of(F.col("host"), suffix_rules)})
+    hosts = rows.select(F.col(host).alias("host")).distinct().withColumn("parts", _parts(F.col("host"), suffix_rules)).select("host", "parts.domain", "parts.suffix")
     hosts = (hosts.join(level(by_host, "host"), "host", "left").join(level(by_domain, "domain"), "domain", "left")
              .join(level(by_suffix, "suffix"), "suffix", "left")
              .withColumns({"a_world": world.select("alpha").scalar(), "b_world": world.select("beta").scalar()}))
