@@ -73,3 +73,20 @@ def global_running_min(df: DataFrame, order: list[Column], value: Column, out: s
     run = F.min("_v").over(within)
     best = F.when(F.col("_off").isNull(), run).when(run.isNull(), F.col("_off")).otherwise(F.least(F.col("_off"), run))
     return j.select(*[F.col(c) for c in df.columns], best.alias(out))
+
+
+def global_running_max(df: DataFrame, order: list[Column], values: dict[str, Column], *, partitions: int | None = None) -> DataFrame:
+    """``df`` plus, for each name of ``values``, the maximum of its value (any orderable type, nulls ignored) over all
+    rows up to and including each row in the total order ``order``: one sort for all of them, same scheme as
+    ``global_running``. A value that starts with a group the order ascends in starts anew with each group."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = {name: f"_v_{name}" for name in values}
+    tagged = df.withColumns({raw[name]: v for name, v in values.items()}).repartitionByRange(n, *order)
+    tagged = materialize(spark, tagged.withColumn("_part", F.spark_partition_id()))
+    per = tagged.groupBy("_part").agg(*[F.max(raw[name]).alias(name) for name in values])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    per = per.select("_part", *[F.max(name).over(before).alias(f"_off_{name}") for name in values])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    j = tagged.join(F.broadcast(per), on="_part", how="inner")
+    return j.select(*df.columns, *[F.greatest(F.col(f"_off_{name}"), F.max(raw[name]).over(within)).alias(name) for name in values])

@@ -9,8 +9,8 @@ The reference has no code for these; the rules are the survey's definitions
 * mean gaps between orders (``churn_risk``) use ``(last - first) / (n - 1)``,
   an aggregate, instead of a ``lag`` window per customer;
 * "latest"/"best" per key are aggregates (``max_by`` / ``max(struct)``);
-* date-range matching (``promotion_match``) explodes each promotion to its
-  days and equi-joins, instead of a nested-loop range join.
+* date-range matching (``promotion_match``) reads running maxima over offers by
+  block of days and minimum amount, instead of pairing lines and promotions.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, as_date_col, check_days, exact_sum, int_sum
-from ..operators.cumulative import global_running, global_running_min
+from ..operators.cumulative import global_running, global_running_max, global_running_min
 from ..sources.snapshot import materialize, remove_table
 from ..tables import Tables
 
@@ -261,33 +261,90 @@ def account_balance(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M10
+_DAY_BITS, _DAY_SHIFT = 22, 1 << 20  # day numbers of the years 1 to 9999 fit these bits after the shift
+
+
+def _day_number(day: Column) -> Column:
+    return F.unix_date(day).cast("long") + _DAY_SHIFT
+
+
+def _day_blocks(start: Column, end: Column) -> Column:
+    """The aligned power-of-two blocks of days (array of struct<lvl, blk>) that make up start..end: two a level at most.
+
+    At level k the blocks between the first one that starts in the interval and the last one that ends in it
+    are left; an odd one at either edge has no sibling to merge with and is taken.
+    """
+    def at_level(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        low, high = F.floor((_day_number(start) + size - 1) / size), F.floor((_day_number(end) + 1) / size)
+        left = F.when((low < high) & (low % 2 == 1), low)
+        right = F.when((low + low % 2 < high) & (high % 2 == 1), high - 1)
+        return F.transform(F.array_compact(F.array(left, right)), lambda b: F.struct(k.alias("lvl"), b.alias("blk")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_DAY_BITS)), at_level))
+
+
 def promotion_match(t: Tables) -> DataFrame:
     """Best promotion per order line: active, order day inside the promotion's dates, order
     total >= minimum (none = 0), product in the JSON list (empty or no list = all products); a
     promotion without an end runs on. Best = largest discount, then lowest promotion id. Lines
     without a match are left out.
 
-    Promotions are exploded to their days and equi-joined on the order day;
-    matching runs once per distinct (day, product, order total, line total).
+    Lines and promotions are never paired. A promotion becomes offers at the few blocks of days that make up its
+    dates; for each block and product (or all products) the best percentage and the best flat offer up to every minimum
+    amount are running maxima, and each distinct (day, product, order total) reads them in the same ordered pass at the
+    blocks its day lies in. Work grows with lines plus promotions, each times the levels (at most 23) that have offers,
+    however many promotions a day has. A negative line takes its smallest percentage, a zero line the lowest id.
     """
+    node = ["lvl", "blk", "all_products", "product"]
     promo = t["promotions"].where(F.coalesce(F.col("is_active"), F.lit(1)) == 1)
-    lines = _lines_with_dates(t)
+    lines = _lines_with_dates(t).where(F.col("line_total").isNotNull())
     last_day = t["sales_orders"].agg(F.max("order_date")).scalar()
-    days = promo.withColumn("_end", F.coalesce("end_date", last_day)).where(F.col("start_date") <= F.col("_end")).select(
-        F.col("id").alias("promotion_id"), "discount_type", "discount_value",
-        F.coalesce("min_amount", F.lit(0)).alias("min_amount"),
+    pct = F.when(F.col("discount_type") == "percentage", (F.col("discount_value") / 100).cast("decimal(9,4)"))
+    flat = F.when(F.coalesce(F.col("discount_type") != "percentage", F.lit(True)), F.col("discount_value").cast(MONEY))
+    low_id = -F.col("id")
+    offers = promo.withColumn("_end", F.coalesce("end_date", last_day)).where(F.col("start_date") <= F.col("_end")).select(
+        F.coalesce("min_amount", F.lit(0)).alias("amount"),
+        F.when(pct.isNotNull(), F.struct(pct.alias("v"), low_id.alias("i"))).alias("high_pct"),
+        F.when(pct.isNotNull(), F.struct((-pct).alias("v"), low_id.alias("i"))).alias("low_pct"),
+        F.when(pct.isNotNull(), low_id).alias("any_pct"),
+        F.when(flat.isNotNull(), F.struct(flat.alias("v"), low_id.alias("i"))).alias("high_flat"),
+        F.when(F.col("discount_value").isNull(), low_id).alias("no_value"),
         F.coalesce(F.from_json("applicable_products", "array<bigint>"), F.array().cast("array<bigint>")).alias("_products"),
-        F.explode(F.sequence("start_date", "_end")).alias("order_date"))
-    keys = lines.select("order_date", "product_id", "order_total", "line_total").distinct()
-    cand = keys.join(days, on="order_date", how="inner").where(
-        (F.col("order_total") >= F.col("min_amount"))
-        & ((F.size("_products") == 0) | F.array_contains("_products", F.col("product_id"))))
-    pct = (F.col("discount_value") / 100).cast("decimal(9,4)")
-    discount = F.when(F.col("discount_type") == "percentage", F.col("line_total").cast(MONEY) * pct
-                      ).otherwise(F.col("discount_value").cast(MONEY)).cast("decimal(28,6)")
-    best = (cand.groupBy("order_date", "product_id", "order_total", "line_total")
-            .agg(F.max(F.struct(discount.alias("d"), (-F.col("promotion_id")).alias("neg_id"))).alias("_b")))
-    return (lines.join(best, on=["order_date", "product_id", "order_total", "line_total"], how="inner")
+        F.explode(_day_blocks(F.col("start_date"), F.col("_end"))).alias("_block"))
+    kinds = ["high_pct", "low_pct", "any_pct", "high_flat", "no_value"]
+    offers = offers.withColumn("all_products", F.size("_products") == 0).withColumn(
+        "product", F.explode(F.when(F.col("all_products"), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct("_products")))
+    ).where(F.col("product").isNotNull()).select("_block.*", "all_products", "product", "amount", *kinds)
+    offers = materialize(t.spark, offers.groupBy(*node, "amount").agg(*[F.max(k).alias(k) for k in kinds]))
+
+    # only days and totals that some offer may reach, at the levels that have offers (at most 2 x 23 entries)
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lvl"))
+    reach = offers.agg(F.min(F.col("blk") * size).alias("first"), F.max((F.col("blk") + 1) * size).alias("end"), F.min("amount").alias("least"),
+                       F.collect_set(F.struct("lvl", "all_products")).alias("levels"))
+    asked = lines.select("order_date", "product_id", "order_total").dropna().where(
+        (_day_number(F.col("order_date")) >= reach.select("first").scalar()) & (_day_number(F.col("order_date")) < reach.select("end").scalar())
+        & (F.col("order_total") >= reach.select("least").scalar())).distinct()
+    reads = (asked.withColumn("_levels", reach.select("levels").scalar()).withColumn("_level", F.explode("_levels"))
+             .select(*asked.columns, "_level.*").withColumn("blk", F.floor(_day_number(F.col("order_date")) / size))
+             .withColumn("product", F.when(F.col("all_products"), F.lit(0)).otherwise(F.col("product_id")).cast("long"))
+             .join(offers.select(*node).distinct(), on=node, how="left_semi"))
+    rows = offers.withColumn("is_read", F.lit(False)).unionByName(
+        reads.withColumn("is_read", F.lit(True)).withColumn("amount", F.col("order_total")), allowMissingColumns=True)
+    group = F.struct(*node)
+    seen = global_running_max(rows.withColumnsRenamed({k: f"o_{k}" for k in kinds}),
+                              [F.col(c) for c in (*node, "amount", "is_read", "order_date", "product_id")],
+                              {k: F.when(F.col(f"o_{k}").isNotNull(), F.struct(group.alias("g"), F.col(f"o_{k}").alias("best"))) for k in kinds})
+    best = seen.where("is_read").groupBy("order_date", "product_id", "order_total").agg(
+        *[F.max(F.when(F.col(k)["g"] == group, F.col(k)["best"])).alias(k) for k in kinds])
+
+    m = F.col("line_total").cast(MONEY)
+    offer = lambda d, i: F.struct(d.cast("decimal(28,6)").alias("d"), i.alias("neg_id"))
+    by_pct = F.when(F.col("any_pct").isNotNull(), F.when(m > 0, offer(m * F.col("high_pct.v"), F.col("high_pct.i"))).when(
+        m < 0, offer(m * -F.col("low_pct.v"), F.col("low_pct.i"))).otherwise(offer(F.lit(0), F.col("any_pct"))))
+    by_flat = F.when(F.col("high_flat").isNotNull(), offer(F.col("high_flat.v"), F.col("high_flat.i")))
+    unpriced = F.when(F.col("no_value").isNotNull(), offer(F.lit(None), F.col("no_value")))
+    return (lines.join(best, on=["order_date", "product_id", "order_total"], how="inner")
+            .withColumn("_b", F.greatest(by_pct, by_flat, unpriced)).where(F.col("_b").isNotNull())
             .select("order_id", "product_id", "order_date", "quantity", "line_total",
                     (-F.col("_b.neg_id")).alias("promotion_id"), F.col("_b.d").cast("double").alias("discount")))
 

@@ -74,6 +74,56 @@ def test_promotion_match_best_discount(spark):
     assert got == {(1, 7): (2, 5.0), (1, 8): (1, 8.0), (2, 7): (1, 5.0)}
 
 
+def test_promotion_match_against_brute_force(spark):
+    """Open ends, ties, lists, null and equal values, minimum amounts met exactly, negative and zero lines."""
+    rng = random.Random(7)
+    day = lambda: D(2023, 11, 20) + dt.timedelta(days=rng.randrange(200))
+    promos = []
+    for i in range(1, 301):
+        start = day()
+        end = rng.choice([None, start, start + dt.timedelta(days=rng.randrange(-2, 90))])
+        promos.append((i, rng.choice(["percentage", "amount", None]), rng.choice([None, 0.0, 5.0, 7.5, 10.0, 33.33, -3.0]), start, end,
+                       rng.choice([None, 0, 50, 100, 100, 250]), rng.choice(["[]", None, "[1]", "[2,3,3]", "[null,4]", "broken"]), rng.choice([1, 1, 1, None, 0])))
+    orders = [(o, day(), rng.choice([0, 50, 99, 100, 250, 251])) for o in range(120)]
+    items = [(o, rng.randrange(1, 7), 1, rng.choice([0, 1, 20, 75, 400, -30])) for o in range(120) for _ in range(3)]
+    t = Tables.from_frames(spark, {
+        "promotions": spark.createDataFrame(promos, "id bigint, discount_type string, discount_value double, start_date date, end_date date, "
+                                                    "min_amount int, applicable_products string, is_active int"),
+        "sales_orders": spark.createDataFrame(orders, "id bigint, order_date date, total_amount int"),
+        "sales_order_items": spark.createDataFrame(items, "order_id bigint, product_id bigint, quantity int, line_total int")})
+    last, heads, want = max(o[1] for o in orders), {o[0]: o for o in orders}, []
+    for o, product, _, total in items:
+        _, d, amount = heads[o]
+        found = []
+        for i, kind, value, start, end, least, listed, active in promos:
+            products = {"[1]": [1], "[2,3,3]": [2, 3], "[null,4]": [4]}.get(listed)
+            if active != 0 and start <= d <= (end or last) and amount >= (least or 0) and (products is None or product in products):
+                gain = None if value is None else round(total * value / 100, 6) if kind == "percentage" else value
+                found.append((gain is not None, gain or 0, -i))
+        if found:
+            known, gain, i = max(found)
+            want.append((o, product, total, -i, gain if known else None))
+    got = [(r.order_id, r.product_id, r.line_total, r.promotion_id, r.discount) for r in insights.promotion_match(t).collect()]
+    key = lambda r: (*r[:4], r[4] is not None, r[4] or 0)
+    assert len(want) > 200 and sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_promotion_match_does_not_pair_lines_and_promotions(spark):
+    """20,000 open-ended promotions and 5,000 lines of one day: 100 million pairs, which would not end in the time."""
+    promos = spark.range(20_000).select(
+        F.col("id"), F.lit("percentage").alias("discount_type"), (F.col("id") % 90).cast("double").alias("discount_value"),
+        F.lit(D(2024, 1, 1)).alias("start_date"), F.lit(None).cast("date").alias("end_date"), (F.col("id") % 1000).cast("int").alias("min_amount"),
+        F.lit("[]").alias("applicable_products"), F.lit(1).alias("is_active"))
+    orders = spark.range(5_000).select("id", F.lit(D(2024, 3, 1)).alias("order_date"), (F.col("id") % 1000).cast("int").alias("total_amount"))
+    items = spark.range(5_000).select(F.col("id").alias("order_id"), F.lit(1).cast("long").alias("product_id"), F.lit(1).alias("quantity"), F.lit(100).alias("line_total"))
+    t = Tables.from_frames(spark, {"promotions": promos, "sales_orders": orders, "sales_order_items": items})
+    got = {r.order_id: (r.promotion_id, r.discount) for r in insights.promotion_match(t).collect()}
+    assert len(got) == 5_000
+    for o, answer in got.items():
+        best = max((i % 90, -i) for i in range(20_000) if i % 1000 <= o % 1000) if o < 200 else None
+        assert best is None or answer == (-best[1], float(best[0]))
+
+
 def test_churn_mean_gap_equals_mean_of_consecutive_gaps(spark):
     rows = [(i, None, c, D(2024, 1, 1) + dt.timedelta(days=d)) for i, (c, d) in
             enumerate([(1, 0), (1, 3), (1, 10), (2, 5), (2, 5), (3, 1)])]
