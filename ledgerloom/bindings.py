@@ -490,6 +490,7 @@ for _key, _fn, _needs_day in [
     ("supplier_scorecard", insights.supplier_scorecard, False),
     ("receipt_quality", insights.receipt_quality, False),
     ("packing_performance", insights.packing_performance, False),
+    ("packing_performance_distributed", lambda t: insights.packing_performance(t, distributed=True), False),
     ("exception_cost", insights.exception_cost, False),
     ("expiry_watch", insights.expiry_watch, True),
     ("audit_diff", insights.audit_diff, False),

@@ -702,6 +702,8 @@ SELECT assigned_to, COUNT(*) AS tasks, COUNT(actual_time) AS completed,
 FROM fxc_packing_tasks GROUP BY assigned_to
 """
 
+BODIES["packing_performance_distributed"] = BODIES["packing_performance"]
+
 BODIES["exception_cost"] = f"""
 SELECT exception_type, responsible_party, COUNT(*) AS exceptions, {msum('financial_impact')} AS cost,
   GROUPING(exception_type, responsible_party) AS level

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import group_quantiles
 from ledgerloom.plans import insights
 from ledgerloom.schemas import SCHEMAS
 from ledgerloom.streaming import feeds
@@ -74,6 +75,21 @@ def test_promotion_match_best_discount(spark):
     assert got == {(1, 7): (2, 5.0), (1, 8): (1, 8.0), (2, 7): (1, 5.0)}
 
 
+def test_group_quantiles_equal_percentile(spark):
+    """A group with a third of all rows, decimals, ties, a null key, null values, a key without values, one row, no rows."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", None, *"abcdef"]) if i % 3 else "hot", None if rng.random() < 0.05 else f"{rng.choice([1, 2, 2, rng.random() * 99]):.2f}")
+            for i in range(5000)] + [("none", None), ("none", None), ("one", "7.25")]
+    df = spark.createDataFrame(rows, "who string, v string").select("who", F.col("v").cast("decimal(12,2)").alias("v"))
+    wanted = {"low": 0.0, "half": 0.5, "most": 0.9, "top": 1.0}
+    got = {r.who: r[1:] for r in group_quantiles(df, "who", "v", wanted).collect()}
+    plain = df.groupBy("who").agg(*[F.percentile("v", q).alias(n) for n, q in wanted.items()]).where("low IS NOT NULL").collect()
+    assert set(got) == {r.who for r in plain} and "none" not in got and None in got
+    for r in plain:
+        assert got[r.who] == pytest.approx(tuple(r[1:]))
+    assert group_quantiles(df.limit(0), "who", "v", wanted).count() == 0
+
+
 def test_promotion_match_against_brute_force(spark):
     """Open ends, ties, lists, null and equal values, minimum amounts met exactly, negative and zero lines."""
     rng = random.Random(7)
