@@ -7,6 +7,10 @@
   windows with a watermark (append mode emits a window once it closes).
 * X3 performance metrics: hourly duration sums, slow and failed API calls.
 
+X2 and X3 take ``report_id``: a report seen before within the watermark (a file
+sent again) counts once. ``closed_hours`` fills the hours without reports with
+zeros, and ``late_rows`` says how many rows came after the watermark.
+
 Event time must be ``TIMESTAMP`` (``withWatermark`` rejects TIMESTAMP_NTZ),
 so inputs are cast first. Checkpoints go under ``spark.checkpoint.dir``
 (a shared folder on a cluster) unless a location is passed.
@@ -35,17 +39,27 @@ def latest_tracking(scans: DataFrame) -> DataFrame:
                     F.col("_l.status").alias("last_status")))
 
 
-def hourly_errors(errors: DataFrame, *, watermark: str = "1 hour") -> DataFrame:
-    """Error counts per hour window, type and severity."""
-    e = _event_time(errors, "ts").withWatermark("ts", watermark)
+def _once(df: DataFrame, watermark: str, report_id: str | None) -> DataFrame:
+    """``df`` with its watermark; equal ids within it count once (append mode only). Rows without an id all count."""
+    marked = _event_time(df, "ts").withWatermark("ts", watermark)
+    if report_id is None:
+        return marked
+    # a row without an id is told apart by all its columns' text, so that it is never taken for another report
+    own = F.coalesce(F.col(report_id).cast("string"), F.concat(F.lit("row "), F.to_json(F.struct(*df.columns))))
+    return marked.withColumn("_report", own).dropDuplicatesWithinWatermark(["_report"]).drop("_report")
+
+
+def hourly_errors(errors: DataFrame, *, watermark: str = "1 hour", report_id: str | None = None) -> DataFrame:
+    """Error counts per hour window, type and severity; with ``report_id`` a report sent again counts once."""
+    e = _once(errors, watermark, report_id)
     g = e.groupBy(F.window("ts", "1 hour").alias("w"), "type", "severity").agg(F.count(F.lit(1)).alias("errors"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "type", "severity", "errors")
 
 
-def hourly_performance(metrics: DataFrame, *, watermark: str = "1 hour") -> DataFrame:
-    """Per hour window: page-load and API duration sums, slow and failed API calls."""
-    m = _event_time(metrics, "ts").withWatermark("ts", watermark)
+def hourly_performance(metrics: DataFrame, *, watermark: str = "1 hour", report_id: str | None = None) -> DataFrame:
+    """Per hour window: page-load and API duration sums, slow and failed API calls; ``report_id`` as in X2."""
+    m = _once(metrics, watermark, report_id)
     is_page, is_api = F.col("type") == PAGE_LOAD, F.col("type") == API_CALL
     g = m.groupBy(F.window("ts", "1 hour").alias("w")).agg(
         F.sum(F.when(is_page, F.col("duration").cast("decimal(18,2)"))).cast("double").alias("page_load_ms"),
@@ -56,6 +70,32 @@ def hourly_performance(metrics: DataFrame, *, watermark: str = "1 hour") -> Data
                     "page_load_ms", "api_ms", "api_slow", "api_failed")
 
 
+def closed_hours(windows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Hourly windows with the hours between the first and the last one filled with zeros, for each combination of ``keys`` seen.
+
+    A combination makes its own hours (no pairing of rows), so the work is hours x combinations. No windows give no rows; null
+    keys are a combination like any other.
+    """
+    span = windows.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    kinds = windows.select(*keys).distinct() if keys else windows.limit(1).select()
+    hours = kinds.withColumn("window_start", F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 HOUR"))))
+    zeros = hours.select("window_start", *keys, *[F.lit(0).cast(windows.schema[v].dataType).alias(v) for v in values])
+    both = windows.select("window_start", *keys, *[F.coalesce(v, F.lit(0)).cast(windows.schema[v].dataType).alias(v) for v in values]).unionByName(zeros)
+    # a window of the feed occurs once, so adding its zeros leaves its values
+    summed = both.groupBy("window_start", *keys).agg(*[F.sum(v).cast(windows.schema[v].dataType).alias(v) for v in values])
+    return summed.select("window_start", (F.col("window_start") + F.expr("INTERVAL 1 HOUR")).alias("window_end"), *keys, *values)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that ``query`` left out because they came after the watermark, over the progress reports Spark still holds.
+
+    With ``report_id`` the first stateful operator sees single rows, so the number is exact; without it Spark counts what is left of
+    the late rows after partial aggregation.
+    """
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+
+
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
@@ -101,18 +141,19 @@ def _start_windowed(spark: SparkSession, frame: DataFrame, sink_dir: str, name:
 
 def start_hourly_errors(spark: SparkSession, source_dir: str, schema, sink_dir: str, *,
                         name: str = "hourly_errors", checkpoint: str | None = None, watermark: str = "1 hour",
-                        available_now: bool = True) -> StreamingQuery:
+                        available_now: bool = True, report_id: str | None = None) -> StreamingQuery:
     """Run X2 over Parquet files landing in ``source_dir``; closed hour windows are appended to
     ``sink_dir`` (exactly once through the checkpoint)."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    return _start_windowed(spark, hourly_errors(stream, watermark=watermark), sink_dir, name, checkpoint,
+    return _start_windowed(spark, hourly_errors(stream, watermark=watermark, report_id=report_id), sink_dir, name, checkpoint,
                            available_now)
 
 
 def start_hourly_performance(spark: SparkSession, source_dir: str, schema, sink_dir: str, *,
                              name: str = "hourly_performance", checkpoint: str | None = None,
-                             watermark: str = "1 hour", available_now: bool = True) -> StreamingQuery:
+                             watermark: str = "1 hour", available_now: bool = True,
+                             report_id: str | None = None) -> StreamingQuery:
     """Run X3 over Parquet files landing in ``source_dir``; closed hour windows go to ``sink_dir``."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    return _start_windowed(spark, hourly_performance(stream, watermark=watermark), sink_dir, name, checkpoint,
+    return _start_windowed(spark, hourly_performance(stream, watermark=watermark, report_id=report_id), sink_dir, name, checkpoint,
                            available_now)
