@@ -17,6 +17,7 @@ from .operators.dims import get_or_create
 from .operators.rollup import nest_children
 from .plans import exports, imports, insights, inventory, normalise, receiving, sales, shipping, telemetry
 from .session import ensure_checkpoint_dir
+from .sources.layout import change_fact, read_fact, write_fact
 from .sources.scan import read_quoted_csv
 from .tables import Tables
 
@@ -256,6 +257,17 @@ def _apply_shipping_status(t):
     return shipping.apply_shipping_status(t["shipping_orders"], t["status_changes"])
 
 
+@query("apply_shipping_status_fact")
+def _apply_shipping_status_fact(t):
+    # the shipments as a table by month, of which the changes rewrite the months they touch
+    spark, orders, changes = t.spark, t["shipping_orders"], t["status_changes"]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/shipments-{uuid.uuid4().hex}"
+    by = {"date_col": "shipping_date", "sort_by": ["id"], "grain": "month", "files_per_partition": 1}
+    write_fact(orders, path, **by)
+    change_fact(spark, path, changes, ["id"], lambda rows: shipping.apply_shipping_status(rows, changes), **by)
+    return read_fact(spark, path).select(*orders.columns)
+
+
 @query("apply_packing_status")
 def _apply_packing_status(t):
     # the change feed's optional numeric value stands for the reported packing minutes
@@ -494,6 +506,7 @@ for _key, _fn, _needs_day in [
     ("exception_cost", insights.exception_cost, False),
     ("expiry_watch", insights.expiry_watch, True),
     ("audit_diff", insights.audit_diff, False),
+    ("audit_diff_paths", insights.audit_diff_paths, False),
     ("sales_forecast", insights.sales_forecast, True),
     ("churn_risk", insights.churn_risk, True),
     ("replenishment", insights.replenishment, True),

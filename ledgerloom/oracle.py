@@ -328,6 +328,8 @@ SELECT s.id, s.shipping_no, s.customer_name, s.shipping_address, s.carrier_code,
 FROM fxc_shipping_orders s LEFT JOIN f ON s.id = f.id
 """
 
+BODIES["apply_shipping_status_fact"] = BODIES["apply_shipping_status"]
+
 BODIES["apply_packing_status"] = f"""
 WITH ch AS (SELECT *, CAST(floor(quality_score) AS INTEGER) AS actual_time FROM fx_status_changes),
 f AS (
@@ -727,6 +729,18 @@ v AS (SELECT id, table_name, record_id, key, json_extract_string(old_data, '$.'
 SELECT * FROM v WHERE old_value IS DISTINCT FROM new_value
 """
 
+BODIES["audit_diff_paths"] = """
+WITH k AS (
+  SELECT id, table_name, record_id, old_data, new_data,
+    unnest(list_distinct(list_concat(json_keys(old_data), json_keys(new_data)))) AS key
+  FROM fx_operation_logs),
+v AS (SELECT id, table_name, record_id, '$.' || key AS path, CAST(json_extract(old_data, '$.' || key) AS VARCHAR) AS old_value,
+    CAST(json_extract(new_data, '$.' || key) AS VARCHAR) AS new_value FROM k)
+SELECT id, table_name, record_id, path,
+  CASE WHEN old_value IS NULL THEN 'added' WHEN new_value IS NULL THEN 'removed' ELSE 'changed' END AS change, old_value, new_value
+FROM v WHERE old_value IS DISTINCT FROM new_value
+"""
+
 DAILY_90 = f"""
 cal AS (SELECT {ASOF} - CAST(i AS INTEGER) AS date FROM range(0, 90) t(i)),
 daily AS (SELECT o.order_date AS date, SUM(CAST(i.line_total AS DECIMAL(18,2))) AS revenue FROM {LINES}

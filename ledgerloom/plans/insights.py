@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, as_date_col, check_days, exact_sum, int_sum
 from ..operators.cumulative import global_running, global_running_max, global_running_min
+from ..operators.json_diff import json_diff
 from ..operators.quantiles import group_quantiles
 from ..sources.snapshot import materialize, remove_table
 from ..tables import Tables
@@ -523,6 +524,11 @@ def audit_diff(t: Tables) -> DataFrame:
                                                        old_v.alias("old_value"), new_v.alias("new_value"))
 
 
+def audit_diff_paths(t: Tables) -> DataFrame:
+    """M19 for nested data: per audit row, each path at which the old and new JSON differ by value (``operators.json_diff``)."""
+    return json_diff(t["operation_logs"], "old_data", "new_data", ["id", "table_name", "record_id"])
+
+
 # ------------------------------------------------------------------ K1
 def _daily_series(t: Tables, as_of, days: int) -> DataFrame:
     """Dense daily revenue for the ``days`` days ending at ``as_of`` (missing days are 0)."""

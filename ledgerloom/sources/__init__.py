@@ -8,6 +8,6 @@ from .files import (  # noqa: F401
     write_report,
 )
 from .jdbc import jdbc_url, read_table, write_table  # noqa: F401
-from .layout import read_fact, write_fact  # noqa: F401
+from .layout import change_fact, read_fact, write_fact  # noqa: F401
 from .scan import read_json_array, read_quoted_csv  # noqa: F401
-from .snapshot import backup, materialize, remove_table  # noqa: F401
+from .snapshot import backup, materialize, remove_table, restore  # noqa: F401
