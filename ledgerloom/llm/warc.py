@@ -4,7 +4,9 @@ Reading plans one partition for each archive file (writers roll to a new file at
 partitions are bounded). A reader goes through a file record by record: it parses the header block first,
 applies the pushed-down predicates on record type and header columns, and for records that fail them, or
 when the payload is not asked for (option ``payload=none``), skips the block without decoding it. Files
-ending in ``.gz`` hold one gzip member a record; there a skipped block is inflated but not kept.
+ending in ``.gz`` hold one gzip member a record. The writer states each member's length in an extra field of its gzip header,
+so a skipped block is passed over without inflating (or, where it is long, reading) it; in members of other writers, without that
+field, it is inflated but not kept.
 
 Writing gives each task attempt files of its own name; the names reach ``_manifest.json`` only when the whole
 job commits, and readers of a folder with a manifest read what it lists. A lost executor's half-written
@@ -46,6 +48,12 @@ HEADER_OF = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_
 _LOWER = {h.lower(): c for c, h in HEADER_OF.items()}
 VERSION = b"WARC/1.1"
 
+#: Fixed values of the gzip format: magic, deflate, flag of an extra field, no time, unknown system.
+GZIP_HEAD = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff"
+#: The extra field: 12 bytes, of them a name of our own, the length 8, and the whole member's length in 8 bytes.
+EXTRA = (12).to_bytes(2, "little") + b"LL" + (8).to_bytes(2, "little")
+SIZED = len(GZIP_HEAD) + len(EXTRA) + 8
+
 
 def open_fs(path: str):
     """(filesystem, path inside it) of a URI or local path."""
@@ -84,37 +92,75 @@ def _unquote(value: str) -> str:
     return value[2:].replace("%25", "%")
 
 
+def zip_record(data: bytes) -> bytes:
+    """A gzip member of ``data`` that states its own length; any gzip reader can read it."""
+    z = zlib.compressobj(4, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    end = zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
+    return GZIP_HEAD + EXTRA + (SIZED + len(body) + len(end)).to_bytes(8, "little") + body + end
+
+
 class _Stream:
     """Bytes of a plain or gzip file, in pieces; never the whole file."""
 
     PIECE = 1 << 20
+    STEP = 1 << 15  # compressed bytes inflated at a time
 
     def __init__(self, raw, zipped: bool):
         self.raw, self.zipped = raw, zipped
-        self.buffer, self.inflate, self.tail = bytearray(), None, b""
+        self.buffer, self.inflate = bytearray(), None
+        self.piece, self.at, self.read_to = b"", 0, 0  # bytes read, how many of them are used, the file's position after them
+        self.member_end = None  # where the current member ends, if it says so and all of ``buffer`` is its own
 
     def _more(self) -> bool:
         if not self.zipped:
             piece = self.raw.read(self.PIECE)
             self.buffer += piece
             return bool(piece)
-        data = self.tail or self.raw.read(self.PIECE)
-        self.tail = b""
-        if not data:
+        if len(self.piece) - self.at < SIZED:  # enough for a member's header
+            piece = self.raw.read(self.PIECE)
+            self.piece, self.at, self.read_to = self.piece[self.at:] + piece, 0, self.read_to + len(piece)
+        if self.at == len(self.piece):
             return False
         if self.inflate is None:
             self.inflate = zlib.decompressobj(31)
-        self.buffer += self.inflate.decompress(data)
+            head = self.piece[self.at:self.at + SIZED]
+            sized = len(head) == SIZED and head.startswith(GZIP_HEAD + EXTRA) and not self.buffer
+            self.member_end = self.read_to - len(self.piece) + self.at + int.from_bytes(head[-8:], "little") if sized else None
+        step = self.piece[self.at:self.at + self.STEP]
+        self.buffer += self.inflate.decompress(step)
+        self.at += len(step)
         if self.inflate.eof:
-            self.tail, self.inflate = self.inflate.unused_data, None
+            self.at -= len(self.inflate.unused_data)
+            self.inflate = None
         return True
 
+    def pass_record(self, n: int) -> None:
+        """Pass the ``n`` bytes and the line ends that are left of the current record."""
+        if self.member_end is None:
+            self.skip(n)
+            self.skip(4)
+            return
+        self.buffer.clear()
+        start = self.read_to - len(self.piece)
+        if self.member_end <= self.read_to:
+            self.at = self.member_end - start
+        else:
+            self.raw.seek(self.member_end - 1)
+            self.piece, self.at = self.raw.read(self.PIECE), 1
+            if not self.piece:
+                raise EOFError("an archive ends inside a record")
+            self.read_to = self.member_end - 1 + len(self.piece)
+        self.inflate = self.member_end = None
+
     def until(self, mark: bytes) -> bytes | None:
         """Bytes before ``mark``, which is consumed too; None at the end of the file."""
         seen = 0
         while (at := self.buffer.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.buffer)
             if not self._more():
+                if self.buffer.strip():
+                    raise EOFError("an archive ends inside a record")
                 return None
         out = bytes(self.buffer[:at])
         del self.buffer[:at + len(mark)]
@@ -160,16 +206,15 @@ def records(raw, zipped: bool, wanted, with_payload: bool) -> Iterator[dict]:
         length = next((int(v) for k, v in row["headers"].items() if k.lower() == "content-length"), 0)
         row["headers"] = {k: v for k, v in row["headers"].items() if k.lower() != "content-length"}
         row["content_length"] = length
-        if wanted(row):
-            if with_payload:
-                row["payload"] = stream.take(length)
-            else:
-                row["payload"] = None
-                stream.skip(length)
-            yield row
+        keep = wanted(row)
+        if keep and with_payload:
+            row["payload"] = stream.take(length)
+            stream.skip(4)
         else:
-            stream.skip(length)
-        stream.skip(4)
+            row["payload"] = None
+            stream.pass_record(length)
+        if keep:
+            yield row
 
 
 # ---- the data source ----------------------------------------------------------------------------
@@ -237,7 +282,7 @@ class WarcReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" else r[n] for r in held], t) for n, t in zip(names, types)], schema=schema)
 
-        with (system.open_input_stream(partition.path, compression=None) if zipped else system.open_input_file(partition.path)) as raw:
+        with system.open_input_file(partition.path) as raw:
             for row in records(raw, zipped, self._wanted, self.with_payload):
                 row["file"] = partition.path
                 held.append(row)
@@ -274,8 +319,7 @@ class WarcWriter(DataSourceWriter):
                     out, size = system.open_output_stream(f"{root}/{files[-1]}", compression=None, buffer_size=1 << 20), 0
                 data = encode_record({c: r[c] for c in WRITE_COLUMNS if c in r})
                 if self.zipped:
-                    z = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    data = z.compress(data) + z.flush()
+                    data = zip_record(data)
                 out.write(data)
                 size += len(data)
         finally:

@@ -363,6 +363,60 @@ def test_warc_pushes_header_predicates_and_skips_payloads(tmp_path, monkeypatch)
     assert [r["record_id"] for r in rows] == ["1", "9", "9"] and taken == [len(body), 1, 1]
 
 
+@pytest.mark.parametrize("piece, step", [(64, 40), (1000, 1 << 15), (1 << 20, 100), (1 << 20, 1 << 15)])
+def test_warc_members_are_passed_over_whole(tmp_path, monkeypatch, piece, step):
+    """Members with and without a stated length, wanted and not, short and long, in one file, over borders of pieces."""
+    monkeypatch.setattr(warc._Stream, "PIECE", piece)
+    monkeypatch.setattr(warc._Stream, "STEP", step)
+    rng = random.Random(piece)
+    rows, parts = [], []
+    for i in range(120):
+        body = rng.randbytes(rng.choice([0, 1, 50, 3000])) + b"\r\n\r\n" * rng.randrange(3)
+        rows.append((rng.choice(["response", "revisit"]), str(i), body))
+        record = warc.encode_record({"record_type": rows[-1][0], "record_id": str(i), "payload": body})
+        parts.append(warc.zip_record(record) if i % 5 else gzip.compress(record))
+        assert gzip.decompress(parts[-1]) == record
+    # records over two members and two records in one member, as other writers may leave them
+    extra = [warc.encode_record({"record_type": "revisit", "record_id": f"x{i}", "payload": b"abc" * 30}) for i in range(4)]
+    parts += [gzip.compress(extra[0][:60]), gzip.compress(extra[0][60:]), gzip.compress(extra[1] + extra[2]), warc.zip_record(extra[3])]
+    rows += [("revisit", f"x{i}", b"abc" * 30) for i in range(4)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(parts))
+    for wanted in (lambda r: True, lambda r: r["record_type"] == "revisit", lambda r: r["record_id"] == "7", lambda r: False):
+        for payload in (True, False):
+            with open(path, "rb") as raw:
+                got = [(r["record_type"], r["record_id"], r["payload"]) for r in warc.records(raw, True, wanted, payload)]
+            assert got == [(t, i, b if payload else None) for t, i, b in rows if wanted({"record_type": t, "record_id": i})]
+    for cut, payload in ((20, True), (40, True), (20, False), (9, False)):  # a file that ends inside a record is an error
+        long = warc.zip_record(warc.encode_record({"record_type": "response", "payload": rng.randbytes(5000)}))
+        path.write_bytes(parts[1] + long[:-cut])
+        with open(path, "rb") as raw, pytest.raises(EOFError):
+            list(warc.records(raw, True, lambda r: True, payload))
+
+
+def test_warc_does_not_inflate_what_it_passes(tmp_path, monkeypatch):
+    body = random.Random(1).randbytes(6_000_000)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(warc.zip_record(warc.encode_record({"record_type": "response", "record_id": str(i), "payload": body})) for i in range(3)))
+    inflated, real = [], warc.zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.z = real(bits)
+
+        def decompress(self, data):
+            inflated.append(len(data))
+            return self.z.decompress(data)
+
+        eof = property(lambda self: self.z.eof)
+        unused_data = property(lambda self: self.z.unused_data)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    with open(path, "rb") as raw:
+        assert len(list(warc.records(raw, True, lambda r: True, False))) == 3
+    assert sum(inflated) <= 3 * warc._Stream.STEP
+
+
 def test_warc_uncommitted_files_are_not_read(spark, tmpdir_path):
     path = f"{tmpdir_path}/w"
     pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
