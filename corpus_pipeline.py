@@ -1,12 +1,13 @@
 """A training corpus from raw documents, in four stages, each one operator of ``ledgerloom.llm``:
 
 1. language_id: documents without a recognisable language (null, empty, no letters) go; every text with a letter
-   gets a language and stays, whatever its score, as no score tells junk from short clean texts (figures in the
-   README). Where no document carries a label there is nothing to learn from, and the texts with a letter stay;
+   stays, whatever its score, as no score tells junk from short clean texts (figures in the README), and its ``lang``
+   becomes the language found in the text, whatever label it came with. Where no document carries a label there
+   is nothing to learn from, and the texts with a letter stay as they are;
 2. near_duplicates: of each group of documents linked by 5-word shingle sets of Jaccard similarity 0.8 or
    more, the one with the smallest id stays;
 3. decontamination: documents that hold a 10-word window of a benchmark item go;
-4. packing: what is left is tokenised and packed into sequences of 2048 tokens.
+4. packing: what is left is tokenised and packed into sequences of 2048 tokens, each of one language of stage 1.
 
 Every stage works on all its predecessor kept, which is written as Parquet under ``spark.checkpoint.dir`` and
 read again. All but the last return the columns of documents.
@@ -28,11 +29,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language; the model learns from the documents that carry a label.
-
-    Without any label the documents with a letter stay.
+    """Keeps the documents that have a language, ``lang`` being the one found; the model learns from the documents that
+    carry a label. Without any label the documents with a letter stay as they are.
     """
-    return language_id.keep_identified(docs, language_id.train(docs))
+    return language_id.keep_identified(docs, language_id.train(docs), lang_col="lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the packed sequences."""
-    packed = packing.pack(docs, public_tokenizers.path(TOKENIZER), capacity=2048, end_id=0)
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    """The pieces of all documents with their places in the packed sequences, which don't mix languages."""
+    packed = packing.pack(docs, public_tokenizers.path(TOKENIZER), capacity=2048, end_id=0, kind_col="lang")
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "lang")
 
 
 STAGES = [("language_id", identify_language), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack_sequences)]

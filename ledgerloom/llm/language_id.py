@@ -172,8 +172,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return docs.select(*kept, _answer(docs, model, text_col).alias(answer)).select(*kept, f"{answer}.lang_pred", f"{answer}.score")
 
 
-def _answer(docs: DataFrame, model: Model | None, text_col: str) -> Column:
-    """Struct (lang_pred, score)."""
+def _answer(docs: DataFrame, model: Model | None, text_col: str, once: bool = False) -> Column:
+    """Struct (lang_pred, score). ``once``: Spark may not copy it from a column into the filters on that column."""
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # bounded by landmarks x n-gram hashes
 
@@ -194,18 +194,20 @@ def _answer(docs: DataFrame, model: Model | None, text_col: str) -> Column:
                     part, size = [], 0
             yield pd.DataFrame({"lang_pred": lang, "score": np.clip(score, 0.0, 1.0)})
 
-    return F.pandas_udf(predict, "lang_pred string, score double")(F.col(f"`{text_col}`").cast("string"))
+    predicted = F.pandas_udf(predict, "lang_pred string, score double")
+    return (predicted.asNondeterministic() if once else predicted)(F.col(f"`{text_col}`").cast("string"))
 
 
 def _has_letter(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: isinstance(t, str) and bool(_LETTER.search(t))).astype(bool)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, languages: list[str] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, languages: list[str] | None = None, min_score: float = 0.0, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """The rows of ``docs``, same columns, that are not ``und``, score ``min_score`` or more and, if given, are in ``languages``.
 
-    Without a model (there was no label to learn from) no text has a language or a score: the rows with a letter
-    stay, and asking for languages or a score is an error.
+    With ``lang_col`` that column holds the language found (it is replaced, or added). Without a model (there was no
+    label to learn from) no text has a language or a score: the rows with a letter stay as they are, and asking for
+    languages or a score is an error.
     """
     if model is None:
         if languages is not None or min_score > 0:
@@ -213,9 +215,10 @@ def keep_identified(docs: DataFrame, model: Model | None, languages: list[str] |
         lettered = F.pandas_udf(_has_letter, "boolean")(F.col(f"`{text_col}`").cast("string"))
         return docs.where(lettered)
     answer = free_names(docs.columns, "_answer")[0]
-    found = docs.withColumn(answer, _answer(docs, model, text_col))
+    found = docs.withColumn(answer, _answer(docs, model, text_col, once=lang_col is not None))
     lang, score = F.col(answer)["lang_pred"], F.col(answer)["score"]
     good = (lang != UNDETERMINED) & (score >= min_score)
     if languages is not None:
         good &= lang.isin(languages)
-    return found.where(good).drop(answer)
+    kept = found.where(good)
+    return (kept if lang_col is None else kept.withColumn(lang_col, lang)).drop(answer)

@@ -460,6 +460,26 @@ def test_pipeline_without_labels_keeps_texts_with_letters(spark):
         language_id.keep_identified(docs, None, ["en"])
 
 
+def test_pipeline_goes_on_with_the_language_found(spark, tmpdir_path):
+    rng = random.Random(10)
+    words = {"en": "the and of with that this from which are was".split(), "fr": "le la les des une dans pour avec est sur".split()}
+    text = lambda lang: " ".join(rng.choice(words[lang]) + str(rng.randrange(50)) for _ in range(40))
+    truth = {i: "en" if i % 2 else "fr" for i in range(80)}
+    label = truth | {i: None for i in range(20)}
+    docs = spark.createDataFrame([(i, text(truth[i]), label[i], "s", 0) for i in truth], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of it")], "item_id long, text string").write.parquet(f"{tmpdir_path}/benchmark.parquet")
+    found = corpus_pipeline.identify_language(spark, spark.read.parquet(f"{tmpdir_path}/documents.parquet"), tmpdir_path)
+    assert {r.doc_id: r.lang for r in found.collect()} == truth
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # scored once, not again for the filter
+    packed = corpus_pipeline.run(spark, tmpdir_path).collect()
+    assert {r.doc_id: r.lang for r in packed} == truth
+    by = collections.defaultdict(set)
+    for r in packed:
+        by[r.sequence_id].add(truth[r.doc_id])
+    assert all(len(of) == 1 for of in by.values()) and len(by) < len(packed)
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -130,6 +130,24 @@ def test_pack_uses_few_sequences(spark, library):
     assert used <= 1.03 * -(-total // 128)
 
 
+@pytest.mark.parametrize("regroup", [packing.REGROUP, 40])
+def test_pack_keeps_kinds_apart(spark, library, monkeypatch, regroup):
+    monkeypatch.setattr(packing, "REGROUP", regroup)
+    rng = np.random.default_rng(4)
+    texts = [(i, "word " * int(n), 1) for i, n in enumerate(rng.integers(1, 150, 600))]
+    kind = {i: (None, "a", "b", "b", f"rare {i % 7}")[i % 5] for i, _, _ in texts}
+    docs = spark.createDataFrame([(i, t, kind[i]) for i, t, _ in texts], "doc_id long, text string, `the kind` string").repartition(5)
+    rows = packing.pack(docs, PATH, capacity=128, open_bins=12, kind_col="the kind").collect()  # fewer open bins than tasks x kinds need
+    check_packing(rows, texts, library, 128)
+    of = collections.defaultdict(set)
+    for r in rows:
+        assert r["the kind"] == kind[r.doc_id]
+        of[r.sequence_id].add(kind[r.doc_id])
+    assert all(len(k) == 1 for k in of.values()) and len(of) < len(rows)
+    with pytest.raises(ValueError):
+        packing.pack(docs.withColumnRenamed("the kind", "Piece"), PATH, kind_col="Piece")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80), st.integers(1, 6))
 def test_best_fit_places(lengths, open_bins):
