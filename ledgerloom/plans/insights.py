@@ -96,15 +96,16 @@ def _climb(cats: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Pointer doubling: each node knows an ancestor and the names from below that ancestor down to itself. A round joins
     every unfinished node with its ancestor's row, which doubles both, so a tree of depth d takes log2(d) + 1 rounds. A
-    parent of many children is one row on one side of the join, so skewed partitions can be split. Every round is written;
-    nodes finish level by level, so a round in which none finishes leaves only nodes that never will.
+    parent of many children is one row on one side of the join, so skewed partitions can be split. No side is broadcast: files
+    of ids and paths are small enough for that long after their rows are not, and every round would gather them on the
+    driver. Every round is written; nodes finish level by level, so a round in which none finishes leaves only nodes that never will.
     """
     spark = cats.sparkSession
     now = materialize(spark, cats.select("id", "name", "parent_id", F.col("parent_id").alias("above"),
                                          F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.col("name").cast("string").alias("path")))
     done = now.where("above IS NULL").count()
     while done:
-        up = now.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        up = now.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("depth").alias("_depth"), F.col("path").alias("_path")).hint("merge")
         climbed = now.where("above IS NOT NULL").join(up, F.col("above") == F.col("_id")).select(
             "id", "name", "parent_id", F.col("_above").alias("above"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", F.lit(" > "), "path").alias("path"))
         then = materialize(spark, now.where("above IS NULL").unionByName(climbed))
@@ -128,21 +129,28 @@ def category_tree(t: Tables) -> DataFrame:
 def category_cycles(t: Tables) -> DataFrame:
     """M2: categories that are their own ancestor: id, name, parent_id and ``cycle_id``, the smallest id of their circle.
 
-    Pointer doubling again: after as many steps as there are nodes left every pointer ends on a circle, and meets each
-    of its nodes; the smallest id seen on the way round names it.
+    Pointer doubling again: every node knows the one some steps above it and the smallest id on the way. A round doubles the
+    steps and drops the nodes that no pointer meets, which stand on no circle; once none is dropped, the rest are circles,
+    and once no smallest id changes, each has been round its own. So rounds follow the longest branch or circle, and
+    twice as many steps as there are nodes are always enough. No side of a join is broadcast, as in ``_climb``.
     """
     cats = t["categories"].select("id", "name", "parent_id")
     spark = cats.sparkSession
     left = materialize(spark, _climb(cats)[1])
-    now = materialize(spark, left.select("id", F.col("parent_id").alias("above"), F.col("id").alias("least")))
-    steps, n = 1, now.count()
-    while steps < 2 * n:
-        up = now.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("least").alias("_least"))
-        then = materialize(spark, now.join(up, F.col("above") == F.col("_id")).select("id", F.col("_above").alias("above"), F.least("least", "_least").alias("least")))
+    now = materialize(spark, left.select("id", F.col("parent_id").alias("above"), F.col("id").alias("least")).distinct())
+    steps, n = 1, now.agg(F.count_distinct("id")).first()[0]
+    most = 2 * n
+    while n and steps < most:
+        up = now.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("least").alias("_least")).hint("merge")
+        met = now.select(F.col("above").alias("_met")).distinct().hint("merge")
+        then = materialize(spark, now.join(met, F.col("id") == F.col("_met"), "left_semi").join(up, F.col("above") == F.col("_id"))
+                           .select("id", F.col("_above").alias("above"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("moved")))
         remove_table(spark, now)
-        now, steps = then, 2 * steps
-    circle = now.select(F.col("above").alias("_id")).distinct()
-    named = now.join(circle, F.col("id") == F.col("_id"), "left_semi").select("id", F.col("least").alias("cycle_id"))
+        now, steps, before = then, 2 * steps, n
+        n, moved = now.agg(F.count_distinct("id"), F.count_if("moved")).first()
+        if n == before and not moved:
+            break
+    named = now.select("id", F.col("least").alias("cycle_id")).hint("merge")
     return left.join(named, "id").select("id", "name", "parent_id", "cycle_id")
 
 

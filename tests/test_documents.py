@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog import tables_for
 from ledgerloom.operators.documents import positions, write_documents
 from ledgerloom.plans import insights, receiving, shipping
+from ledgerloom.sources.snapshot import materialize
 from ledgerloom.tables import Tables
 from tables_at import SMALL
 
@@ -127,3 +128,35 @@ def test_a_deep_chain(spark):
     assert got == {i: (i, 4 * i + 1) for i in range(3000)}
     assert insights.category_cycles(cats(spark, rows)).count() == 0
     assert insights.category_tree(cats(spark, rows).__class__.from_frames(spark, {"categories": spark.createDataFrame([], "id long, name string, parent_id long")})).count() == 0
+
+
+def test_trees_and_circles_broadcast_nothing(spark, monkeypatch):
+    """Files far below the broadcast threshold: no round may gather a side on the driver, and rounds follow the longest branch or circle."""
+    plans = []
+
+    def watched(spark, df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan())  # adaptive: shows the plan as it ran
+        out = materialize(spark, df, *args)
+        df.count()
+        return out
+
+    monkeypatch.setattr(insights, "materialize", watched)
+    last = lambda i: i % 10
+    rows = [(i, f"n{i}", i + 1 if last(i) < 2 else i - 2 if last(i) == 2 else i - 3 if last(i) < 6 else None) for i in range(2000)]
+    t = cats(spark, rows)
+    found = insights.category_cycles(t)
+    assert {r.id: r.cycle_id for r in found.collect()} == {i: i - last(i) for i in range(2000) if last(i) < 3}
+    assert len(plans) <= 9
+    insights.category_tree(t).collect()
+    plans.append(found._jdf.queryExecution().executedPlan())
+    assert not any("Broadcast" in p.toString() for p in plans)
+    repeated = cats(spark, [*rows, *rows[:20]])
+    assert {(r.id, r.cycle_id) for r in insights.category_cycles(repeated).collect()} == {(i, i - last(i)) for i in range(2000) if last(i) < 3}
+
+
+def test_long_branches_into_circles_of_any_length(spark):
+    rows = [(i, "up", i + 1) for i in range(90)] + [(90, "in", 250)]
+    rows += [(200 + i, "c", 200 + (i + 1) % 64) for i in range(64)]
+    rows += [(300, "self", 300), (301, "under", 300), (400, "two", 401), (401, "two", 400), (500, "lost", 999), *((501 + i, "lost", 500 + i) for i in range(30))]
+    _, circles = brute_tree(rows)
+    assert {r.id: r.cycle_id for r in insights.category_cycles(cats(spark, rows)).collect()} == circles and len(circles) == 67
